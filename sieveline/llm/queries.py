@@ -3,10 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import html_extract, quality_gam, toxicity, url_filter
 from .common import read_table
 from .jaccard_join import linked_components
+from .packing import pack
+
+#: Rules of op2 as (verdict, host, path).
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from labelled rows outside the held-out quarter."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    judged = url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rules_frame(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,4 +35,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"), window=4096, eos=2)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labelled rows outside the held-out quarter."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_html_extraction, op4_ngram_jaccard_join, op9_packing, op10_quality_classifier)}
