@@ -62,3 +62,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     )
     # The sample of ids is bounded by its parameter, hence the hint.
     return written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label"), "labelled")
+
+
+#: Keys of rows to be removed are broadcast up to this number (some 16 bytes each), beyond it they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(df: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows of df whose values in the columns of `removed` are not among its rows; nulls are equal to nulls."""
+    keys = removed.columns
+    few = removed.count() <= BROADCAST_KEYS
+    other = removed.toDF(*(f"removed_{c}" for c in keys))
+    same = [df[c].eqNullSafe(other[f"removed_{c}"]) for c in keys]
+    return df.join(F.broadcast(other) if few else other, same, "left_anti")

@@ -13,10 +13,12 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, labelled_sample
+from .common import fresh, held_out, labelled_sample
 
 #: Words that report somebody's speech (fixed values).
 REPORTING = frozenset("said says say quote quoted quotes called wrote dit disait cité citation sagte sagt schrieb zitat dijo dice cita escribió".split())
@@ -316,11 +318,22 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     ignored; an empty table gives no rows.
     """
 
+    scored = _with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "score").drop("text")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with their columns, that score() does not call toxic."""
+    name = fresh(docs, "score")
+    return _with_score(docs, model, name).where(F.col(name) < threshold).select(*docs.columns)
+
+
+def _with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def run(batches):
         matcher = Matcher(Automaton(model.terms))
         for b in batches:
-            x = np.array([features(matcher, t or "") for t in b["text"]], float).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.scores(x)})
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            x = np.array([features(matcher, t or "") for t in columns["text"].to_pylist()], float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x))], [*b.schema.names, name])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
