@@ -1,31 +1,38 @@
 """N-gram Jaccard join: a size-aware heavy-light self join of the documents' shingle sets.
 
 Small (light) sets are joined by enumerating their fixed-size subsets: two sets are linked exactly when they share a
-subset of the size that the threshold asks for. Large (heavy) sets are joined by scanning inverted lists of shingles:
-a linked pair must share one of each set's rarest shingles, so only those are listed. The boundary between both is the
-size at which the enumeration becomes dearer than the lists, by the size histogram and the list lengths of the corpus.
+subset of the size that the threshold asks for. Large (heavy) sets are joined by scanning inverted lists. A list holds
+the sets that agree in one part, which is a fixed share of all possible shingles, and not the sets that hold one shingle:
+lists of frequent shingles grow with the corpus, lists of parts only with the number of alike sets. Sets that differ in
+few shingles must agree in a known number of parts, so the join is exact. The boundary between light and heavy is the
+size at which enumeration becomes dearer than lists and checks, by the size histogram of the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import written
+from .common import fresh, without, written
 from .components import connected
 from .shingles import scramble, shingle_set
 
-#: Buckets of the counting sketch that orders shingles from rare to frequent, and the parts in which it is summed.
-SKETCH_BITS, SKETCH_PARTS = 19, 64
 #: Sizes for which subsets can be enumerated at all: their number must stay below MAX_SUBSETS.
 MAX_LIGHT, MAX_SUBSETS = 48, 2000
-#: Candidate ids are broadcast up to this number (8 bytes each), beyond it they are joined by a shuffle.
+#: Ids are broadcast up to this number (8 bytes each), beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Longs of a set's parity sketch: bit i is the parity of the number of its shingles that hash to i.
+PARITY_LONGS = 16
+#: Hubs of a list, besides its smallest set.
+EXTRA_HUBS = 3
+#: Cost of checking a candidate, per shingle, in key rows.
+CHECK_COST = 0.25
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -33,117 +40,180 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - least_overlap(n, num, den) + 1
+def most_apart(n: int, m: int, num: int, den: int) -> int:
+    """The most shingles that only one of two linked sets of n and m holds."""
+    return (den - num) * (n + m) // (den + num)
 
 
 def subsets_of(n: int, num: int, den: int) -> int:
     return sum(comb(n, c) for c in range(least_overlap(n, num, den), n + 1))
 
 
-def boundary(sizes: dict[int, int], partners: float, num: int, den: int) -> int:
-    """The largest light size, by cost: subsets enumerated against list entries, their scans and the checks.
+class Parts:
+    """Size classes and their numbers of parts. Class j holds sizes starts[j] to starts[j + 1] - 1.
 
-    sizes: number of sets of each size up to MAX_LIGHT; partners: mean number of partners met per list entry. Light
-    sets that a heavy set can reach enter the lists too, which is counted.
+    A linked pair is found in the class of its smaller set; the larger set, where it can reach into the class below,
+    is listed there too. Sets of a class are cut into `apart` + spare parts, where `apart` bounds the differences.
     """
-    able = [n for n in range(1, MAX_LIGHT + 1) if subsets_of(n, num, den) <= MAX_SUBSETS]
-    last = 0
-    while last + 1 in able:
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.growth = 1 + 1.4 * ((den - num) / num) ** 0.5
+
+    def starts(self, n: int) -> tuple[int, int, int]:
+        """Class of size n, its first size and the first size of the next class."""
+        j, low = 0, 1
+        while True:
+            high = max(low + 1, ceil(low * self.growth))
+            if n < high:
+                return j, low, high
+            j, low = j + 1, high
+
+    def count(self, high: int) -> int:
+        top = high - 1
+        apart = most_apart(top, top * self.den // self.num, self.num, self.den)
+        return apart + 2 + ceil(0.04 * apart)
+
+    def listings(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, parts, most differences) of each class that a set of n is listed in."""
+        j, low, high = self.starts(n)
+        out = [(j, self.count(high), most_apart(n, n * self.den // self.num, self.num, self.den))]
+        if j and least_overlap(n, self.num, self.den) < low:
+            out.append((j - 1, self.count(low), most_apart(n, low - 1, self.num, self.den)))
+        return out
+
+
+def boundary(sizes: dict[int, int], num: int, den: int) -> int:
+    """The largest light size, by cost: subsets enumerated against parts listed and candidates checked.
+
+    sizes: number of sets of each size up to MAX_LIGHT. Light sets that a heavy set can reach are listed too.
+    """
+    parts, last = Parts(num, den), 0
+    while last < MAX_LIGHT and subsets_of(last + 1, num, den) <= MAX_SUBSETS:
         last += 1
+    listed = {n: sum(m for _, m, _ in parts.listings(n)) + CHECK_COST * n for n in range(1, MAX_LIGHT + 1)}
 
     def cost(x: int) -> float:
-        light = sum(k * subsets_of(n, num, den) for n, k in sizes.items() if n <= x)
-        listed = sum(k * (prefix_length(n, num, den) * (1 + partners) + n) for n, k in sizes.items() if n > x)
-        visiting = sum(k * prefix_length(n, num, den) * (1 + partners) for n, k in sizes.items() if least_overlap(x + 1, num, den) <= n <= x)
-        return light + listed + visiting
+        return sum(k * ((subsets_of(n, num, den) if n <= x else 0) + (listed[n] if n >= least_overlap(x + 1, num, den) else 0)) for n, k in sizes.items() if 1 <= n <= MAX_LIGHT)
 
     return min(range(last + 1), key=lambda x: (cost(x), x))
 
 
-def _sketched(docs: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int], float]:
-    """Per bucket of shingle hashes a frequency class (bytes); the small sets' size histogram; mean partners met."""
-    shift, width = np.uint64(64 - SKETCH_BITS), (1 << SKETCH_BITS) // SKETCH_PARTS
+def subset_keys(toks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A key of each subset that is large enough to prove a link; the low six bits hold the subset's size."""
+    n = len(toks)
+    mixed = scramble(toks)
+    sums, last, out = np.array([mixed.sum(dtype=np.uint64)], np.uint64), np.array([-1]), []
+    for size in range(n, least_overlap(n, num, den) - 1, -1):
+        out.append(scramble(sums + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(63) | np.uint64(size))
+        row, col = np.nonzero(np.arange(n)[None, :] > last[:, None])  # the next shingle left out comes after the last one
+        sums, last = sums[row] - mixed[col], col
+    return np.concatenate(out)
 
-    def count(batches):
-        total, sizes, seen = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(MAX_LIGHT + 1, np.int64), False
-        for batch in batches:
-            for text in batch["text"]:
-                toks = shingle_set(text, k)
-                seen = True
-                np.add.at(total, (toks >> shift).astype(np.int64), 1)
-                if len(toks) <= MAX_LIGHT:
-                    sizes[len(toks)] += 1
-        if seen:
-            parts = list(total.reshape(SKETCH_PARTS, width)) + [sizes]
-            yield pd.DataFrame({"part": range(SKETCH_PARTS + 1), "counts": [p.tobytes() for p in parts]})
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch["part"], batch["counts"], strict=True):
-                counts = np.frombuffer(counts, np.int64)
-                sums[part] = sums[part] + counts if part in sums else counts.copy()
-        yield pd.DataFrame({"part": list(sums), "counts": [x.tobytes() for x in sums.values()]})
-
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInPandas(count, schema).repartition("part").mapInPandas(add, schema).collect()  # 65 rows, 4 MB
-    parts = {r["part"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in rows}
-    total = np.concatenate([parts.get(i, np.zeros(width, np.int64)) for i in range(SKETCH_PARTS)])
-    sizes = {n: int(c) for n, c in enumerate(parts.get(SKETCH_PARTS, ())) if n and c}
-    mean = total.mean() or 1.0
-    partners = float((total.astype(float) ** 2).sum() / max(total.sum(), 1) / max(mean, 1.0)) - 1 if total.sum() else 0.0
-    classes = np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-    return classes, sizes, max(0.0, partners)
-
-
-def _keyed(docs: DataFrame, k: int, num: int, den: int, light: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n, set_hash, subsets (keys of a light set), rare (the listed shingles of a set that can meet a heavy one)."""
-    order = docs.sparkSession.sparkContext.broadcast(classes)  # 2^SKETCH_BITS bytes
-    shift = np.uint64(64 - SKETCH_BITS)
-    listed_from = least_overlap(light + 1, num, den)
 
-    def subset_keys(toks: np.ndarray) -> np.ndarray:
-        n = len(toks)
-        mixed = scramble(toks)
-        out: list[np.ndarray] = []
-        removed = [(np.array([mixed.sum(dtype=np.uint64)], np.uint64), np.array([-1]))]
-        for size in range(n, least_overlap(n, num, den) - 1, -1):
-            sums, last = removed[-1]
-            out.append(scramble(sums + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(63) | np.uint64(size))
-            later = np.arange(n)[None, :] > last[:, None]  # the next removed shingle comes after the last one
-            row, col = np.nonzero(later)
-            removed.append((sums[row] - mixed[col], col))
-        return np.concatenate(out)
+def part_keys(toks: np.ndarray, j: int, m: int, apart: int) -> tuple[np.ndarray, int]:
+    """Keys of the parts of a set in class j, and how many of them any partner shares at least.
+
+    Parts without shingles are left out, unless they are so many that a partner might share no others.
+    """
+    mixed = scramble(toks ^ np.uint64(0xD6E8FEB86659FD93))
+    part = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at, first = np.unique(part[order], return_index=True)
+    sums = np.zeros(m, np.uint64)
+    sums[at] = np.add.reduceat(scramble(mixed[order]), first)
+    keys = scramble(sums + scramble(np.arange(m, dtype=np.uint64) + np.uint64(j << 32) + np.uint64(1)))
+    empty, shared = m - len(at), m - apart
+    return (keys[at], shared - empty) if empty < shared else (keys, 1)
+
+
+def _keyed(docs: DataFrame, k: int, num: int, den: int, light: int) -> DataFrame:
+    """Rows of (doc_id, set_hash, n, class, need, keys): class -1 holds subsets, others the parts of a listing."""
+    parts = Parts(num, den)
+    listed_from = least_overlap(light + 1, num, den)
 
     def keys(batches):
         for batch in batches:
-            n, digest, subsets, rare = [], [], [], []
-            for text in batch["text"]:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 toks = shingle_set(text, k)
-                n.append(len(toks))
-                digest.append(hashlib.blake2b(toks.tobytes(), digest_size=16).digest())
+                n = len(toks)
+                if not n:
+                    continue
+                digest = _digest(toks)
                 with np.errstate(over="ignore"):
-                    subsets.append(subset_keys(toks).view(np.int64) if 0 < len(toks) <= light else None)
-                if len(toks) and len(toks) >= listed_from:
-                    rank = order.value[(toks >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56) | scramble(toks) >> np.uint64(8)
-                    p = prefix_length(len(toks), num, den)
-                    rare.append(toks[np.argpartition(rank, p - 1)[:p]].view(np.int64))
-                else:
-                    rare.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "set_hash": digest, "subsets": subsets, "rare": rare})
+                    if n <= light:
+                        rows.append((doc, digest, n, -1, 0, subset_keys(toks, num, den).view(np.int64)))
+                    if n >= listed_from:
+                        for j, m, apart in parts.listings(n):
+                            found, need = part_keys(toks, j, m, apart)
+                            rows.append((doc, digest, n, j, need, found.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "set_hash", "n", "class", "need", "keys"])
+
+    return docs.where("doc_id is not null").mapInPandas(keys, "doc_id long, set_hash binary, n long, class int, need int, keys array<long>")
+
+
+def _digest(toks: np.ndarray) -> bytes:
+    return hashlib.blake2b(toks.tobytes(), digest_size=16).digest()
+
+
+def _sized(docs: DataFrame, k: int) -> DataFrame:
+    def sizes(batches):
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "set_hash": [_digest(s) for s in sets]})
+
+    return docs.mapInPandas(sizes, "doc_id long, n long, set_hash binary")
+
+
+def _shared_lists(rows: DataFrame) -> DataFrame:
+    """The rows (key, ...) whose key some other row has too: one shuffle, then a scan of sorted runs in bounded memory."""
+
+    def runs(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            key = batch["key"].to_numpy()
+            same = np.concatenate([[False], key[1:] == key[:-1]])
+            if held is not None:
+                same[0] = met
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            held, met = batch.iloc[[-1]], bool(same[-1])
+            yield batch[keep & (np.arange(len(batch)) < len(batch) - 1)]
+        if held is not None and met:
+            yield held
 
-    return docs.mapInPandas(keys, "doc_id long, n long, set_hash binary, subsets array<long>, rare array<long>")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(runs, rows.schema)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def parity(toks: np.ndarray) -> np.ndarray:
+    """Sketches of two sets differ in at most as many bits as the sets differ in shingles."""
+    bits = np.bincount((scramble(toks) >> np.uint64(20)).astype(np.int64) % (64 * PARITY_LONGS), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(p, q, n, m, num: int, den: int):
+    """False only for pairs whose sketches differ in more bits than linked sets may differ in shingles."""
+    differing = sum((F.bit_count(F.get(p, i).bitwiseXOR(F.get(q, i))) for i in range(1, PARITY_LONGS)), F.bit_count(F.get(p, 0).bitwiseXOR(F.get(q, 0))))
+    return differing * (den + num) <= (den - num) * (n + m)
 
 
 def _token_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def sets(batches):
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "toks": [shingle_set(t, k).tobytes() for t in batch["text"]]})
+            toks = [shingle_set(t, k) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["doc_id"], "toks": [t.tobytes() for t in toks], "size": [len(t) for t in toks], "sketch": [parity(t) for t in toks]})
 
-    few = ids.count() <= BROADCAST_IDS
-    ids = ids.withColumnRenamed("id", "doc_id")
-    return written(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInPandas(sets, "id long, toks binary"), "sets")
+    schema = "id long, toks binary, size int, sketch array<long>"
+    return written(docs.join(_few(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInPandas(sets, schema), "sets")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -165,10 +235,43 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     )
 
 
-def _apart(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one cluster yet."""
-    a, b = clusters.select(F.col("node").alias("a"), F.col("component").alias("ca")), clusters.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _apart(pairs: DataFrame, clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose ends are not in one cluster yet and whose sketches let them be linked."""
+    known = sets.select(F.col("id").alias("node"), "size", "sketch").join(clusters, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    a, b = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where((F.col("ca") != F.col("cb")) & _may_link("sa", "sb", F.col("na"), F.col("nb"), num, den)).select("a", "b")
+
+
+def _selective(lists: DataFrame) -> DataFrame:
+    """Of each listing, the lists that its partners cannot all avoid, shortest first.
+
+    A partner shares `need` lists or more. A listing with fewer shared lists has no partner; of k shared lists, the
+    need - 1 longest can go, as the shortest list of a linked pair stays on both sides.
+    """
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    own = Window.partitionBy("id", "class")  # at most as many rows as the set has parts
+    ranked = lists.join(sizes, "key").withColumns({"k": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("members", "key"))})
+    return ranked.where((F.col("k") >= F.col("need")) & (F.col("rank") <= F.col("k") - F.col("need") + 1)).select("key", "id", "n")
+
+
+def _across(lists: DataFrame, clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a list that are in different clusters and whose sketches let them be linked.
+
+    Lists within one cluster make none, and in others the members of the largest cluster are compared with the rest only.
+    The join's condition holds the sketches, so candidates that are not alike leave no rows.
+    """
+    own = lists.select("key", "id", "n").join(clusters.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("clusters")).where("clusters > 1").select("key", F.col("most.component").alias("major"))
+    rows = written(own.join(mixed, "key").join(sets.select("id", "sketch"), "id"), "mixed")
+    left = rows.where("component <> major")
+    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("other_sketch"), (F.col("component") == F.col("major")).alias("of_major"))
+    met = left.join(
+        right,
+        (left["key"] == right["key"]) & (left["component"] != right["other"]) & (right["of_major"] | (left["id"] < right["b"]))
+        & _may_link(left["sketch"], right["other_sketch"], left["n"], right["m"], num, den),
+    )
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
 def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -180,21 +283,26 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     keep their n_shingles, get a null component_id and link nothing; rows that share a doc_id stand for one document,
     whose links they share. Empty tables give empty results.
 
-    Equal sets are merged first, so a group of copies is one set. In each list, sets are compared with hubs of the list
-    before any others; pairs whose ends are in one component by then need no check, so a group of near copies costs a
-    multiple of its size and not its square. All remaining pairs that share a listed shingle are checked exactly.
+    Equal sets are merged first, so a group of copies is one set. In each list, sets are compared with a few hubs of the
+    list before any others; pairs whose ends are in one component by then need no check, so a group of near copies makes
+    a multiple of its size in pairs and not its square. All remaining pairs that share a list are checked exactly, after
+    a lossless test of their sketches.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes, sizes, partners = _sketched(docs, k)
-    light = boundary(sizes, partners, num, den)
-    keyed = written(_keyed(docs, k, num, den, light, classes), "keyed")
-    known = keyed.where("n > 0 and doc_id is not null")
+    sized = written(_sized(docs, k), "sized")
+    known = sized.where("n > 0 and doc_id is not null")
+    small = known.where(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()  # at most MAX_LIGHT rows
+    light = boundary({r["n"]: r["sets"] for r in small}, num, den)
     reps = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "reps")
-    chosen = known.join(reps.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").select(F.col("doc_id").alias("id"), "n", "subsets", "rare")
+    copies = written(known.join(reps, "set_hash").where("doc_id <> rep").select("doc_id", "set_hash").distinct(), "copies")
+
+    keyed = _keyed(docs, k, num, den, light).join(_few(copies), ["doc_id", "set_hash"], "left_anti")
+    rows = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "class", "need")
+    lists = written(_shared_lists(rows), "lists")
 
     # Light sets: a shared subset of `size` shingles proves the link; the smallest member is linked with all others that any member is.
-    subsets = chosen.where("subsets is not null").select(F.explode("subsets").alias("key"), "id", "n")
-    smallest = subsets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", "id")).alias("hub")).where("members > 1")
+    subsets = lists.where("class = -1").select("key", "id", "n")
+    smallest = subsets.groupBy("key").agg(F.min(F.struct("n", "id")).alias("hub"))
     size = F.col("key").bitwiseAND(F.lit(63))
     light_edges = (
         subsets.join(smallest, "key")
@@ -203,36 +311,49 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
         .distinct()
     )
 
-    # Heavy sets: the lists that hold two sets or more, once written.
-    listed = chosen.where("rare is not null").select(F.explode("rare").alias("key"), "id", "n")
-    hubs = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", "id")).alias("lo"), F.max(F.struct("n", "id")).alias("hi")).where("members > 1")
-    lists = written(listed.join(hubs, "key").select("key", "id", "n", "lo", "hi"), "lists")
+    # Heavy sets.
+    chosen = written(_selective(lists.where("class >= 0")), "chosen")
+    picked = [F.min(F.struct(F.xxhash64("id", "key", F.lit(i)).alias("order"), "n", "id")).alias(f"hub{i}") for i in range(EXTRA_HUBS)]
+    hubs = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("n", "id")).alias("lo"), *picked).where("members > 1")
     near = lambda n, m: (num * F.greatest(n, m) <= den * F.least(n, m))
+    heavy = written(chosen.join(hubs, "key").select("key", "id", "n", F.array("lo", *(F.struct(f"hub{i}.n", f"hub{i}.id") for i in range(EXTRA_HUBS))).alias("hubs")), "heavy")
     to_hubs = written(
-        lists.select("id", "n", F.explode(F.array("lo", "hi")).alias("hub"))
+        heavy.select("id", "n", F.explode(F.array_distinct("hubs")).alias("hub"))
         .where((F.col("id") != F.col("hub.id")) & near(F.col("n"), F.col("hub.n")))
         .groupBy("id", F.col("hub.id").alias("hub"))
         .agg(F.count(F.lit(1)).alias("shared")),
         "to_hubs",
     )
-    sets = _token_sets(docs, lists.select("id").distinct(), k)
+    sets = _token_sets(docs, heavy.select("id").distinct(), k)
     as_pair = (F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     best = to_hubs.groupBy("id").agg(F.max(F.struct("shared", "hub")).alias("best")).select("id", F.col("best.hub").alias("hub"))
     edges = written(_checked(best.select(*as_pair).distinct(), sets, num, den).unionByName(light_edges), "edges")
     clusters = written(connected(edges), "clusters")
-    for pairs in (lambda: to_hubs.select(*as_pair).distinct(), lambda: _across(lists, clusters, near)):
-        more = written(_checked(written(_apart(pairs(), clusters).distinct(), "pairs"), sets, num, den), "edges")
-        clusters = written(connected(clusters.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)), "clusters")
+    for pairs in (lambda: _apart(to_hubs.select(*as_pair).distinct(), clusters, sets, num, den), lambda: _across(heavy, clusters, sets, num, den)):
+        open_pairs = written(pairs(), "pairs")
+        if open_pairs.isEmpty():
+            continue
+        more = written(_checked(open_pairs, sets, num, den), "edges")
+        if not more.isEmpty():
+            clusters = written(connected(clusters.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)), "clusters")
 
     rep_of = reps.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = keyed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_hash")).alias("set_hash"))
+    out = sized.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_hash")).alias("set_hash"))
     return out.join(rep_of, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(lists: DataFrame, clusters: DataFrame, near) -> DataFrame:
-    """All pairs of a list that are of like size and in different clusters; lists within one cluster make none."""
-    own = lists.select("key", "id", "n").join(clusters.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-    left = written(own.join(mixed, "key", "left_semi"), "mixed")
-    right = left.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    return left.join(right, "key").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & near(F.col("n"), F.col("m"))).select(F.col("id").alias("a"), "b").distinct()
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with their columns, that remain when one document of each component of near duplicates stays.
+
+    The document with the component's smallest doc_id stays. Of rows that share a doc_id, the one with the smallest text
+    stays; rows with a null doc_id stay.
+    """
+    found = linked_components(docs, k, num, den)
+    removed = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
+    kept = without(docs, removed)
+    repeated = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    place = fresh(docs, "place")
+    own = kept.join(_few(repeated), "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1)
+    return without(kept, repeated).unionByName(own.select(*docs.columns))
