@@ -26,11 +26,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sieveline-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a step is written: Python workers keep what their largest batch took.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows written to the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_CONF)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

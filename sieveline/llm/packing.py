@@ -7,8 +7,8 @@ pieces of bounded size then draw their share of each combination, rounded, and p
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Words whose ids a worker remembers, and the pieces that one block packs.
-CACHE_WORDS, BLOCK_PIECES = 400_000, 20_000
+CACHE_WORDS, BLOCK_PIECES = 1_000_000, 20_000
+#: ASCII signs, which never share a token with a word before them.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -28,6 +30,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _plain(word: str) -> bool:
+    """A word of Latin letters that keep their number in lower case and in composed form."""
+    return word.isalpha() and max(word) < "\u0130"
+
+
 class Encoder:
     """Ids of whole texts. Words between ASCII white space are encoded once and remembered: this tokenizer drops white
     space and no token spans it, so a text's ids are its words' ids in a row."""
@@ -37,46 +44,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.eos = int(eos).to_bytes(4, "little")
+        self.closing = frozenset(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
         self.known: dict[bytes, bytes] = {}
+        self.forms: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode unseen words; a trailing stop or comma is its own token and is encoded apart."""
+        """Encode unseen words. Signs after a word are tokens of their own, and case is dropped, so stem and signs are encoded apart."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        texts: dict[str, None] = {}
+            self.forms = {"": b""}
+        new: dict[str, None] = {}
         parts: list[tuple[bytes, str, str]] = []
         for w in words:
-            s = w.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode()
-            stem = s.rstrip(".,")
-            if stem != s and stem.isalpha() and unicodedata.is_normalized("NFC", stem):
-                head, tail = stem, s[len(stem) :]
+            try:
+                s = w.decode()
+            except UnicodeDecodeError:
+                s = w.decode("utf-8", "replace")
+            head = s.rstrip(_SIGNS)
+            if _plain(head):
+                tail, head = s[len(head) :], head.lower()
             else:
                 head, tail = s, ""
             parts.append((w, head, tail))
-            texts[head] = texts[tail] = None
-        # Unseen forms only: the text itself also names its entry.
-        new = [t for t in texts if t and t.encode() not in self.known]
-        for i in range(0, len(new), 4096):
-            chunk = new[i : i + 4096]
+            for t in (head, tail):
+                if t not in self.forms:
+                    new[t] = None
+        # Words of letters alone end in exactly one closing token, so many are encoded in one text and told apart by it.
+        plain, other = [t for t in new if _plain(t)], [t for t in new if not _plain(t)]
+        for i in range(0, len(plain), 64 * 256):
+            groups = [plain[j : j + 64] for j in range(i, min(len(plain), i + 64 * 256), 64)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = array("I", e.ids)
+                start, at = 0, iter(group)
+                for k, x in enumerate(ids, 1):
+                    if x in self.closing:
+                        self.forms[next(at)] = ids[start:k].tobytes()
+                        start = k
+                if next(at, None) is not None:
+                    raise RuntimeError("the tokenizer closes no token at the end of a word")
+        for i in range(0, len(other), 4096):
+            chunk = other[i : i + 4096]
             for t, e in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-                self.known[t.encode()] = np.array(e.ids, "<u4").tobytes()
-        self.known[b""] = b""
+                self.forms[t] = array("I", e.ids).tobytes()
+        forms = self.forms
         for w, head, tail in parts:
-            self.known[w] = self.known[head.encode()] + self.known[tail.encode()]
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids with the end id."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        out = []
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            new = set(part).difference(self.known)
+            self.known[w] = forms[head] + forms[tail] if tail else forms[head]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text with the end id. Unseen words of a few texts are encoded together."""
+        out: list[bytes] = []
+        held: list[list[bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            new = set().union(*held).difference(self.known) if held else set()
             if new:
                 self.learn(new)
-                if not self.known.keys() >= set(part):
-                    self.learn(set(part))
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out) + self.eos
+                if len(self.known) == len(new):  # the memory was full and started anew
+                    self.learn(set().union(*held).difference(self.known))
+            out.extend(b"".join(map(self.known.__getitem__, words)) + self.eos for words in held)
+            held.clear()
+
+        for text in texts:
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            held.append(words)
+            size += len(words)
+            if size > 200_000:
+                flush()
+                size = 0
+        flush()
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = 4096, eos: int = 2) -> DataFrame:
@@ -90,8 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = 4096, eo
         encoder = Encoder(path, eos)
         for b in batches:
             rows = []
-            for doc, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
-                ids = encoder.ids(text)
+            for doc, row, ids in zip(b["doc_id"], b["row"], encoder.ids(list(b["text"])), strict=True):
                 n = len(ids) // 4
                 rows += [(doc, row, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pd.DataFrame(rows, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
