@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.text import as_column, sari_tokens, word_ngrams
 
@@ -70,7 +71,7 @@ def length_ratio(source: Column | str, output: Column | str) -> Column:
     return words(output) / F.greatest(words(source), F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_edit_share(source: pd.Series, output: pd.Series) -> pd.Series:
     """Share of the source's words in blocks that the alignment changes (difflib's alignment, not edit distance)."""
 
@@ -96,7 +97,7 @@ def _units(text: str) -> list[tuple[str, str]]:
     return [(a, "".join(sorted(b))) for a, b in out]
 
 
-@F.pandas_udf("struct<letters long, wrong long, words long, wrong_words long>")
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("letters", "wrong", "words", "wrong_words")]))
 def diacritic_errors(reference: pd.Series, output: pd.Series) -> pd.DataFrame:
     """Letters and words of the reference, and those whose marks differ after aligning letters."""
 
@@ -122,7 +123,7 @@ def error_rates(rows: DataFrame, by: list[str], reference: str, output: str) ->
     return e.groupBy(*by).agg((F.sum("e.wrong") / F.greatest(F.lit(1), F.sum("e.letters"))).alias("der"), (F.sum("e.wrong_words") / F.greatest(F.lit(1), F.sum("e.words"))).alias("wer"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def commas_to_stops(source: pd.Series, output: pd.Series) -> pd.Series:
     """Commas of the output that the aligned source has as full stops, made stops again."""
 

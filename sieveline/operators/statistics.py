@@ -170,19 +170,19 @@ def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str,
     without rows. upper_offset moves the upper index, as some reports take one place less.
     """
     v = F.col(value).cast("double")
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(v).alias("s"), F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by) + ", mean double, low double, high double, n long"
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(v).alias("_sum"), F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_first"))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + ", mean double, low double, high double, n long"
 
     def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", kind="stable")
-        groups, rng = list(zip(pdf["s"], pdf["n"], strict=True)), random.Random(1)
+        pdf = pdf.sort_values("_first", kind="stable")
+        groups, rng = list(zip(pdf["_sum"], pdf["_rows"], strict=True)), random.Random(1)
         means = []
         for _ in range(draws):
             g = rng.choices(groups, k=len(groups))
             means.append(sum(x for x, _ in g) / sum(k for _, k in g))
         means.sort()
         low, high = means[int(0.025 * draws)], means[int(0.975 * draws) + upper_offset]
-        return pd.DataFrame([(*key, pdf["s"].sum() / pdf["n"].sum(), low, high, int(pdf["n"].sum()))])
+        return pd.DataFrame([(*key, pdf["_sum"].sum() / pdf["_rows"].sum(), low, high, int(pdf["_rows"].sum()))])
 
     found = sums.groupBy(*by).applyInPandas(draw, schema)
     return found.select(*by, *((F.col(c) * scale).alias(c) for c in ("mean", "low", "high")), "n")

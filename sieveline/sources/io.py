@@ -138,12 +138,13 @@ def report_rows(spark: SparkSession, path: str, section: str, row: str) -> DataF
 
     Lines are numbered within the file by one reader, as reports are small.
     """
-    from pyspark.sql.window import Window
-
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    head = F.regexp_extract("line", section, 1)
-    state = F.last(F.when(F.length(head) > 0, head), ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("n"))
-    return lines.withColumn("section", state).where(F.regexp_like("line", F.lit(row))).select("section", F.trim(F.regexp_extract("line", row, 1)).alias("name"), F.regexp_extract("line", row, 2).cast("double").alias("value"))
+    # The heading of a line is the last one above it: found within the file's own array of lines.
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"))
+    heads = lines.select("lines", F.transform("lines", lambda x: F.regexp_extract(x, section, 1)).alias("heads"))
+    rows = heads.select("heads", F.posexplode("lines").alias("n", "line")).where(F.regexp_like("line", F.lit(row)))
+    above = F.filter(F.slice("heads", 1, F.col("n") + 1), lambda h: F.length(h) > 0)
+    name, value = F.trim(F.regexp_extract("line", row, 1)), F.regexp_extract("line", row, 2).cast("double")
+    return rows.select(F.try_element_at(above, F.lit(-1)).alias("section"), name.alias("name"), value.alias("value"))
 
 
 def prefixed_lines(spark: SparkSession, path: str, prefix: str) -> DataFrame:
