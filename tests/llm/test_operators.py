@@ -1,0 +1,387 @@
+"""Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.llm import chat_format, html_extract, jaccard_join, nearest, packing, quality_gam, quality_rules, toxicity, url_filter
+from sieveline.llm.common import without, written
+from sieveline.llm.components import connected
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng: random.Random, n: int) -> str:
+    syllables = ["the", "of", "and", "in", "er", "on", "an", "re", "ti", "es", "or", "ha", "st", "nd"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.choice([1, 1, 2, 2, 3]))) for _ in range(n)]
+    lines = [" ".join(words[i : i + 12]).capitalize() + "." for i in range(0, n, 12)]
+    return "\n".join(lines)
+
+
+# 4 N-gram Jaccard join
+
+
+def brute_components(rows, k, num):
+    sets, parent = {}, {}
+    for d, x in rows:
+        w = (x or "").encode().lower().split()
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+        parent[d] = d
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_join_equals_brute_force(spark, k, num):
+    rng = random.Random(k)
+    rows, i = [], 0
+    for n in (1, 2, 4, 9, 12, 19, 30, 60, 150):
+        for _ in range(6):
+            base = prose(rng, n).split(" ")
+            for edits in (0, 0, 1, 1, 2, 4):
+                words = list(base)
+                for _ in range(edits):
+                    words[rng.randrange(len(words))] = rng.choice(["xx", "yy", "zz"])
+                rows.append((i, " ".join(words)))
+                i += 1
+    rows += [(i, None), (i + 1, ""), (i + 2, " \n\t"), (i + 3, "The  OF"), (i + 4, "the of")]
+    docs = spark.createDataFrame([(d, x, "size") for d, x in rows], "doc_id long, text string, n string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_components(docs, k, num, 100).collect()}
+    assert got == brute_components(rows, k, num)
+
+
+def test_jaccard_join_without_rows_and_with_odd_ids(spark):
+    assert jaccard_join.linked_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(None, text), (7, text), (7, text), (3, text + " more"), (9, "")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.linked_components(docs).collect()), key=str)
+    assert got == sorted([(None, None), (7, 3), (7, 3), (3, 3), (9, 9)], key=str)
+    kept = jaccard_join.one_of_each(docs.withColumn("place", F.lit(1)))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, 3, 9], key=str)
+
+
+def test_subsets_and_parts_share_what_they_must():
+    rng = np.random.default_rng(0)
+    parts = jaccard_join.Parts(80, 100)
+    for n in (20, 45, 100, 400):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 10], rng.integers(0, 2**63, n // 12).astype(np.uint64)])
+        lists = [{(j, x): need for j, m, apart in parts.listings(len(s)) for keys, need in [jaccard_join.part_keys(s, j, m, apart)] for x in keys.tolist()} for s in (a, b)]
+        both = lists[0].keys() & lists[1].keys()
+        assert both
+        assert max(Counter(j for j, _ in both).values()) >= max(min(v for k, v in side.items() if k in both) for side in lists)
+        differing = sum(bin(int(x) & (2**64 - 1)).count("1") for x in jaccard_join.parity(a) ^ jaccard_join.parity(b))
+        assert differing <= len(np.setxor1d(a, b))
+    assert len(jaccard_join.subset_keys(np.arange(12, dtype=np.uint64), 90, 100)) == jaccard_join.subsets_of(12, 90, 100) == 13
+    assert 0 <= jaccard_join.boundary({n: 100 for n in range(1, 49)}, 90, 100) <= jaccard_join.MAX_LIGHT
+    assert jaccard_join.boundary({}, 90, 100) == 0
+
+
+def test_components_of_long_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 200)] + [(1000, j) for j in range(1001, 1100)] + [(5, 5), (None, 3), (2, 1)]
+    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 201)}, **{j: 1000 for j in range(1000, 1100)}}
+    assert connected(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+# 2 URL filters
+
+
+def test_url_filter(spark):
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "bad.org", ""), ("allow", "bad.org", "")]
+    urls = {
+        1: ("http://www.example.com/en/x?y", "www.example.com/en/", "allow"), 2: ("https://EXAMPLE.com/en/", "example.com/en/", "block"), 3: ("http://a.b.example.com/en/1", "example.com/en/", "block"),
+        4: ("http://notexample.com/en/", "com/", "allow"), 5: ("http://x.net/es/1#z", "net/es/", "block"), 6: ("http://x.net/de/", None, "allow"), 7: (None, None, "allow"), 8: ("nothing", None, "allow"),
+        9: ("http://example.com", None, "allow"), 10: ("http://a.bad.org?q=/en/", "bad.org", "block"), 11: ("ftp://example.com:80/en/", None, "allow"),
+    }
+    pages = spark.createDataFrame([(p, u, "old", 3) for p, (u, _, _) in urls.items()] + [(1, urls[1][0], "old", 3)], "page_id long, url string, rule string, row int")
+    got = url_filter.judge(pages, url_filter.rules_frame(spark, rules)).collect()
+    assert len(got) == len(urls) + 1
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {p: (rule, v) for p, (_, rule, v) in urls.items()}
+    hosts = {r["page_id"]: (r["host"], r["path"]) for r in got}
+    assert hosts[2] == ("example.com", "/en/")
+    assert hosts[7] == ("", "")
+    assert hosts[10] == ("a.bad.org", "")
+    assert url_filter.judge(pages.limit(0), url_filter.rules_frame(spark, rules)).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(pages, url_filter.rules_frame(spark, rules).limit(0), default="block").collect()} == {"block"}
+
+
+# 3 HTML extraction
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("no markup &amp; all", "no markup & all"), ("<p>a<p>b", "a\nb"), ("<script>var x='</p>'</script><p>One,  two\n three</p>", "One, two three"),
+        ("<html><body><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><div class='cookie-notice'><p>We use cookies, ok</p></div><article><h1>Title</h1><p><b>Bold.<br><p>More, &lt;b&gt; text.</p><ul><li>x<li>y</ul>"
+         "<section class='comments'><p>Nice, nice, nice post</p></section></article><aside><p>See also, this</p></aside><footer>&copy; me</footer></body></html>", "Title\nBold.\nMore, <b> text.\nx\ny"),
+        ("<div id='menu'><a href='#'>a</a></div><div id='content'><p>" + "Long, text. " * 20 + "</p><form><p>Your mail</p></form></div><div class='sidebar'><p>side</p></div>", ("Long, text. " * 20).strip()),
+    ],
+)
+def test_main_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_extraction_keeps_rows(spark):
+    deep = "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000
+    pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 5), (1, "u", "<p>a b</p>", 5), (2, None, None, 5), (3, "u", deep, 5), (4, "u", "<p>" + "w " * 200_000 + "</p>", 5)], "page_id long, url string, html string, text int")
+    got = sorted((r["page_id"], r["n_chars"]) for r in html_extract.extract(pages).collect())
+    assert got == [(1, 3), (1, 3), (2, 0), (3, 4), (4, 399_999)]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+# 5 Chat formatting
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "user", "a <| b \\ c"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>assistant ok\\"), (2, 5, "we\nird\\n", None), (2, 5, "we\nird\\n", None), (3, 0, None, ""), (None, 0, "user", "lost"), (4, None, "assistant", "x")]
+    rows += [(9, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(300)]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, node int").repartition(5)
+    messages = written(chat_format.messages_of(turns), "messages")
+    pieces = chat_format.format_paths(chat_format.paths(messages), messages)
+    expected = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            expected[c].append((t if t is not None else -1, role or "", text or ""))
+    formatted = {r["tree"]: r["formatted"] for r in chat_format.assembled(pieces).collect()}
+    assert {c: chat_format.parse(x) for c, x in formatted.items()} == {c: [(r, x) for _, r, x in sorted(v)] for c, v in expected.items()}
+    for r in chat_format.digests(pieces).collect():
+        turns_ = sorted(expected[r["conv_id"]])
+        masked = "".join(x for _, role, x in turns_ if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(turns_), len(masked), len(formatted[r["conv_id"]]))
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns_).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(masked.encode()).hexdigest()
+    assert chat_format.messages_of(turns.limit(0)).count() == 0
+
+
+def test_reply_trees_rank_branches(spark):
+    #      1 (0) -> 2 (1) -> 4 (5);  1 -> 3 (9);  1 -> 5 (9) -> 6 (9)
+    rows = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 4, 2, 5.0), ("t", 3, 1, 9.0), ("t", 5, 1, 9.0), ("t", 6, 5, 9.0), ("s", 10, None, None), ("r", 20, 99, 1.0)]
+    messages = spark.createDataFrame([(*r, "user", str(r[1])) for r in rows], "tree string, node long, parent long, score double, role string, text string")
+
+    def listed(branches):
+        out = defaultdict(list)
+        for r in chat_format.paths(messages, branches).collect():
+            out[r["path"]].append((r["position"], r["node"]))
+        return {k: [n for _, n in sorted(v)] for k, v in out.items()}
+
+    assert listed(1) == {6: [1, 5, 6], 10: [10], 20: [20]}
+    assert listed(2) == {6: [1, 5, 6], 3: [1, 3], 10: [10], 20: [20]}
+    assert listed(None) == {6: [1, 5, 6], 3: [1, 3], 4: [1, 2, 4], 10: [10], 20: [20]}
+    cycle = spark.createDataFrame([("t", 1, 2, 0.0), ("t", 2, 1, 0.0)], "tree string, node long, parent long, score double")
+    with pytest.raises(ValueError, match="cycle"):
+        chat_format.paths(cycle)
+
+
+# 6 Quality rules
+
+
+def test_quality_counts_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = [None, "", " \n ", "a b c d e a b c d e", "x x x x x x x x", "l\nl\n\n \nl\nm", "#tag <b> 5% $|&*", "one two three four five six seven eight nine ten eleven", "é ü ß" * 5]
+    texts += [prose(rng, n) for n in (30, 80, 300)] + [(prose(rng, 40) + "\n") * 3, "!!! ### " * 300, "word " * 20_000]
+    docs = spark.createDataFrame([(i, t, ("en", "xx", None)[i % 3], 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", 1)], "doc_id long, text string, lang string, n_words int")
+    got = quality_rules.judged(docs).collect()
+    assert len(got) == len(texts) + 1
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        w = word.findall(t)
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if word.search(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (
+            len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed,
+        )
+        assert not (failed and r["kept"])
+    assert quality_rules.judged(docs.limit(0)).count() == 0
+
+
+def test_jensen_shannon_distance(spark):
+    row = spark.range(1).select(
+        quality_rules.distance(F.array(F.lit(1), F.lit(1)), F.array(F.lit(0.5), F.lit(0.5))).alias("same"), quality_rules.distance(F.array(F.lit(2), F.lit(0)), F.array(F.lit(0.0), F.lit(1.0))).alias("apart"),
+        quality_rules.distance(F.array(F.lit(3), F.lit(1)), F.array(F.lit(0.25), F.lit(0.75))).alias("some"), quality_rules.distance(F.array(F.lit(0)), F.array(F.lit(1.0))).alias("none"),
+    ).first()
+    m = math.sqrt((0.75 * math.log2(1.5) + 0.25 * math.log2(0.5)) / 2 * 2)
+    assert (row["same"], row["apart"], row["none"]) == (0, 1, None)
+    assert row["some"] == pytest.approx(m)
+
+
+# 7 Nearest neighbours
+
+
+def test_nearest_recall_and_scores(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1500, 24)).astype(np.float32)
+    x[700:1000] = x[0]  # copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2100, [0.0] * 24), (2200, [float("nan")] + [1.0] * 23), (2300, [1.0]), (2400, [None] + [1.0] * 23), (None, [1.0] * 24)]
+    vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
+    got = defaultdict(list)
+    for r in nearest.search(vectors, F.col("vec_id") % 100 == 0, k=10).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 1500, 100))
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        best = [int(i) for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert all(s == d[i] for _, i, s in found)
+        assert [(s, i) for _, i, s in found] == sorted((s, i) for _, i, s in found)
+        hits += len({i for _, i, _ in found} & set(best))
+    assert hits >= 0.9 * 10 * len(got)
+    assert [i for _, i, _ in sorted(got[0])] == list(range(700, 710))  # ties go to the smaller id
+    assert nearest.search(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    few = nearest.search(vectors.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, k=10).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2]
+
+
+# 9 Packing
+
+
+def test_packing_is_exact(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    texts = [None, "", "it's a <|endoftext|>x 'll we'll. O'RE, don't...", "ΣΑΣ Σ. İstanbul ﬁne é a\x1cb\x85y 12.5 a1b2, ...,", "naïve, Ⅷ. ªº. ŉ ß, ẞ. 你好，世界。 ١٢٣ ², ½"] + [prose(rng, n) for n in (5, 50, 400, 900, 3000, 9000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(6, texts[6]), (None, "null id")] + [(100 + i, prose(rng, rng.randrange(1, 700))) for i in range(150)]
+    got = packing.pack(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")).collect()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    expected = Counter()
+    for d, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        for s in range(0, len(ids), 4096):
+            part = ids[s : s + 4096]
+            expected[d, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == expected
+    loads = defaultdict(list)
+    for r in got:
+        loads[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in loads.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert sum(r["length"] for r in got) >= 0.9 * 4096 * (len(loads) - 1)
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeat_counts_are_nonnegative_least_squares():
+    a = np.array([[1.0, 0.0, 1.0], [0.0, 2.0, 1.0]])
+    x = packing.nonnegative(a, np.array([30.0, 40.0]), rounds=5000)
+    assert (x >= 0).all()
+    assert np.allclose(a @ x, [30, 40], atol=0.1)
+    assert (packing.nonnegative(np.array([[1.0, -1.0]]), np.array([-5.0])) >= 0).all()
+
+
+# 1 Toxicity, 10 Quality
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_equals_edit_distance():
+    rng = random.Random(1)
+    terms = (toxicity.Term("idiot", 3.0, False, 2.0), toxicity.Term("worthless", 4.0, False, 3.0), toxicity.Term("scum", 3.5, False, 3.0), toxicity.Term("lostr", 5.0, True))
+    automaton = toxicity.Automaton(terms)
+    words = ["idiot", "idot", "idiott", "xdiot", "iidiot", "diot", "scum", "scam", "lostrand", "lost", "worthles", "worhtless", "", "the"]
+    words += ["".join(rng.choice("idotwrhles") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    for w in words:
+        best = 0.0
+        for t in terms:
+            if t.stem and w.startswith(t.text) or not t.stem and w == t.text:
+                best = max(best, t.weight)
+            elif not t.stem and len(t.text) >= toxicity.FUZZY_FROM and len(w) >= toxicity.FUZZY_FROM - 1 and edit_distance(w, t.text) == 1:
+                best = max(best, t.fuzzy_weight)
+        m = automaton.match(w)
+        assert (0.0 if m is None else terms[m[0]].fuzzy_weight if m[1] else terms[m[0]].weight) == best, w
+
+
+def test_context_tells_quotation_from_abuse():
+    matcher = toxicity.Matcher(toxicity.Automaton((toxicity.Term("idiot", 3.0, False, 2.0),)))
+    plain = toxicity.features(matcher, "you are an idiot and that is that")
+    quoted = toxicity.features(matcher, 'in the play he shouts "an idiot" and that is that')
+    assert quoted[2] < plain[2]
+    assert quoted[4] == plain[4]
+
+
+def labelled(spark, mark, n=400):
+    rng = random.Random(10)
+    docs, labels = [], []
+    for i in range(n):
+        y = int(rng.random() < 0.3)
+        text = prose(rng, rng.randrange(20, 120))
+        docs.append((i, mark(rng, text) if y else text, "en", "s", 0))
+        labels.append((i, y))
+    docs += [(n, None, None, None, None), (n + 1, "", "en", "s", 0), (0, docs[0][1], "en", "s", 0)]
+    return spark.createDataFrame(docs, DOCS).withColumn("score", F.lit(1)), spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, y int")
+
+
+def check_scores(got, labels, n, threshold, least):
+    truth = {r["doc_id"]: r["y"] for r in labels.where("doc_id is not null and y is not null").collect()}
+    assert len(got) == n + 3
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= threshold) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= least * len(held)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    def mark(rng, text):
+        words = text.split(" ")
+        for _ in range(4):
+            words.insert(rng.randrange(len(words)), rng.choice(["moron", "stupid", "scum", "blurgh" + rng.choice(["an", "st", "er"])]))
+        return " ".join(words)
+
+    docs, labels = labelled(spark, mark)
+    model = toxicity.fit(docs, labels.withColumnRenamed("y", "toxic"))
+    check_scores(toxicity.score(docs, model).collect(), labels, 400, 0.3, 0.95)
+    assert toxicity.without_toxic(docs, model).columns == docs.columns
+    empty = toxicity.fit(docs.limit(0), labels.limit(0).withColumnRenamed("y", "toxic"))
+    assert toxicity.score(docs.limit(0), empty).count() == 0
+    assert toxicity.score(docs, empty).where("predicted = 1").count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = labelled(spark, lambda rng, text: " ".join(w + rng.choice(["###", "$$$", "***"]) for w in text.split(" ")))
+    labels = labels.withColumn("quality", 1 - F.col("y")).withColumn("y", F.col("quality"))
+    model = quality_gam.fit(docs, labels)
+    assert model.pairs
+    check_scores(quality_gam.score(docs, model).collect(), labels, 400, 0.7, 0.95)
+    again = quality_gam.fit(docs.repartition(7), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(model.tables, again.tables, strict=True))
+    assert quality_gam.score(docs.limit(0), quality_gam.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_removal_is_null_safe(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "a"), (2, "a")], "id long, x string")
+    assert sorted(r["x"] for r in without(df, spark.createDataFrame([(None, "b"), (2, "a")], "id long, x string")).collect()) == ["a"]
