@@ -105,7 +105,7 @@ def subset_keys(toks: np.ndarray, num: int, den: int) -> np.ndarray:
     mixed = scramble(toks)
     sums, last, out = np.array([mixed.sum(dtype=np.uint64)], np.uint64), np.array([-1]), []
     for size in range(n, least_overlap(n, num, den) - 1, -1):
-        out.append(scramble(sums + np.uint64(size) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(63) | np.uint64(size))
+        out.append(scramble(sums + np.array([size], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(63) | np.uint64(size))
         row, col = np.nonzero(np.arange(n)[None, :] > last[:, None])  # the next shingle left out comes after the last one
         sums, last = sums[row] - mixed[col], col
     return np.concatenate(out)

@@ -2,4 +2,42 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .quality_rules import CHANCE, CHAR_CLASSES, COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_COMMON
+from .queries import URL_RULES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+URL_SQL = f"""
+with r(verdict, rule_host, rule_path) as (values {", ".join(str(r) for r in URL_RULES)}),
+p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') as host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+m as (select page_id, host, path, rule_host || rule_path as rule, verdict from p left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from (select *, row_number() over (partition by page_id order by length(rule) desc nulls last) as k from m) where k = 1"""
+
+_WORDS = ", ".join(f"('{lang}', {i}, '{w}')" for lang, listed in COMMON_WORDS.items() for i, w in enumerate(listed))
+_CLASSES = ", ".join(f"length(regexp_replace(text, '{p}', '', 'g'))" for p in CHAR_CLASSES.values())
+
+QUALITY_SQL = rf"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+u as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos, len(ws) as n from w),
+g as (select doc_id, pos, case when pos <= n - 4 then concat_ws(' ', word, lead(word, 1) over s, lead(word, 2) over s, lead(word, 3) over s, lead(word, 4) over s) end as gram from u window s as (partition by doc_id order by pos)),
+f as (select doc_id, pos, cast(gram is not null and count(*) over (partition by doc_id, gram) > 1 as int) as rep from g),
+c as (select doc_id, max(rep) over (partition by doc_id order by pos rows between 4 preceding and current row) as cov from f),
+b as (select w.doc_id, lang, text, ws, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+             cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(k.n, 0) as bigint) as n_repeat_words from w left join (select doc_id, sum(cov) as n from c group by 1) k using (doc_id)),
+e as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b),
+cl as (select doc_id, lang, base_failed, length(text) as chars, [{_CLASSES}] as cs from e),
+ch as (select doc_id, lang, base_failed, 'char' as kind, unnest(range({len(CHAR_CLASSES) + 1})) as bin, unnest(list_append(cs, chars - list_sum(cs))) as c from cl),
+k(lang, bin, word) as (values {_WORDS}),
+wo as (select doc_id, e.lang, base_failed, 'word' as kind, k.bin, len(list_filter(ws, lambda x: lower(x) = k.word)) as c from e join k on k.lang = e.lang),
+a as (select doc_id, lang, base_failed, kind, bin, cast(c as double) as c from ch union all select doc_id, lang, base_failed, kind, bin, cast(c as double) from wo),
+rf as (select lang, kind, bin, sum(c) as s from a where not base_failed group by 1, 2, 3), rt as (select lang, kind, sum(s) as t from rf group by 1, 2),
+q as (select lang, kind, bin, s / greatest(1.0, t) as q from rf join rt using (lang, kind)), tot as (select doc_id, kind, sum(c) as n from a group by 1, 2),
+j as (select a.doc_id, a.kind, any_value(n) as n, sum((case when c > 0 then c / n * log2((c / n) / ((c / n + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((c / n + q) / 2)) else 0 end)) as s
+      from a join tot using (doc_id, kind) join q on q.lang = a.lang and q.kind = a.kind and q.bin = a.bin where n > 0 group by 1, 2),
+v as (select doc_id, max(case when kind = 'char' and n >= {MIN_CHARS} then sqrt(greatest(0.0, s / 2)) end) as char_distance, max(case when kind = 'word' and n >= {MIN_COMMON} then sqrt(greatest(0.0, s / 2)) end) as word_distance from j group by 1)
+select e.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance,
+       not base_failed and coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} + {CHANCE} / sqrt(greatest(1, length(text))) and coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} as kept
+from e left join v using (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op6_quality_rules": QUALITY_SQL}
