@@ -73,3 +73,13 @@ def ambiguous(spelled: DataFrame, least: int = 3, share: float = 0.1) -> DataFra
     total = F.aggregate("spellings", F.lit(0).cast("long"), lambda a, s: a + s["n"])
     readings = F.filter("spellings", lambda s: (s["n"] >= least) & (s["n"] >= share * total))
     return spelled.where(F.size(readings) >= 2).select("bare", F.size(readings).alias("readings"))
+
+
+def hardest_lead(pairs: DataFrame, item: str, levels: DataFrame) -> DataFrame:
+    """item and level(source's question part) - highest level of the output's sentences; levels: text, level. Each distinct text is looked up once."""
+    from ..functions.text import question_stem, readability_units
+
+    asked = pairs.select(item, question_stem("source").alias("text"), F.lit(True).alias("of_source"))
+    units = pairs.select(item, F.explode(readability_units("output")).alias("text")).withColumn("of_source", F.lit(False))
+    found = asked.unionByName(units).join(levels.select("text", "level"), "text", "left")
+    return found.groupBy(item).agg((F.max(F.when(F.col("of_source"), F.col("level"))) - F.max(F.when(~F.col("of_source"), F.col("level")))).alias("lead"))

@@ -83,3 +83,17 @@ def upsert_history(rows: DataFrame, by: str, key: str, created: str, row_id: str
 def unless_beaten(candidates: DataFrame, by: list[str], score: str, position: str, copy_score: float) -> DataFrame:
     """The best candidate of each group with `use_copy`: true where it does not beat the score of leaving the text alone."""
     return winner(candidates, by, [F.col(score)], position).withColumn("use_copy", F.col(score) <= copy_score)
+
+
+def checkpoint_choice(runs: DataFrame, score: str, guard: str, least_guard: float, slack: float = 1.0) -> DataFrame:
+    """The run of the highest guard value among those within `slack` of the best score and with the guard held. Runs are few."""
+    best = runs.agg(F.max(score).alias("_best"))
+    fine = runs.crossJoin(F.broadcast(best)).where((F.col(score) >= F.col("_best") - slack) & (F.col(guard) >= least_guard))  # best is one row
+    return fine.drop("_best").orderBy(F.desc(guard), F.desc(score)).limit(1)
+
+
+def tagged_examples(rows: DataFrame, tags: dict[str, Column], row_id: str, k: int, seed: str) -> DataFrame:
+    """Up to k rows of each tag in a reproducible random order, with the tag's whole count."""
+    each = rows.withColumn("tag", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in tags.items())))))
+    counts = each.groupBy("tag").agg(F.count(F.lit(1)).alias("tag_rows"))
+    return first_k(each, ["tag"], [hash_order(row_id, seed), F.col(row_id)], k).join(counts, "tag")

@@ -34,7 +34,7 @@ def sari(rows: DataFrame, orders: int = 4) -> DataFrame:
         new, new_good, new_all = (c > 0) & (s == 0), (c > 0) & (s == 0) & (r > 0), (r > 0) & (s == 0)
         ratio = lambda a, b: F.sum(F.when(b > 0, a / F.greatest(b, F.lit(1))))
         sums = g.groupBy("item").agg(
-            ratio(kept_good, kept).alias("kp"), F.count_if(kept > 0).alias("kn"), ratio(kept_good, kept_all).alias("kr"), F.count_if(kept_all > 0).alias("km"),
+            ratio(kept_good, kept).alias("kp"), F.count_if(kept > 0).alias("kn"), F.sum(kept_good).alias("kr"), F.sum(kept_all).alias("km"),
             ratio(gone_good, gone).alias("dp"), F.count_if(gone > 0).alias("dn"), F.count_if(new_good).alias("ag"), F.count_if(new).alias("an"), F.count_if(new_all).alias("am"),
         )
         share = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0)) / F.greatest(F.col(b), F.lit(1))).otherwise(1.0)
