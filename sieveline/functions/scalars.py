@@ -149,3 +149,36 @@ def banned_tokens(tokens: Column, n: int) -> Column:
     tail = F.slice(tokens, size - n + 2, n - 1)
     at = F.filter(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: (i <= size - n + 1) & (F.slice(tokens, i, n - 1) == tail))
     return F.when(size < n, F.array_except(tokens, tokens)).otherwise(F.array_distinct(F.transform(at, lambda i: F.element_at(tokens, i + n - 1))))
+
+
+# Values from free text
+
+
+def score_from_text(text: Column | str, name: str = "SCORE") -> Column:
+    """The last `NAME: number` of a reply; null without one."""
+    found = F.regexp_extract_all(as_column(text), F.lit(f"(?i){name}\\s*[:=]\\s*(-?[0-9]+(?:\\.[0-9]+)?)"), 1)
+    return F.try_element_at(found, F.lit(-1)).cast("double")
+
+
+def json_from_text(text: Column | str, schema: str, field: str) -> Column:
+    """The last object of a reply (braces nested once at most) that parses and holds `field`; null without one."""
+    objects = F.regexp_extract_all(as_column(text), F.lit("\\{(?:[^{}]|\\{[^{}]*\\})*\\}"), 0)
+    parsed = F.filter(F.transform(objects, lambda o: F.from_json(o, schema)), lambda x: x[field].isNotNull())
+    return F.try_element_at(parsed, F.lit(-1))
+
+
+def numbered_ratings(text: Column | str, expected: int, least: float = 0.9) -> Column:
+    """`n: rating` lines of a reply as a map; null unless `least` of the expected numbers are there (of repeated ones, the last)."""
+    t = as_column(text)
+    pattern = F.lit("(?m)^\\s*([0-9]+)\\s*[:.)-]\\s*([0-9]+)")
+    keys = F.transform(F.regexp_extract_all(t, pattern, 1), lambda x: x.cast("int"))
+    values = F.transform(F.regexp_extract_all(t, pattern, 2), lambda x: x.cast("int"))
+    found = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    unique = let(found, lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"])))
+    return let(unique, lambda e: F.when(F.size(e) >= least * expected, F.map_from_entries(e)))
+
+
+def nan_mean(x: Column | str) -> Column:
+    """Mean over values that are neither null nor NaN (an aggregate)."""
+    v = as_column(x)
+    return F.avg(F.when(~F.isnan(v), v))

@@ -193,3 +193,23 @@ def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]
     other = b.select(*by, item, F.col(value).alias("other"))
     both = a.join(other, [*by, item]).withColumn("difference", F.col(value).cast("double") - F.col("other").cast("double"))
     return cluster_bootstrap(both, by, cluster, "difference", order, **more)
+
+
+def cross_validated(rows: DataFrame, features: list[str], label: str, row_id: str, folds: int = 5, c: float = 1.0) -> DataFrame:
+    """rows with `p` from a logistic regression (ridge of 1 / (c * n), not standardised) that never saw the row's fold.
+
+    Folds are hashes of ids within each label, so they are stable and nearly stratified. Fits run on Spark.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    fold = F.pmod(F.xxhash64(row_id, label), F.lit(folds))
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).withColumn("_fold", fold).withColumn("_y", F.col(label).cast("double"))
+    out = None
+    for k in range(folds):
+        train = data.where(F.col("_fold") != k)
+        model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1 / (c * max(1, train.count())), standardization=False).fit(train)
+        part = model.transform(data.where(F.col("_fold") == k)).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
+        out = part if out is None else out.unionByName(part)
+    return out

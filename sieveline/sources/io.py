@@ -149,3 +149,31 @@ def report_rows(spark: SparkSession, path: str, section: str, row: str) -> DataF
 
 def prefixed_lines(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").startswith(prefix))
+
+
+def read_store(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:
+    """Submissions and baselines from folders of JSON files, with the file's name without suffix as `submission`."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json[l]?$", 1)
+    return spark.read.schema(schema).json(list(paths)).withColumn("submission", name)
+
+
+def eval_rows(df: DataFrame, order: str, source: str, references: Sequence[str], prefix: str, expected: int | None = None) -> DataFrame:
+    """Rows of a test file as id, source and references; ids are the prefix and the dense number in file order.
+
+    The number is the count of rows before, by ranges: no row waits for a single task. Raises on an unexpected number of rows.
+    """
+    if expected is not None and (n := df.count()) != expected:
+        raise ValueError(f"{n} rows instead of {expected}")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Ranges depend on the sort key alone, so both uses of `placed` number alike; `order` must be unique.
+    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_mid", F.monotonically_increasing_id())
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_mid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    before, at = [], 0
+    for p in sorted(sizes):
+        before.append((p, at))
+        at += sizes[p]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "_p long, _start long"))
+    numbered = placed.withColumn("_p", F.shiftright("_mid", 33)).join(starts, "_p")
+    place = F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    refs = F.filter(F.array(*(F.trim(F.col(r)) for r in references)), lambda r: F.length(r) > 0)
+    return numbered.select(F.concat(F.lit(prefix), place.cast("string")).alias("id"), F.trim(F.col(source)).alias("source"), refs.alias("references"))
