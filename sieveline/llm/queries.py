@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, nearest, quality_gam, quality_rules, toxicity, url_filter
+from . import chat_format, html_extract, nearest, quality_gam, quality_rules, sentence_pieces, toxicity, url_filter
 from .common import read_table, written
 from .jaccard_join import linked_components
 from .packing import pack
@@ -56,6 +56,11 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents, decoded again and compared."""
+    return sentence_pieces.coded(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack(read_table(spark, sf_dir, "documents"), window=4096, eos=2)
@@ -67,4 +72,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_html_extraction, op4_ngram_jaccard_join, op5_chat_formatting, op6_quality_rules, op7_nearest_neighbours, op9_packing, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_html_extraction, op4_ngram_jaccard_join, op5_chat_formatting, op6_quality_rules, op7_nearest_neighbours, op8_sentencepiece, op9_packing, op10_quality_classifier)}
