@@ -28,6 +28,12 @@ UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|cookie|cookies|consent|dialog|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notice|notices|overlay|pager|pagination|popup|promo|promotion|related|replies|reply|responses|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|widget|widgets)(?:$|[\s_-])",
     re.I,
 )
+#: Parts of a longer name that tell of a page's layout as often as of a part that is no article: "has-sidebar", "with-header".
+LAYOUT = re.compile(r"^(?:banner|breadcrumbs?|footer|header|menu|nav|navbar|navigation|notices?|share|sharing|sidebar|social|toolbar|widgets?)$", re.I)
+#: Paragraphs by tag; other runs of text are paragraphs from so many characters on.
+PARAGRAPHS, LONG_RUN = frozenset("p pre blockquote".split()), 80
+#: A spared part has at most this share of its paragraphs in links.
+SPARED_LINKS = 1 / 3
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -37,19 +43,22 @@ _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "hidden", "points", "named")
+    __slots__ = ("tag", "parent", "children", "hidden", "points", "named", "soft")
 
     def __init__(self, tag: str, parent: "Node | None", hidden: bool = False, named: str = ""):
         self.tag, self.parent, self.hidden, self.named = tag, parent, hidden, named
         self.children: list[Node | str] = []
         self.points = 0.0
+        self.soft = ""
 
 
-def _unwanted(tag: str, attrs: str) -> tuple[bool, str]:
-    if tag in SKIPPED:
-        return True, ""
+def _unwanted(tag: str, attrs: str) -> tuple[bool, str, str]:
+    """Whether a part is hidden for good, its names, and why it is hidden unless it holds the article: form, layout or name."""
+    if tag in SKIPPED and tag != "form":
+        return True, "", ""
+    soft = "form" if tag == "form" else ""
     if not attrs or attrs.isspace():
-        return False, ""
+        return False, "", soft
     found = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     style = found.get("style", "").replace(" ", "").lower()
@@ -58,7 +67,12 @@ def _unwanted(tag: str, attrs: str) -> tuple[bool, str]:
         or "display:none" in style or "visibility:hidden" in style
     )
     whole = tag in ("html", "body", "article", "main")
-    return hidden or not whole and bool(UNWANTED.search(names)), names
+    if not whole and UNWANTED.search(names):
+        words = [w for w in names.split() if UNWANTED.search(w)]
+        parts = [x for w in words for x in re.split("[_-]", w) if UNWANTED.search(x)]
+        named = any(UNWANTED.fullmatch(w) for w in words) or not all(map(LAYOUT.match, parts))
+        soft = "name" if named else soft or "layout"
+    return hidden, names, soft
 
 
 def parse(page: str) -> Node:
@@ -66,6 +80,7 @@ def parse(page: str) -> Node:
     root = Node("#root", None)
     at, pos, end = root, 0, len(page)
     low = None
+    softened: list[Node] = []
     while pos < end:
         m = _TOKEN.search(page, pos)
         if not m:
@@ -122,14 +137,64 @@ def parse(page: str) -> Node:
                     if tag != "tr":
                         break
                 node = node.parent
-        hidden, names = _unwanted(tag, m[3])
+        hidden, names, soft = _unwanted(tag, m[3])
         child = Node(tag, at, hidden, names)
+        if soft and not hidden:
+            child.soft = soft
+            softened.append(child)
         at.children.append(child)
         if not m[3].rstrip().endswith("/"):
             at = child
+    if softened:
+        _hide(root, softened)
     return root
 
 
+def _marked(node: Node) -> bool:
+    """True if the node holds an article's own tag or a title of the first level."""
+    stack = [node]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, Node) and not child.hidden:
+                if child.tag in ("article", "main", "h1"):
+                    return True
+                stack.append(child)
+    return False
+
+
+def _hide(root: Node, softened: list[Node]) -> None:
+    """Hide forms and parts with unwanted names, but spare those that hold the article.
+
+    Forms and parts that are named for the layout are spared if their paragraphs are the larger part of the page's, with
+    few links. Others must hold ten times the paragraphs that no such part holds, and an article's own tag or title.
+    """
+    own: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    total = outside = 0
+    for node, text, links in blocks_of(root):
+        if node.tag not in PARAGRAPHS and len(text) < LONG_RUN:
+            continue
+        total += len(text)
+        while node is not None and not node.soft:
+            node = node.parent
+        if node is None:
+            outside += len(text)
+        else:
+            own[id(node)] = own.get(id(node), 0) + len(text)
+            linked[id(node)] = linked.get(id(node), 0) + links
+    for node in reversed(softened):  # inner parts come before those around them
+        size, links = own.get(id(node), 0), linked.get(id(node), 0)
+        holds = size > 10 * outside and _marked(node) if node.soft == "name" else 2 * size > total
+        node.hidden = not (size and holds and links <= SPARED_LINKS * size)
+        if not node.hidden:
+            around = node.parent
+            while around is not None and not around.soft:
+                around = around.parent
+            if around is not None:
+                own[id(around)] = own.get(id(around), 0) + size
+                linked[id(around)] = linked.get(id(around), 0) + links
+
+
 def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
     """(nearest block node, text, characters inside links) of each run of text between block borders, in page order."""
     out: list[tuple[Node, str, int]] = []
