@@ -297,6 +297,43 @@ def test_repeat_counts_are_nonnegative_least_squares():
     assert (packing.nonnegative(np.array([[1.0, -1.0]]), np.array([-5.0])) >= 0).all()
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(1, 4095, 3000), (5, 40, 5000), (100, 900, 200), (4000, 4095, 50), (2000, 2100, 301), (7, 8, 1)])
+def test_planned_windows_are_full(low, high, n):
+    lengths = np.random.default_rng(n).integers(low, high, n)
+    chosen = packing.plan(np.bincount(lengths, minlength=4097).astype(float), 4096)
+    assert len(chosen) <= 64
+    planned, best_fit = packing.pack_block(lengths, chosen, 4096), packing.pack_block(lengths, [], 4096)
+    for sequence, offset in (planned, best_fit):
+        loads = defaultdict(list)
+        for k, at, size in zip(sequence.tolist(), offset.tolist(), lengths.tolist(), strict=True):
+            loads[k].append((at, size))
+        for parts in loads.values():
+            ends = [0, *(at + size for at, size in sorted(parts))]
+            assert [at for at, _ in sorted(parts)] == ends[:-1]
+            assert ends[-1] <= 4096
+    assert planned[0].max() <= 1.01 * best_fit[0].max() + 3
+    if n >= 3000:  # most pieces come from the plan
+        assert sum(rate * len(combo) for combo, rate in chosen) > 0.5
+
+
+def test_long_texts_and_forgotten_words_have_the_same_ids(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = [prose(rng, 500), None, "", "Ünïcode, a\u0301 \u0345x " * 40, "x" * 3000, prose(rng, 50)]
+    monkeypatch.setattr(packing, "CACHE_FORMS", 20)
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 400)
+    encoder, whole = packing.Encoder(packing.default_tokenizer(), 2), Tokenizer.from_file(packing.default_tokenizer())
+    for _ in range(2):
+        ids, offsets = encoder.ids(pa.array(texts))
+        for i, text in enumerate(texts):
+            expected = [*whole.encode(text or "", add_special_tokens=False).ids, 2]
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == expected
+            assert not text or encoder.long_ids(text).tolist() == expected
+    assert len(encoder.known) <= 20
+
+
 # 1 Toxicity, 10 Quality
 
 
