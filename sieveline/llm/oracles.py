@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CHANCE, CHAR_CLASSES, COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_COMMON
+from .quality_rules import CHANCE, CHAR_CLASSES, COMMON_WORDS, MAX_DISTANCE, MIN_CHARS, MIN_WORDS
 from .queries import URL_RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,14 +30,15 @@ cl as (select doc_id, lang, base_failed, length(text) as chars, [{_CLASSES}] as
 ch as (select doc_id, lang, base_failed, 'char' as kind, unnest(range({len(CHAR_CLASSES) + 1})) as bin, unnest(list_append(cs, chars - list_sum(cs))) as c from cl),
 k(lang, bin, word) as (values {_WORDS}),
 wo as (select doc_id, e.lang, base_failed, 'word' as kind, k.bin, len(list_filter(ws, lambda x: lower(x) = k.word)) as c from e join k on k.lang = e.lang),
-a as (select doc_id, lang, base_failed, kind, bin, cast(c as double) as c from ch union all select doc_id, lang, base_failed, kind, bin, cast(c as double) from wo),
+ot as (select e.doc_id, e.lang, e.base_failed, 'word' as kind, 16 as bin, e.n_words - s.c as c from e join (select doc_id, sum(c) as c from wo group by 1) s using (doc_id)),
+a as (select doc_id, lang, base_failed, kind, bin, cast(c as double) as c from ch union all select doc_id, lang, base_failed, kind, bin, cast(c as double) from wo union all select doc_id, lang, base_failed, kind, bin, cast(c as double) from ot),
 rf as (select lang, kind, bin, sum(c) as s from a where not base_failed group by 1, 2, 3), rt as (select lang, kind, sum(s) as t from rf group by 1, 2),
 q as (select lang, kind, bin, s / greatest(1.0, t) as q from rf join rt using (lang, kind)), tot as (select doc_id, kind, sum(c) as n from a group by 1, 2),
 j as (select a.doc_id, a.kind, any_value(n) as n, sum((case when c > 0 then c / n * log2((c / n) / ((c / n + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((c / n + q) / 2)) else 0 end)) as s
       from a join tot using (doc_id, kind) join q on q.lang = a.lang and q.kind = a.kind and q.bin = a.bin where n > 0 group by 1, 2),
-v as (select doc_id, max(case when kind = 'char' and n >= {MIN_CHARS} then sqrt(greatest(0.0, s / 2)) end) as char_distance, max(case when kind = 'word' and n >= {MIN_COMMON} then sqrt(greatest(0.0, s / 2)) end) as word_distance from j group by 1)
+v as (select doc_id, max(case when kind = 'char' and n >= {MIN_CHARS} then sqrt(greatest(0.0, s / 2)) end) as char_distance, max(case when kind = 'word' and n >= {MIN_WORDS} then sqrt(greatest(0.0, s / 2)) end) as word_distance from j group by 1)
 select e.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance,
-       not base_failed and coalesce(char_distance, 0) <= {MAX_CHAR_DISTANCE} + {CHANCE} / sqrt(greatest(1, length(text))) and coalesce(word_distance, 0) <= {MAX_WORD_DISTANCE} as kept
+       not base_failed and coalesce(char_distance, 0) <= {MAX_DISTANCE} + {CHANCE} / sqrt(greatest(1, length(text))) and coalesce(word_distance, 0) <= {MAX_DISTANCE} + {CHANCE} / sqrt(greatest(1, n_words)) as kept
 from e left join v using (doc_id)"""
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op6_quality_rules": QUALITY_SQL}

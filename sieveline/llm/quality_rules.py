@@ -1,8 +1,8 @@
 """Quality rules: base counts of a text, and the divergence of its histograms from references of its language.
 
-Built-in DataFrame functions only. A document's histograms of character classes and of common words are compared with its
-language's, summed over the whole corpus, by the Jensen-Shannon distance. Short texts are not judged by histograms that
-they are too short to fill.
+Built-in DataFrame functions only. A document's histograms of character classes and of common words, with one bin for all
+other words, are compared with its language's, summed over the whole corpus, by the Jensen-Shannon distance. Short texts
+are not judged by histograms that they are too short to fill.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ COMMON_WORDS = {
 }
 #: Classes of characters by pattern; what is in none is a letter of lower case or a letter outside ASCII.
 CHAR_CLASSES = {"space": f"[^{SPACES}]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "stop": "[^.,;:]+", "shout": "[^!?]+", "symbol": r"[^#*$%&|<>@^~=_+{}\[\]\\/]+"}
-#: Texts with fewer characters, or fewer common words, are not judged by that histogram.
-MIN_CHARS, MIN_COMMON = 200, 30
-#: Distances (0 to 1) from which a text is rejected.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.5
-#: Room for chance in short texts: this over the square root of the characters is added to MAX_CHAR_DISTANCE.
-CHANCE = 1.8
+#: Texts with fewer characters, or fewer words, are not judged by that histogram.
+MIN_CHARS, MIN_WORDS = 200, 50
+#: Distance (0 to 1) from which a text is rejected, and the room for chance in short texts: this over the square root of
+#: the histogram's total is added. (Chance alone sets a sample of n at sqrt((bins - 1) / (8 ln 2 n)), 1.7 / sqrt(n) for words.)
+MAX_DISTANCE, CHANCE = 0.15, 1.8
 #: References are broadcast up to this number of languages (some 200 bytes each).
 BROADCAST_LANGUAGES = 10_000
 
@@ -72,11 +71,12 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 
 def _word_counts(words: Column, lang: Column) -> Column:
-    """Counts of the language's common words, in their order; null for an unknown language."""
+    """Counts of the language's common words, in their order, and of all other words; null for an unknown language."""
     out = F.lit(None).cast("array<long>")
     for name, listed in COMMON_WORDS.items():
         out = F.when(lang == name, _counts_of(words, listed)).otherwise(out)
-    return out
+    others = lambda c: F.array_append(c, F.size(words).cast("long") - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
+    return _let(out, lambda c: F.when(c.isNotNull(), others(c)))
 
 
 def _counts_of(words: Column, listed: tuple[str, ...]) -> Column:
@@ -114,7 +114,7 @@ def _sums(array: str, size: int) -> list[Column]:
 
 def references(measures: DataFrame) -> DataFrame:
     """lang, char_ref and word_ref: each language's histograms over all documents that pass the base rules, as shares."""
-    n_chars, n_words = len(CHAR_CLASSES) + 1, 16
+    n_chars, n_words = len(CHAR_CLASSES) + 1, 17
     fine = measures.where(~base_failed())
     summed = fine.groupBy("lang").agg(*_sums("char_counts", n_chars), *_sums("word_counts", n_words))
     share = lambda name, n: F.transform(F.array(*(F.coalesce(f"{name}{i}", F.lit(0.0)) for i in range(n))), lambda x: x / F.greatest(F.lit(1.0), sum((F.coalesce(F.col(f"{name}{i}"), F.lit(0.0)) for i in range(n)), F.lit(0.0))))
@@ -143,21 +143,21 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
     Null texts are empty; texts without words fail the base rules. A document that passes them is rejected if its
-    characters are too far from its language's reference (given MIN_CHARS characters) or its common words are (given
-    MIN_COMMON of them). A null or unknown language is one like others for characters and has no common words. Repeated
-    rows are judged alike, each in its own row; extra columns are ignored; an empty table gives no rows. References are a few numbers for each language.
+    characters are too far from its language's reference (given MIN_CHARS characters) or its words are (given MIN_WORDS
+    words). A null or unknown language is one like others for characters and is not judged by words. Repeated rows are
+    judged alike, each in its own row; extra columns are ignored; an empty table gives no rows. References are a few
+    numbers for each language.
     """
     measures = written(measured(docs), "measures")
     refs = written(references(measures), "references")
     joined = measures.join(F.broadcast(refs) if refs.count() <= BROADCAST_LANGUAGES else refs, "lang", "left")
-    common = F.aggregate("word_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     scored = joined.select(
         "doc_id", "text_hash", "chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
         F.when(F.col("chars") >= MIN_CHARS, distance(F.col("char_counts"), F.col("char_ref"))).alias("char_distance"),
-        F.when(common >= MIN_COMMON, distance(F.col("word_counts"), F.col("word_ref"))).alias("word_distance"),
+        F.when(F.col("n_words") >= MIN_WORDS, distance(F.col("word_counts"), F.col("word_ref"))).alias("word_distance"),
     )
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE + CHANCE / F.sqrt(F.greatest("chars", F.lit(1)))) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return scored.withColumn("kept", ~F.col("base_failed") & ~far)
+    far = lambda measure, total: F.coalesce(measure, F.lit(0.0)) > MAX_DISTANCE + CHANCE / F.sqrt(F.greatest(total, F.lit(1)))
+    return scored.withColumn("kept", ~F.col("base_failed") & ~far("char_distance", "chars") & ~far("word_distance", "n_words"))
 
 
 def text_hash(text: str = "text") -> Column:

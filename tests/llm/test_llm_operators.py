@@ -219,6 +219,28 @@ def test_quality_counts_equal_brute_force(spark):
     assert quality_rules.judged(docs.limit(0)).count() == 0
 
 
+def test_long_texts_without_common_words_are_far(spark):
+    rng = random.Random(16)
+    common = quality_rules.COMMON_WORDS["en"]
+    text = lambda share, n: " ".join(rng.choice(common) if rng.random() < share else f"w{rng.randrange(10**6):x}"[:7].replace("0", "o") for _ in range(n))
+    rows = [(i, text(0.3, rng.randrange(20, 900)), "en") for i in range(300)] + [(1000, text(0.0, 400), "en"), (1001, text(0.0, 49), "en"), (1002, text(0.0, 400), "xx")]
+    got = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert not got[1000]["kept"]
+    assert got[1000]["word_distance"] > 0.3
+    assert got[1001]["kept"]
+    assert got[1001]["word_distance"] is None
+    assert got[1002]["word_distance"] is None
+    # The distance by hand: the corpus's own words of documents that pass are the reference.
+    counts = lambda t: [sum(w == c for w in t.split()) for c in common] + [sum(w not in common for w in t.split())]
+    passing = np.array([counts(t) for i, t, lang in rows if lang == "en" and not got[i]["base_failed"]], float).sum(0)
+    one = next(i for i, t, _ in rows if len(t.split()) >= 50)
+    q, p = passing / passing.sum(), np.array(counts(rows[one][1]), float)
+    p /= p.sum()
+    half = lambda a: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, q if a is p else p, strict=True) if x > 0)
+    assert got[one]["word_distance"] == pytest.approx(math.sqrt((half(p) + half(q)) / 2))
+
+
 def test_jensen_shannon_distance(spark):
     row = spark.range(1).select(
         quality_rules.distance(F.array(F.lit(1), F.lit(1)), F.array(F.lit(0.5), F.lit(0.5))).alias("same"), quality_rules.distance(F.array(F.lit(2), F.lit(0)), F.array(F.lit(0.0), F.lit(1.0))).alias("apart"),
