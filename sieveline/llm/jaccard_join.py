@@ -31,6 +31,10 @@ BROADCAST_IDS = 1_000_000
 PARITY_LONGS = 16
 #: Hubs of a list, besides its smallest set.
 EXTRA_HUBS = 3
+#: Groups of equal sets with so many members are joined by a broadcast of the groups; BROADCAST_IDS bounds their number too.
+HOT_MEMBERS = 1000
+#: Members of a list that one task compares with all others of the list.
+LIST_BLOCK = 1000
 #: Cost of checking a candidate, per shingle, in key rows.
 CHECK_COST = 0.25
 
@@ -262,13 +266,18 @@ def _across(lists: DataFrame, clusters: DataFrame, sets: DataFrame, num: int, de
     """
     own = lists.select("key", "id", "n").join(clusters.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("clusters")).where("clusters > 1").select("key", F.col("most.component").alias("major"))
-    rows = written(own.join(mixed, "key").join(sets.select("id", "sketch"), "id"), "mixed")
-    left = rows.where("component <> major")
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("other_sketch"), (F.col("component") == F.col("major")).alias("of_major"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("members", "component")).alias("most"), F.count(F.lit(1)).alias("clusters"), F.sum("members").alias("size")).where("clusters > 1")
+    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("blocks")
+    rows = written(own.join(mixed.select("key", F.col("most.component").alias("major"), blocks), "key").join(sets.select("id", "sketch"), "id"), "mixed")
+    # A long list is cut into blocks of members; the rows that look for partners go to each block, so no task holds a whole list twice.
+    left = rows.where("component <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = rows.select(
+        "key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"),
+        F.col("sketch").alias("other_sketch"), (F.col("component") == F.col("major")).alias("of_major"),
+    )
     met = left.join(
         right,
-        (left["key"] == right["key"]) & (left["component"] != right["other"]) & (right["of_major"] | (left["id"] < right["b"]))
+        (left["key"] == right["key"]) & (left["block"] == right["block"]) & (left["component"] != right["other"]) & (right["of_major"] | (left["id"] < right["b"]))
         & _may_link(left["sketch"], right["other_sketch"], left["n"], right["m"], num, den),
     )
     return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
@@ -290,25 +299,29 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = written(_sized(docs, k), "sized")
-    known = sized.where("n > 0 and doc_id is not null")
+    is_known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    known = sized.where(is_known)
     small = known.where(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("sets")).collect()  # at most MAX_LIGHT rows
     light = boundary({r["n"]: r["sets"] for r in small}, num, den)
-    reps = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "reps")
-    copies = written(known.join(reps, "set_hash").where("doc_id <> rep").select("doc_id", "set_hash").distinct(), "copies")
+    reps = written(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "reps")
+    hot_from = max(HOT_MEMBERS, -(-known.count() // BROADCAST_IDS))  # so there are at most BROADCAST_IDS hot groups
+    copies = _with_groups(known, reps.where("members > 1"), hot_from, "inner").where("doc_id <> rep").select("doc_id", "set_hash").distinct()
+    copies = written(copies, "copies")
 
     keyed = _keyed(docs, k, num, den, light).join(_few(copies), ["doc_id", "set_hash"], "left_anti")
     rows = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "class", "need")
     lists = written(_shared_lists(rows), "lists")
 
-    # Light sets: a shared subset of `size` shingles proves the link; the smallest member is linked with all others that any member is.
+    # Light sets: a shared subset of `size` shingles tells of a link; the smallest member is linked with all others that any member is.
     subsets = lists.where("class = -1").select("key", "id", "n")
     smallest = subsets.groupBy("key").agg(F.min(F.struct("n", "id")).alias("hub"))
     size = F.col("key").bitwiseAND(F.lit(63))
-    light_edges = (
+    light_pairs = written(
         subsets.join(smallest, "key")
         .where((F.col("id") != F.col("hub.id")) & (den * size >= num * (F.col("n") + F.col("hub.n") - size)))
-        .select(F.col("id").alias("src"), F.col("hub.id").alias("dst"))
-        .distinct()
+        .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
+        .distinct(),
+        "light",
     )
 
     # Heavy sets.
@@ -324,10 +337,14 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
         .agg(F.count(F.lit(1)).alias("shared")),
         "to_hubs",
     )
-    sets = _token_sets(docs, heavy.select("id").distinct(), k)
+    ends = heavy.select("id").unionByName(light_pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = _token_sets(docs, ends.distinct(), k)
     as_pair = (F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     best = to_hubs.groupBy("id").agg(F.max(F.struct("shared", "hub")).alias("best")).select("id", F.col("best.hub").alias("hub"))
-    edges = written(_checked(best.select(*as_pair).distinct(), sets, num, den).unionByName(light_edges), "edges")
+    # Rows of one doc_id with different sets are one document: an edge leads to each set that another document represents.
+    several = written(known.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id"), "several")
+    shared = known.join(_few(several), "doc_id", "left_semi").join(reps, "set_hash").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct()
+    edges = written(_checked(best.select(*as_pair).unionByName(light_pairs).distinct(), sets, num, den).unionByName(shared), "edges")
     clusters = written(connected(edges), "clusters")
     for pairs in (lambda: _apart(to_hubs.select(*as_pair).distinct(), clusters, sets, num, den), lambda: _across(heavy, clusters, sets, num, den)):
         open_pairs = written(pairs(), "pairs")
@@ -337,23 +354,43 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
         if not more.isEmpty():
             clusters = written(connected(clusters.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)), "clusters")
 
-    rep_of = reps.join(clusters.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = sized.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_hash")).alias("set_hash"))
-    return out.join(rep_of, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_rep = clusters.select(F.col("node").alias("rep"), "component")
+    groups = written(reps.join(of_rep, "rep", "left").select("set_hash", "members", F.coalesce("component", "rep").alias("component_id")), "groups")
+    grouped = _with_groups(known, groups, hot_from, "inner").select("doc_id", "n", "component_id")
+    others = sized.where(~F.coalesce(is_known, F.lit(False))).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(others).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, hot_from: int, how: str) -> DataFrame:
+    """rows joined with groups (set_hash, members and others) on set_hash; groups of hot_from members or more by broadcast.
+
+    A group of a third of all rows would otherwise be one task's. All other groups have fewer than hot_from rows.
+    """
+    hot = F.broadcast(groups.where(F.col("members") >= hot_from))
+    cold = rows.join(hot.select("set_hash"), "set_hash", "left_anti").join(groups.where(F.col("members") < hot_from), "set_hash", how)
+    return rows.join(hot, "set_hash").unionByName(cold)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with their columns, that remain when one document of each component of near duplicates stays.
 
-    The document with the component's smallest doc_id stays. Of rows that share a doc_id, the one with the smallest text
-    stays; rows with a null doc_id stay.
+    The document with the component's smallest doc_id stays. Rows that share a doc_id are documents of their own if their
+    texts differ (known by a number made of both), and one if they do not. Rows with a null doc_id stay.
     """
-    found = linked_components(docs, k, num, den)
-    removed = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "removed")
-    kept = without(docs, removed)
-    repeated = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    place = fresh(docs, "place")
-    own = kept.join(_few(repeated), "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(place) == 1)
-    return without(kept, repeated).unionByName(own.select(*docs.columns))
+    node, place = fresh(docs, "node"), fresh(docs, "place")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("x"), F.max(hashed).alias("y"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", (F.col("x") != F.col("y")).alias("differ"))
+    several = written(several, "several")
+    repeated, named = not several.isEmpty(), docs.withColumn(node, F.col("doc_id").cast("long"))
+    if repeated:
+        differ = fresh(named, "differ")
+        named = docs.join(_few(several.withColumnRenamed("differ", differ)), "doc_id", "left").withColumn(node, F.when(F.col(differ), F.xxhash64("doc_id", hashed)).otherwise(F.col("doc_id").cast("long"))).drop(differ)
+    found = linked_components(named.select(F.col(node).alias("doc_id"), "text"), k, num, den)
+    removed = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(node)).distinct(), "removed")
+    kept = without(named, removed)
+    if repeated:  # of rows with one doc_id and text, one stays
+        of_one = kept.join(_few(several.select("doc_id")), "doc_id", "left_semi").select(*kept.columns)
+        order = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+        of_one = of_one.withColumn(place, F.row_number().over(Window.partitionBy(node).orderBy(order))).where(F.col(place) == 1)
+        kept = kept.join(_few(several.select("doc_id")), "doc_id", "left_anti").select(*kept.columns).unionByName(of_one.select(*kept.columns))
+    return kept.select(*docs.columns)

@@ -81,6 +81,31 @@ def test_jaccard_join_without_rows_and_with_odd_ids(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, 3, 9], key=str)
 
 
+def test_rows_of_one_id_and_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_MEMBERS", 5)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 3)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(i, a) for i in range(10, 30)] + [(40, b), (41, b), (50, b), (50, c), (60, c + " more"), (70, None), (71, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, node int, place int, differ int").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.linked_components(docs).collect()}
+    # 50 has a copy of 40 and a near copy of 60, so all of them are linked.
+    assert got == {**{(i, 56): 10 for i in range(10, 30)}, (40, 56): 40, (41, 56): 40, (50, 56): 40, (60, 57): 40, (70, 0): 70, (71, 0): 71}
+    kept = sorted((r["doc_id"], (r["text"] or "")[:1]) for r in jaccard_join.one_of_each(docs.unionByName(docs.where("doc_id in (50, 70)"))).collect())
+    # The two texts of 50 are two documents here: its copy of 40 goes, and of its other text and 60 one stays.
+    assert kept in ([(10, "a"), (40, "b"), (50, "c"), (70, ""), (71, "")], [(10, "a"), (40, "b"), (60, "c"), (70, ""), (71, "")], [(10, "a"), (50, "b"), (50, "c"), (70, ""), (71, "")], [(10, "a"), (50, "b"), (60, "c"), (70, ""), (71, "")])
+
+
+def test_templates_that_share_parts_without_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
+    rng = random.Random(40)
+    shared = prose(rng, 60)
+    rows = [(i, shared + " " + prose(rng, 30)) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " x") for i in range(0, 40, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_components(docs, 3, 80, 100).collect()}
+    assert got == brute_components(rows, 3, 80)
+
+
 def test_subsets_and_parts_share_what_they_must():
     rng = np.random.default_rng(0)
     parts = jaccard_join.Parts(80, 100)
