@@ -32,24 +32,35 @@ UNWANTED = re.compile(
 LAYOUT = re.compile(r"^(?:banner|breadcrumbs?|footer|header|menu|nav|navbar|navigation|notices?|share|sharing|sidebar|social|toolbar|widgets?)$", re.I)
 #: Paragraphs by tag; other runs of text are paragraphs from so many characters on.
 PARAGRAPHS, LONG_RUN = frozenset("p pre blockquote".split()), 80
+#: A paragraph's points reach so many ancestors, and an end of a list item or cell is looked for among so many.
+REACH = 24
 #: A spared part has at most this share of its paragraphs in links.
 SPARED_LINKS = 1 / 3
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ENDS = {tag: re.compile(r"</head|<body" if tag == "head" else f"</{tag}", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 #: A tag that closes an open p; list items, cells and definitions close their own kind.
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "hidden", "points", "named", "soft")
+    """An element. `block` is the nearest block around it, itself included, and `part` the nearest part that may be hidden."""
 
-    def __init__(self, tag: str, parent: "Node | None", hidden: bool = False, named: str = ""):
+    __slots__ = ("tag", "parent", "children", "hidden", "points", "named", "soft", "block", "part", "inline", "chars", "links", "kept", "marked")
+
+    def __init__(self, tag: str, parent: "Node | None", hidden: bool = False, named: str = "", soft: str = ""):
         self.tag, self.parent, self.hidden, self.named = tag, parent, hidden, named
         self.children: list[Node | str] = []
-        self.points = 0.0
-        self.soft = ""
+        self.points, self.chars, self.links = 0.0, 0, 0
+        self.soft = "" if hidden else soft
+        self.block: Node = self if parent is None or tag in BLOCKS else parent.block
+        self.part: Node | None = self if self.soft else parent.part if parent else None
+        #: Of a block: how many elements of each inline tag are open in it.
+        self.inline: dict[str, int] = {}
+        self.kept = self.marked = False
 
 
 def _unwanted(tag: str, attrs: str) -> tuple[bool, str, str]:
@@ -75,94 +86,114 @@ def _unwanted(tag: str, attrs: str) -> tuple[bool, str, str]:
     return hidden, names, soft
 
 
-def parse(page: str) -> Node:
-    """A light tree of a page, as tolerant of unclosed and misplaced tags as browsers are."""
-    root = Node("#root", None)
-    at, pos, end = root, 0, len(page)
-    low = None
-    softened: list[Node] = []
+def parse(page: str) -> list[Node]:
+    """The elements of a page in order, its root first: a light tree, as tolerant of unclosed and misplaced tags as browsers are.
+
+    Time grows with the page's length, however its tags are nested. An attribute's quote that nothing closes ends with
+    its tag; an element whose content is no text, and which nothing closes, holds nothing (script and style hold the rest).
+    """
+    root = at = Node("#root", None)
+    nodes, pos, end = [root], 0, len(page)
+    open_blocks: dict[str, int] = {}
+    endless: set[str] = set()  # tags without content whose end does not come any more
+
+    def close(to: Node) -> Node:
+        """Close all open elements up to `to` and return what is open then."""
+        node = at
+        while True:
+            counts = open_blocks if node.block is node else node.block.inline
+            counts[node.tag] -= 1
+            if node is to:
+                return node.parent
+            node = node.parent
+
     while pos < end:
-        m = _TOKEN.search(page, pos)
-        if not m:
+        start = page.find("<", pos)
+        if start < 0:
             at.children.append(page[pos:])
             break
-        if m.start() > pos:
-            at.children.append(page[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if start > pos:
+            at.children.append(page[pos:start])
+        if page.startswith(("<!", "<?"), start):
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            pos = page.find(mark, start + 2)
+            if pos < 0:
+                if mark == ">":
+                    at.children.append(page[start:])
+                break
+            pos += len(mark)
+            continue
+        m = _TAG.match(page, start)
+        if not m:
+            at.children.append("<")
+            pos = start + 1
             continue
+        stop = _ATTRS.match(page, m.end()).end()
+        if stop == end or page[stop] != ">":
+            stop = page.find(">", m.end())
+            if stop < 0:
+                at.children.append(page[start:])
+                break
+        tag, attrs, pos = m[2].lower(), page[m.end() : stop], stop + 1
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                # An inline end tag does not close blocks around it.
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                at = node.parent
-            elif tag == "p":
-                at.children.append(Node("p", at))
+            if tag in BLOCKS:
+                if open_blocks.get(tag):
+                    node = at.block
+                    while node.tag != tag:
+                        node = node.parent.block
+                    at = close(node)
+                elif tag == "p":
+                    nodes.append(Node("p", at))
+                    at.children.append(nodes[-1])
+            elif at.block.inline.get(tag):  # an inline end tag does not close blocks around it
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = close(node)
             continue
         if tag in RAW:
-            low = low if low is not None else page.lower()
-            close = low.find(f"</{tag}", pos)
-            if tag == "head":
-                body = re.compile(r"</head|<body").search(low, pos)
-                close = body.start() if body else -1
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                stop = close if close >= 0 else (end if tag not in ("head", "title") else pos)
-                pos = stop
+            if tag not in ("svg", "math") or not attrs.rstrip().endswith("/"):
+                found = None if tag in endless else _ENDS[tag].search(page, pos)
+                if found:
+                    pos = found.start()
+                else:
+                    endless.add(tag)
+                    pos = end if tag in ("script", "style") else pos
             continue
         if tag == "br":
             at.children.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
-                at.children.append(Node("hr", at))
+                nodes.append(Node("hr", at))
+                at.children.append(nodes[-1])
             continue
         if tag in BLOCKS:
-            node = at
-            while node is not root and (node.tag not in BLOCKS or node.tag == "p" or node.tag in HEADINGS and tag in HEADINGS):
-                if node.tag == "p" or node.tag in HEADINGS and tag in HEADINGS:
-                    at = node.parent
+            if at.block.tag == "p" or at.block.tag in HEADINGS and tag in HEADINGS:
+                at = close(at.block)
+            closes, node = _SELF_CLOSING.get(tag), at
+            for _ in range(REACH if closes else 0):
+                if node is root or node.tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "body"):
                     break
-                node = node.parent
-            closes = _SELF_CLOSING.get(tag)
-            node = at
-            while closes and node is not root and node.tag not in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "body"):
+                above = node.parent
                 if node.tag in closes:
-                    at = node.parent
+                    at = close(node)
                     if tag != "tr":
                         break
-                node = node.parent
-        hidden, names, soft = _unwanted(tag, m[3])
-        child = Node(tag, at, hidden, names)
-        if soft and not hidden:
-            child.soft = soft
-            softened.append(child)
+                node = above
+        child = Node(tag, at, *_unwanted(tag, attrs))
+        nodes.append(child)
         at.children.append(child)
-        if not m[3].rstrip().endswith("/"):
+        if not attrs.rstrip().endswith("/"):
             at = child
-    if softened:
-        _hide(root, softened)
-    return root
-
+            counts = open_blocks if child.block is child else child.block.inline
+            counts[tag] = counts.get(tag, 0) + 1
+    if any(n.soft for n in nodes):
+        _hide(nodes)
+    return nodes
 
-def _marked(node: Node) -> bool:
-    """True if the node holds an article's own tag or a title of the first level."""
-    stack = [node]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, Node) and not child.hidden:
-                if child.tag in ("article", "main", "h1"):
-                    return True
-                stack.append(child)
-    return False
 
-
-def _hide(root: Node, softened: list[Node]) -> None:
+def _hide(nodes: list[Node]) -> None:
     """Hide forms and parts with unwanted names, but spare those that hold the article.
 
     Forms and parts that are named for the layout are spared if their paragraphs are the larger part of the page's, with
@@ -171,28 +202,27 @@ def _hide(root: Node, softened: list[Node]) -> None:
     own: dict[int, int] = {}
     linked: dict[int, int] = {}
     total = outside = 0
-    for node, text, links in blocks_of(root):
+    for node, text, links in blocks_of(nodes[0]):
         if node.tag not in PARAGRAPHS and len(text) < LONG_RUN:
             continue
         total += len(text)
-        while node is not None and not node.soft:
-            node = node.parent
-        if node is None:
+        if node.part is None:
             outside += len(text)
         else:
-            own[id(node)] = own.get(id(node), 0) + len(text)
-            linked[id(node)] = linked.get(id(node), 0) + links
-    for node in reversed(softened):  # inner parts come before those around them
-        size, links = own.get(id(node), 0), linked.get(id(node), 0)
-        holds = size > 10 * outside and _marked(node) if node.soft == "name" else 2 * size > total
-        node.hidden = not (size and holds and links <= SPARED_LINKS * size)
-        if not node.hidden:
-            around = node.parent
-            while around is not None and not around.soft:
-                around = around.parent
-            if around is not None:
+            own[id(node.part)] = own.get(id(node.part), 0) + len(text)
+            linked[id(node.part)] = linked.get(id(node.part), 0) + links
+    for node in reversed(nodes[1:]):  # inner parts come before those around them
+        if node.soft:
+            size, links = own.get(id(node), 0), linked.get(id(node), 0)
+            holds = size > 10 * outside and node.marked if node.soft == "name" else 2 * size > total
+            node.hidden = not (size and holds and links <= SPARED_LINKS * size)
+            around = node.parent.part
+            if not node.hidden and around is not None:
                 own[id(around)] = own.get(id(around), 0) + size
                 linked[id(around)] = linked.get(id(around), 0) + links
+        # An article's own tag or a title of the first level is seen from outside if nothing between is hidden.
+        if not node.hidden and (node.marked or node.tag in ("article", "main", "h1")):
+            node.parent.marked = True
 
 
 def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
@@ -238,48 +268,40 @@ def main_text(page: str | None) -> str:
     """The article's blocks in page order, one to a line; empty if there are none."""
     if not page:
         return ""
-    found = blocks_of(parse(page))
+    nodes = parse(page)
+    found = blocks_of(nodes[0])
     if not found:
         return ""
-    chars: dict[int, float] = {}
-    links: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
     for owner, text, linked in found:
-        points = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
-        if owner.tag in HEADINGS:
-            points = 0.0
-        up, level = owner if owner.tag not in ("p", "pre", "blockquote", "li", "td") else owner.parent or owner, 0
-        node = owner
-        while node is not None:
-            nodes[id(node)] = node
-            chars[id(node)] = chars.get(id(node), 0) + len(text)
-            links[id(node)] = links.get(id(node), 0) + linked
-            node = node.parent
-        while up is not None:
+        owner.chars += len(text)
+        owner.links += linked
+        points = 0.0 if owner.tag in HEADINGS else 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
+        up = owner if owner.tag not in ("p", "pre", "blockquote", "li", "td") else owner.parent or owner
+        for level in range(REACH):
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-    score = lambda n: (n.points + (25 if n.tag in ("article", "main") else 0)) * (1 - links.get(id(n), 0) / max(1, chars.get(id(n), 0)))
-    best = max((n for n in nodes.values() if n.tag != "#root"), key=score, default=next(iter(nodes.values())))
+            up = up.parent
+            if up is None:
+                break
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.links += node.links
+    score = lambda n: (n.points + (25 if n.tag in ("article", "main") else 0)) * (1 - n.links / max(1, n.chars))
+    texted = [n for n in nodes if n.chars]
+    best = max((n for n in texted if n.tag != "#root"), key=score, default=nodes[0])
     # The whole page around several articles or sections of like score is the container.
-    kept = {id(best)}
+    best.kept = True
     if best.parent is not None:
         bar = max(10.0, 0.2 * score(best))
         for sibling in best.parent.children:
-            if isinstance(sibling, Node) and id(sibling) in nodes and sibling is not best:
-                size, density = chars[id(sibling)], links[id(sibling)] / max(1, chars[id(sibling)])
+            if isinstance(sibling, Node) and sibling.chars and sibling is not best:
+                size, density = sibling.chars, sibling.links / sibling.chars
                 alike = 0.2 * score(best) if sibling.named and sibling.named == best.named else 0
                 if score(sibling) + alike >= bar or sibling.tag == "p" and (size > 80 and density < 0.25 or size <= 80 and density == 0) or sibling.tag in HEADINGS and best.tag not in ("article", "main"):
-                    kept.add(id(sibling))
-
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
-        return False
-
+                    sibling.kept = True
+    for node in nodes[1:]:
+        node.kept = node.kept or node.parent.kept
     loose = best.parent is not None and best.tag not in ("article", "main", "body", "html")
-    return "\n".join(text for owner, text, linked in found if inside(owner) or loose and owner is best.parent and linked == 0)
+    return "\n".join(text for owner, text, linked in found if owner.kept or loose and owner is best.parent and linked == 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
