@@ -41,4 +41,11 @@ select e.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        not base_failed and coalesce(char_distance, 0) <= {MAX_DISTANCE} + {CHANCE} / sqrt(greatest(1, length(text))) and coalesce(word_distance, 0) <= {MAX_DISTANCE} + {CHANCE} / sqrt(greatest(1, n_words)) as kept
 from e left join v using (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op6_quality_rules": QUALITY_SQL}
+#: For pages with one article of plain tags, as those of `pages` are: SQL reads no other pages as the operator does.
+HTML_SQL = r"""
+with a as (select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '[ \t\n\r\f\v]+', ' ', 'g') as x from pages),
+b as (select page_id, url, string_split(regexp_replace(replace(regexp_replace(x, '</?(p|h1)>', chr(10), 'g'), '<br>', ' '), '<[^>]*>', '', 'g'), chr(10)) as blocks from a),
+c as (select page_id, url, list_filter([trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), ' +', ' ', 'g')) for x in blocks], lambda x: x <> '') as blocks from b)
+select page_id, url, array_to_string(blocks, chr(10)) as text, cast(length(array_to_string(blocks, chr(10))) as bigint) as n_chars from c"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op3_html_extraction": HTML_SQL, "op6_quality_rules": QUALITY_SQL}
