@@ -26,6 +26,15 @@ def exact_leakage(spark, sf_dir):
 
 
 _KEY = r"""trim(regexp_replace(translate(translate(text, 'أإآةى', 'اااهي'), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~،؛؟«»ـ—–', ''), '\s+', ' ', 'g'))"""
+NEAR_SQL = f"""
+with k as (select doc_id, {_KEY} as key from documents), f as (select doc_id, key from k where key <> ''),
+o as (select key, min(doc_id) as right_id from f where doc_id % 2 = 0 group by key),
+e as (select f.doc_id as left_id, o.right_id from f join o using (key) where f.doc_id % 2 = 1),
+g as (select distinct doc_id, substr(key, unnest(range(1, greatest(1, length(key) - 4) + 1)), 5) as gram from f where doc_id not in (select left_id from e)),
+s as (select doc_id, count(*) as n from g group by 1),
+p as (select l.doc_id as left_id, r.doc_id as right_id, count(*) as both_ from g l join g r on l.gram = r.gram and l.doc_id % 2 = 1 and r.doc_id % 2 = 0 group by 1, 2)
+select left_id, right_id, 1.0::double as similarity, 'exact' as kind from e
+union all select left_id, right_id, round(both_ / (a.n + b.n - both_), 6), 'near' from p join s a on a.doc_id = left_id join s b on b.doc_id = right_id where both_ / (a.n + b.n - both_) >= 0.8"""
 EXACT_SQL = f"""
 with k as (select doc_id, {_KEY} as key from documents)
 select l.doc_id as left_id, r.doc_id as right_id from k l join (select key, min(doc_id) as doc_id from k where doc_id % 2 = 0 and key <> '' group by key) r using (key) where l.doc_id % 2 = 1"""
@@ -204,7 +213,7 @@ TIERS_SQL = """select case when not (l_discount * 10 >= 0.7 and l_tax * 10 >= 0.
 _ALL = (near_leakage, exact_leakage, benchmark_containment, provenance, split_assignment, split_balance, winners, capped_sample, stratified_sample, bottom_share, seeded_limit, top_orders, last_records, event_history, resume, batches, union_and_difference, planted_defects, acceptance_tiers)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
-    "exact_leakage": EXACT_SQL, "benchmark_containment": CONTAINED_SQL, "provenance": PROVENANCE_SQL, "split_assignment": SPLIT_SQL, "split_balance": BALANCE_SQL, "winners": WINNERS_SQL, "capped_sample": CAPPED_SQL,
+    "near_leakage": NEAR_SQL, "exact_leakage": EXACT_SQL, "benchmark_containment": CONTAINED_SQL, "provenance": PROVENANCE_SQL, "split_assignment": SPLIT_SQL, "split_balance": BALANCE_SQL, "winners": WINNERS_SQL, "capped_sample": CAPPED_SQL,
     "stratified_sample": STRATIFIED_SQL, "bottom_share": BOTTOM_SQL, "seeded_limit": SEEDED_SQL, "top_orders": TOP_SQL, "last_records": LAST_SQL, "event_history": HISTORY_SQL, "resume": RESUME_SQL, "batches": BATCHES_SQL,
     "union_and_difference": UNION_SQL, "acceptance_tiers": TIERS_SQL,
 }
