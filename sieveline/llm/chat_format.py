@@ -128,7 +128,7 @@ def digests(pieces: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each path, read back from its pieces.
 
     Pieces are hashed one after the other in the order of the path, so memory does not grow with a conversation; a hash
-    of a whole conversation cannot be split between tasks.
+    of a whole conversation cannot be split between tasks. Two branches of one tree are two rows.
     """
 
     def fold(batches):
@@ -136,15 +136,15 @@ def digests(pieces: DataFrame) -> DataFrame:
 
         def row():
             n, turns, chars, loss, size = state
-            return (at, n, turns.hexdigest(), chars, loss.hexdigest(), size)
+            return (at[0], n, turns.hexdigest(), chars, loss.hexdigest(), size)
 
         for b in batches:
             out = []
-            for tree, piece, start, length in zip(b["tree"], b["piece"], b["loss_start"], b["loss_length"], strict=True):
-                if tree != at:
+            for tree, path, piece, start, length in zip(b["tree"], b["path"], b["piece"], b["loss_start"], b["loss_length"], strict=True):
+                if (tree, path) != at:
                     if state:
                         out.append(row())
-                    at, state = tree, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    at, state = (tree, path), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in parse(piece):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -153,11 +153,12 @@ def digests(pieces: DataFrame) -> DataFrame:
                     state[2] += len(masked)
                     state[3].update(masked.encode("utf-8", "surrogatepass"))
                 state[4] += len(piece)
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            if out:
+                yield pd.DataFrame(out, columns=_COLUMNS)
         if state:
             yield pd.DataFrame([row()], columns=_COLUMNS)
 
-    ordered = pieces.select("tree", "path", "position", "piece", "loss_start", "loss_length").repartition("tree").sortWithinPartitions("tree", "path", "position")
+    ordered = pieces.select("tree", "path", "position", "piece", "loss_start", "loss_length").repartition("tree", "path").sortWithinPartitions("tree", "path", "position")
     return ordered.mapInPandas(fold, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -44,7 +44,7 @@ class Automaton:
     a few letters, so a scan seldom reads a whole word.
     """
 
-    MAX_STATES = 200_000
+    MAX_STATES = 50_000
 
     def __init__(self, terms: tuple[Term, ...]):
         self.terms = terms
@@ -126,7 +126,7 @@ class Matcher:
     """Evidence of whole texts; words known to match nothing are remembered up to a bound."""
 
     automaton: Automaton
-    bound: int = 300_000
+    bound: int = 100_000
     clean: set = field(default_factory=set)
     hits: dict = field(default_factory=dict)
 
@@ -202,7 +202,11 @@ def _rates(sample: DataFrame, of: str, schema: str, count) -> dict[str, tuple[in
 
 
 def learn_terms(sample: DataFrame, max_terms: int = 400, max_candidates: int = 40_000, min_docs: int = 3, min_odds: float = 6.0) -> tuple[Term, ...]:
-    """Words and stems that are far likelier in toxic than in other documents of the (bounded) sample."""
+    """Words and stems that are far likelier in toxic than in other documents of the (bounded) sample.
+
+    The model's size is bounded by parameters: the max_candidates words and stems met in most toxic texts are weighed, and
+    the max_terms best of them become the lexicon. Words of more than 40 letters are not learned.
+    """
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -222,7 +226,8 @@ def learn_terms(sample: DataFrame, max_terms: int = 400, max_candidates: int = 4
             for text in b.loc[b["label"] == 1, "text"]:
                 for key in keys(text):
                     seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame({"term": list(seen), "pos": list(seen.values()), "neg": 0})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "pos": list(seen.values()), "neg": 0})
 
     least = max(min_docs, pos // 200)
     found = (
@@ -237,7 +242,8 @@ def learn_terms(sample: DataFrame, max_terms: int = 400, max_candidates: int = 4
                 for key in keys(text):
                     if key in hits:
                         seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame({"term": list(seen), "pos": 0, "neg": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "pos": 0, "neg": list(seen.values())})
 
     misses = {r["term"]: r["neg"] for r in _rates(sample, "term", "term string, pos long, neg long", in_others).collect()}
     odds = {k: log((p + 0.5) / (pos + 1)) - log((misses.get(k, 0) + 0.5) / (neg + 1)) for k, p in hits.items()}
@@ -266,7 +272,8 @@ def with_misspellings(sample: DataFrame, terms: tuple[Term, ...]) -> tuple[Term,
             for text, label in zip(b["text"], b["label"], strict=True):
                 for term in {h[1] for h in matcher.found(text)[1] if h[3]}:
                     seen[term, label] = seen.get((term, label), 0) + 1
-            yield pd.DataFrame({"term": [k[0] for k in seen], "pos": [v if k[1] else 0 for k, v in seen.items()], "neg": [0 if k[1] else v for k, v in seen.items()]})
+            if seen:
+                yield pd.DataFrame({"term": [k[0] for k in seen], "pos": [v if k[1] else 0 for k, v in seen.items()], "neg": [0 if k[1] else v for k, v in seen.items()]})
 
     seen = {r["term"]: (r["pos"], r["neg"]) for r in _rates(sample, "term", "term int, pos long, neg long", count).collect()}
     out = []

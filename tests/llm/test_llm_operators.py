@@ -214,6 +214,10 @@ def test_reply_trees_rank_branches(spark):
     assert listed(1) == {6: [1, 5, 6], 10: [10], 20: [20]}
     assert listed(2) == {6: [1, 5, 6], 3: [1, 3], 10: [10], 20: [20]}
     assert listed(None) == {6: [1, 5, 6], 3: [1, 3], 4: [1, 2, 4], 10: [10], 20: [20]}
+    both = chat_format.digests(chat_format.format_paths(chat_format.paths(messages.where("tree = 't'").withColumn("tree", F.lit(5)), 2), messages)).collect()
+    assert sorted((r["conv_id"], r["n_turns"], r["turns_sha256"]) for r in both) == sorted(
+        (5, len(p), hashlib.sha256("".join(f"user\n{x}\n" for x in p).encode()).hexdigest()) for p in ([1, 5, 6], [1, 3])
+    )
     cycle = spark.createDataFrame([("t", 1, 2, 0.0), ("t", 2, 1, 0.0)], "tree string, node long, parent long, score double")
     with pytest.raises(ValueError, match="cycle"):
         chat_format.paths(cycle)
