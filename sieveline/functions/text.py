@@ -23,7 +23,7 @@ EASE_CLAUSE_BREAKS = "[.!?؟؛;\\n،,]+"
 EASTERN_DIGITS, WESTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~،؛؟«»ـ—–"
 CLITICS = ("وال", "بال", "كال", "فال", "لل", "ال", "و", "ف", "ب", "ل")
-PERSIAN, ARABIC_FOR_PERSIAN = "یکۀھہ", "يكههه"
+PERSIAN, ARABIC_FOR_PERSIAN = "یکۀھہ", "يكةهه"
 
 _STRIP = {"all": MARKS_ALL, "keep_tatweel": MARKS_ALL_KEEP_TATWEEL, "extended": MARKS_EXTENDED, "signs": MARKS_SIGNS, "lexical": MARKS_LEXICAL, "vowels": MARKS_VOWELS}
 

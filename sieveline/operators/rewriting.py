@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.text import as_column, sari_tokens, word_ngrams
+from ..functions.text import as_column, norm, sari_tokens, strip_marks, word_ngrams
 
 
 def _grams(rows: DataFrame, n: int) -> DataFrame:
@@ -123,20 +123,36 @@ def error_rates(rows: DataFrame, by: list[str], reference: str, output: str) ->
     return e.groupBy(*by).agg((F.sum("e.wrong") / F.greatest(F.lit(1), F.sum("e.letters"))).alias("der"), (F.sum("e.wrong_words") / F.greatest(F.lit(1), F.sum("e.words"))).alias("wer"))
 
 
-@F.pandas_udf(StringType())
-def commas_to_stops(source: pd.Series, output: pd.Series) -> pd.Series:
-    """Commas of the output that the aligned source has as full stops, made stops again."""
-
-    def one(a: str | None, b: str | None) -> str | None:
-        if a is None or b is None:
-            return b
-        aw, bw = a.split(), b.split()
-        out = list(bw)
-        strip = lambda w: w.rstrip(".،,")
-        for m in difflib.SequenceMatcher(a=[strip(w) for w in aw], b=[strip(w) for w in bw], autojunk=False).get_matching_blocks():
-            for i in range(m.size):
-                if aw[m.a + i].endswith(".") and bw[m.b + i][-1:] in "،,":
-                    out[m.b + i] = strip(bw[m.b + i]) + "."
-        return " ".join(out)
+# A comma is a token of its own; how a clause starts that can stand alone; signs that end a clause.
+COMMA_TOKEN, CLAUSE_START, CLAUSE_END = "،|[^\\s،]+", "^(و|ف)(?!ي$|ى$)\\S{2,}|^(ثم|لكن|ولكن|لذلك|لذا|بل)$", ".!?؟؛:"
 
-    return pd.Series([one(a, b) for a, b in zip(source, output, strict=True)])
+
+def commas_to_stops(source: Column | str, output: Column | str, least: int = 3) -> Column:
+    """The output with those Arabic commas as full stops that it added and that part two clauses.
+
+    A comma is added if the alignment of the tokens (without diacritics) pairs it with none of the source's. The word
+    after it must open a clause, and each side must have `least` words: up to the comma before, and up to the next comma
+    or word that ends a clause. Null if either text is.
+    """
+    tokens = lambda c: F.regexp_extract_all(as_column(c), F.lit(COMMA_TOKEN), 0)
+    opens = F.transform(tokens(output), lambda w: strip_marks(w).rlike(CLAUSE_START))
+    return _stops_written(F.transform(tokens(source), norm), F.transform(tokens(output), norm), tokens(output), opens, F.lit(least))
+
+
+@F.pandas_udf(StringType())
+def _stops_written(source: pd.Series, plain: pd.Series, output: pd.Series, opens: pd.Series, least: pd.Series) -> pd.Series:
+    def one(a, b, words, opening, least) -> str | None:
+        if a is None or words is None:
+            return None
+        blocks = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks()
+        kept = {m.b + i for m in blocks for i in range(m.size)}
+        marks = [j for j, w in enumerate(words) if w == "،"]
+        stops = set()
+        for before, j, after in zip([-1, *marks], marks, [*marks[1:], len(words)], strict=False):
+            ending = next((i for i in range(j + 1, after) if words[i][-1] in CLAUSE_END), after)
+            if j not in kept and j + 1 < len(words) and opening[j + 1] and j - before > least and ending - j > least:
+                stops.add(j)
+        pieces = [("." if j in stops else w) if w == "،" else (" " if j else "") + w for j, w in enumerate(words)]
+        return "".join(pieces)
+
+    return pd.Series([one(*row) for row in zip(source, plain, output, opens, least, strict=True)], dtype=object)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_bucket
 
 
-def canonical_groups(rows: DataFrame, key: str, row_id: str, stratum: str, salt: str) -> DataFrame:
-    """One row a group of equal keys: its smallest id, that row's stratum, its size and its bucket."""
-    groups = rows.groupBy(key).agg(F.min(row_id).alias("canonical_id"), F.min_by(stratum, row_id).alias("stratum"), F.count(F.lit(1)).alias("members"))
+def canonical_groups(rows: DataFrame, key: str, row_id: str, stratum: str, salt: str, stored: str | None = None) -> DataFrame:
+    """One row a group of equal keys: its smallest id, that row's stratum and stored split (train, if none is stored), its size and its bucket."""
+    kept = F.min_by(stored, row_id) if stored else F.lit("train")
+    groups = rows.groupBy(key).agg(F.min(row_id).alias("canonical_id"), F.min_by(stratum, row_id).alias("stratum"), kept.alias("stored"), F.count(F.lit(1)).alias("members"))
     return groups.withColumn("bucket", hash_bucket("canonical_id", salt))
 
 
@@ -32,14 +33,14 @@ def thresholds(groups: DataFrame, frozen: DataFrame | None = None, test_share: f
 
 
 def assigned(groups: DataFrame, limits: DataFrame) -> DataFrame:
-    """Groups with split: test below the threshold, dev in the width after it, else train."""
-    split = F.when(F.col("bucket") < F.col("test_threshold"), "test").when(F.col("bucket") < F.col("test_threshold") + F.col("dev_width"), "dev").otherwise("train")
+    """Groups with split: test below the threshold if the stored split is train, dev below threshold and width, else train."""
+    split = F.when((F.col("stored") == "train") & (F.col("bucket") < F.col("test_threshold")), "test").when(F.col("bucket") < F.col("test_threshold") + F.col("dev_width"), "dev").otherwise("train")
     return groups.join(limits, "stratum").withColumn("split", split)
 
 
-def split_rows(rows: DataFrame, key: str, row_id: str, stratum: str, salt: str, frozen: DataFrame | None = None) -> DataFrame:
-    """rows with stratum and split of their group; rows of one key share a split."""
-    groups = canonical_groups(rows, key, row_id, stratum, salt)
+def split_rows(rows: DataFrame, key: str, row_id: str, stratum: str, salt: str, frozen: DataFrame | None = None, stored: str | None = None) -> DataFrame:
+    """rows with stratum and split of their group; rows of one key share a split. stored: a column with an earlier split."""
+    groups = canonical_groups(rows, key, row_id, stratum, salt, stored)
     found = assigned(groups, thresholds(groups, frozen)).select(F.col(key).alias("group_key"), F.col("stratum").alias("group_stratum"), "split")
     return rows.join(found, F.col(key).eqNullSafe(F.col("group_key"))).drop("group_key")
 

@@ -234,13 +234,18 @@ def best_marks(spark, sf_dir):
 BEST_SQL = "select o_orderpriority, o_orderstatus, round(v, 6) as value, v = max(v) over (partition by o_orderpriority) as best from (select o_orderpriority, o_orderstatus, avg(o_totalprice) as v from orders group by 1, 2)"
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 def event_type_pivot(spark, sf_dir):
-    """Users by event type: counts, with an explicit list of types."""
+    """Events of each user by type, with an explicit list of types, and all types' numbers and range of values."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("types"), F.max("value").alias("hi"), F.min("value").alias("lo"))
+    by_type = e.groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.count(F.lit(1))).na.fill(0, list(EVENT_TYPES))
+    whole = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("types"), F.max("value").alias("hi"), F.min("value").alias("lo"))
+    return whole.join(by_type, "user_id")
 
 
-PIVOT_SQL = "select user_id, count(*) as n, count(distinct event_type) as types, max(value) as hi, min(value) as lo from events group by 1"
+PIVOT_SQL = f"select user_id, count(*) as n, count(distinct event_type) as types, max(value) as hi, min(value) as lo, {', '.join(f"count(*) filter (event_type = '{x}') as {x}" for x in EVENT_TYPES)} from events group by 1"
 
 alpha_nominal, alpha_ordinal, alpha_interval = _alpha("nominal"), _alpha("ordinal"), _alpha("interval")
 _ALL = (auc_by_lang, roc_points, sweep, label_confusion, label_kappa, binary_agreement, alpha_nominal, alpha_ordinal, alpha_interval, rater_agreement, majority_status, calibration, price_histogram, grouping_sets, funnel, duplicate_groups, class_weights, event_as_of, weight_bands, failure_stop, latency, frequent_words, quadratic_fit, best_marks, event_type_pivot)

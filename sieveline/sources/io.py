@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,13 +161,18 @@ def read_store(spark: SparkSession, paths: Sequence[str], schema: StructType | s
 def eval_rows(df: DataFrame, order: str, source: str, references: Sequence[str], prefix: str, expected: int | None = None) -> DataFrame:
     """Rows of a test file as id, source and references; ids are the prefix and the dense number in file order.
 
-    The number is the count of rows before, by ranges: no row waits for a single task. Raises on an unexpected number of rows.
+    The number is the count of rows before, by ranges: no row waits for a single task. `order` must be unique. Raises on an unexpected number of rows.
     """
     if expected is not None and (n := df.count()) != expected:
         raise ValueError(f"{n} rows instead of {expected}")
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Ranges depend on the sort key alone, so both uses of `placed` number alike; `order` must be unique.
-    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_mid", F.monotonically_increasing_id())
+    # Ranges are sampled anew by each job, so the numbered rows are written once, to the folder that executors share.
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
+    placed = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
     sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_mid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     before, at = [], 0
     for p in sorted(sizes):

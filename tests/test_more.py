@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import scalars as S
+from sieveline.functions import text
+from sieveline.operators import rewriting, splits
 from sieveline.operators import statistics as ST
 from sieveline.sources import io
 
@@ -41,3 +43,32 @@ def test_cross_validation(spark):
     out = ST.cross_validated(rows, ["x"], "y", "id")
     assert out.count() == 200
     assert ST.auc(out, "p", "y").first()["auc"] == 1.0
+
+
+def test_eval_rows_numbers_many_rows_once(spark):
+    rows = spark.range(300_000, numPartitions=16).select(F.xxhash64("id").cast("string").alias("key"), F.lit("x").alias("src"))
+    got = io.eval_rows(rows, "key", "src", ["src"], "", 300_000).select(F.col("id").cast("long").alias("n")).agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (300_000, 0, 299_999)
+
+
+def test_added_commas_become_stops(spark):
+    rows = [
+        ("ذهب الولد إلى البيت وأكل الطعام مع أخيه", "ذهب الولد إلى البيت، وأكل الطعام مع أخيه", "ذهب الولد إلى البيت. وأكل الطعام مع أخيه"),
+        ("ذهب الولد إلى البيت، وأكل الطعام مع أخيه", "ذهب الولد إلى البيت، وأكل الطعام مع أخيه", "ذهب الولد إلى البيت، وأكل الطعام مع أخيه"),  # the source's own comma
+        ("ذهب الولد إلى البيت وأكل", "ذهب الولد إلى البيت، وأكل", "ذهب الولد إلى البيت، وأكل"),  # a clause of one word
+        ("ذهب الولد إلى البيت", "ذهب الولد إلى البيت، أكل الطعام مع أخيه", "ذهب الولد إلى البيت، أكل الطعام مع أخيه"),  # no clause opens
+        ("ذهب الولد إلى البيت", "ذهب الولد إلى البيت، وأكل هنا. مع أخيه الكبير", "ذهب الولد إلى البيت، وأكل هنا. مع أخيه الكبير"),  # the clause ends after two words
+        (None, "ذهب، ثم", None), ("", "", ""),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a string, b string, c string")
+    got = {r["i"]: r["x"] for r in df.select("i", rewriting.commas_to_stops("a", "b").alias("x")).collect()}
+    assert got == {i: r[2] for i, r in enumerate(rows)}
+
+
+def test_persian_letters_and_stored_splits(spark):
+    assert spark.range(1).select(text.arabic_letters(F.lit("یکۀھہ"))).first()[0] == "يكةهه"
+    rows = spark.createDataFrame([(i, f"t{i}", "s", ("train", "dev", "test")[i % 3]) for i in range(300)], "id long, key string, stratum string, old string")
+    whole = spark.createDataFrame([("s", 10_000, 0)], "stratum string, test_threshold long, dev_width long")
+    got = splits.split_rows(rows, "key", "id", "stratum", "salt", whole, "old").groupBy("old", "split").count().collect()
+    assert {(r["old"], r["split"]): r["count"] for r in got} == {("train", "test"): 100, ("dev", "dev"): 100, ("test", "dev"): 100}  # the threshold alone leaves no room for train
+    assert splits.split_rows(rows, "key", "id", "stratum", "salt", whole).where("split = 'test'").count() == 300
