@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics_queries, curation_queries, text_queries
+from .plans import analytics_queries, curation_queries, judging_queries, text_queries
 
-_PLANS = (text_queries, curation_queries, analytics_queries)
+_PLANS = (text_queries, curation_queries, analytics_queries, judging_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for p in _PLANS for k, q in p.ORACLE_SQL.items()}
 

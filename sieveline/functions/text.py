@@ -142,6 +142,28 @@ def clauses(text: Column | str) -> Column:
     return F.split(as_column(text), CLAUSE_BREAKS)
 
 
+# Clitics before and after a stem.
+STEM_PREFIXES = ("و", "ف", "ب", "ل", "ك", "س", "ال", "وال", "فال", "بال", "لل", "كال", "ولل", "وب", "ول", "وس", "فس", "فب", "فل")
+STEM_SUFFIXES = ("ه", "ها", "هم", "هن", "ك", "كم", "نا", "ني", "ي", "ة", "ات", "ون", "ين", "ان", "ا")
+
+
+def lexical_key(word: Column | str) -> Column:
+    """A word as rated tables have it: without vowel marks and stretching, and without the article if more than one letter is left."""
+    return F.regexp_replace(strip_marks(word, "lexical"), "^ال(?=..)", "")
+
+
+def stem_candidates(word: Column | str) -> Column:
+    """The word and what is left of it, two letters or more, without a clitic at either end or both; longest first, then by letters."""
+    w = as_column(word)
+    fixed = lambda affixes: F.array(F.lit(""), *(F.lit(a) for a in affixes))
+    cut = lambda w, p, s: F.substring(w, F.length(p) + 1, F.length(w) - F.length(p) - F.length(s))
+    heads = lambda w: F.filter(fixed(STEM_PREFIXES), lambda p: F.startswith(w, p))
+    tails = lambda w: F.filter(fixed(STEM_SUFFIXES), lambda s: F.endswith(w, s))
+    cuts = let(w, lambda w: F.flatten(F.transform(heads(w), lambda p: F.transform(tails(w), lambda s: cut(w, p, s)))))
+    kept = F.array_distinct(F.concat(F.array(w), F.filter(cuts, lambda x: F.length(x) >= 2)))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("stem")))), lambda x: x["stem"])
+
+
 def longest_clause(text: Column | str) -> Column:
     """Words of the longest clause; 0 for an empty text."""
     return F.coalesce(F.array_max(F.transform(clauses(text), lambda c: F.size(words(c)))), F.lit(0))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
-from ..functions.text import arabic_words, strip_marks
+from ..functions.text import MARKS_SIGNS, arabic_words, strip_marks
 
 
 def rated_words(ratings: DataFrame) -> DataFrame:
@@ -68,11 +72,61 @@ def spellings(tokens: DataFrame, token: str) -> DataFrame:
     return counts.groupBy("bare").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "spelling"))).alias("listed")).select("bare", F.transform("listed", lambda s: F.struct(s["spelling"].alias("spelling"), (-s["minus_n"]).alias("n"))).alias("spellings"))
 
 
+# Vowel marks (doubled ones included), the mark of a doubled letter, and all marks of a letter.
+_VOWELS, _DOUBLED, _MARK = "\u064b\u064c\u064d\u064e\u064f\u0650", "\u0651", re.compile(MARKS_SIGNS)
+
+
+def _letter_marks(word: str) -> list[tuple[str, str]]:
+    """Vowel and doubling of each letter, empty where not written; a marked letter without doubling has "single"."""
+    out: list[tuple[str, str]] = []
+    for ch in word:
+        if "\u0621" <= ch <= "\u064a":
+            out.append(("", ""))
+        elif out and _MARK.match(ch):
+            vowel, doubling = out[-1]
+            out[-1] = (ch if ch in _VOWELS else vowel, "doubled" if ch == _DOUBLED or doubling == "doubled" else "single")
+    if out:
+        out[-1] = ("", out[-1][1])  # the last vowel is the case ending and tells no words apart
+    return out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def reading_counts(spellings: pd.Series) -> pd.Series:
+    """Rows of each reading of a bare word. Spellings, most frequent first, join the first reading whose marks none of
+    theirs contradicts; marks that are not written contradict nothing."""
+
+    def one(listed) -> list[int]:
+        readings: list[tuple[list[tuple[set, set]], int]] = []
+        for spelling in listed:
+            marks = _letter_marks(spelling["spelling"])
+            for i, (seen, n) in enumerate(readings):
+                if all((not m or not known - {m}) for pair, sets in zip(marks, seen, strict=False) for m, known in zip(pair, sets, strict=True)):
+                    readings[i] = (seen, n + spelling["n"])
+                    break
+            else:
+                seen = []
+                readings.append((seen, spelling["n"]))
+            seen.extend((set(), set()) for _ in range(len(marks) - len(seen)))
+            for pair, sets in zip(marks, seen, strict=False):
+                for m, known in zip(pair, sets, strict=True):
+                    known |= {m} - {""}
+        return [int(n) for _, n in readings]
+
+    return pd.Series([one(x) for x in spellings])
+
+
 def ambiguous(spelled: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:
-    """Bare words with two readings or more that are frequent enough: at least `least` and a `share` of all."""
-    total = F.aggregate("spellings", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    readings = F.filter("spellings", lambda s: (s["n"] >= least) & (s["n"] >= share * total))
-    return spelled.where(F.size(readings) >= 2).select("bare", F.size(readings).alias("readings"))
+    """Bare words with two readings or more that are frequent enough: at least `least` and a `share` of all. Spellings that
+    lack marks count for the reading that they fit; of equally frequent spellings the first by letters joins first."""
+    counted = spelled.select("bare", reading_counts("spellings").alias("counts"))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    readings = F.filter("counts", lambda n: (n >= least) & (n / total >= share))
+    return counted.select("bare", F.size(readings).alias("readings")).where("readings >= 2")
+
+
+def repeated(tokens: DataFrame, word: str, least: int = 2) -> DataFrame:
+    """word and n of the words that stand `least` times or more."""
+    return tokens.groupBy(word).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def hardest_lead(pairs: DataFrame, item: str, levels: DataFrame) -> DataFrame:
