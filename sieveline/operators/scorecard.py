@@ -14,17 +14,20 @@ PENDING_BLOCKS = ("meaning", "judge")
 CONTINUOUS = ("P(same meaning)", "longest clause: words shorter", "reading level: levels lower", "hard words: fewer")
 
 
-def item_measures(pairs: DataFrame, same_threshold: float = 0.5, contradict_threshold: float | None = None) -> DataFrame:
-    """Long rows (item, doc, set, track, block, measure, value, state) of (item, doc, set, track, source, output[, same, contradict, level_source, level_output]).
+def item_measures(pairs: DataFrame, same_threshold: float = 0.5, contradict_threshold: float | None = None, simpler_least: tuple[int, float] | None = None) -> DataFrame:
+    """Long rows (item, doc, set, track, block, measure, value, state) of (item, doc, set, track, source, output[, same, contradict, level_source, level_output, hard_source, hard_output]).
 
     A measure that does not apply to a track or text has no row; state is pending where a meaning score is missing.
+    Without a column `same` there are no rows on meaning. simpler_least: by how many words of the longest clause (beyond
+    punctuation), or levels, a text must be simpler for the joint measure; without it that has no rows.
     """
     cols = pairs.columns
+    scored = F.lit("same" in cols)
     opt = lambda c: F.col(c) if c in cols else F.lit(None).cast("double")
     number = lambda c: c.cast("double")
     # What several measures share is computed once, in columns of its own.
     pairs = pairs.select(
-        "item", "doc", "set", "track", "source", "output", *(opt(c).alias(c) for c in ("same", "contradict", "level_source", "level_output")),
+        "item", "doc", "set", "track", "source", "output", *(opt(c).alias(c) for c in ("same", "contradict", "level_source", "level_output", "hard_source", "hard_output")),
         T.norm("source").alias("norm_source"), T.norm("output").alias("norm_output"), G.numbers("source").alias("numbers_source"), G.numbers("output").alias("numbers_output"),
         G.rule_breaks("source", "output").alias("breaks"), T.longest_clause("source").alias("clause_source"), T.longest_clause("output").alias("clause_output"),
         *(f(c).alias(f"{f.__name__}_{c}") for f in (G.negations, G.conditions, G.limits) for c in ("source", "output")), G.retention("source", "output").alias("kept"),
@@ -44,6 +47,11 @@ def item_measures(pairs: DataFrame, same_threshold: float = 0.5, contradict_thre
     contra = raised & (F.col("contradict") >= contradict_threshold) if contradict_threshold is not None else F.lit(False)
     ls, lo = both("clause")
     drop = F.when(F.col("level_source") >= 10, F.col("level_source") - F.col("level_output"))
+    clause_drop, hard = F.when(ls > 15, number(ls - lo)), F.col("hard_source")
+    meaning_kept = (F.col("same") >= same_threshold) & nums_ok & ~F.coalesce(contra, F.lit(False))
+    words_least, levels_least = simpler_least or (0, 0)
+    simpler = (F.coalesce(clause_drop, F.lit(0.0)) >= words_least) & ~G.punctuation_only("source", "output") | (F.coalesce(drop, F.lit(0.0)) >= levels_least)
+    joint = scored & F.lit(simpler_least is not None) & ~verse & ~easy & (clause_drop.isNotNull() | drop.isNotNull())
     entries: list[tuple[str, str, Column, Column]] = [  # block, measure, value, applies
         ("behaviour", "F: letters unchanged", number(unchanged), verse),
         ("behaviour", "F: exactly unchanged", number(F.trim("output") == F.trim("source")), verse),
@@ -52,9 +60,11 @@ def item_measures(pairs: DataFrame, same_threshold: float = 0.5, contradict_thre
         ("behaviour", "C: easy text left unchanged", number(unchanged), easy),
         ("behaviour", "E1: end mark kept", number(F.col("end_source") == F.col("end_output")), track == "E1"),
         *(("flags", name, number(c), ~verse) for name, c in flags.items()),
-        ("meaning", "P(same meaning)", F.col("same"), ~verse),
-        ("meaning", "meaning kept", number((F.col("same") >= same_threshold) & nums_ok & ~F.coalesce(contra, F.lit(False))), ~verse),
-        ("simpler", "longest clause: words shorter", F.when(ls > 15, number(ls - lo)), ~verse & ~easy),
+        ("meaning", "P(same meaning)", F.col("same"), ~verse & scored),
+        ("meaning", "meaning kept", F.when(F.col("same").isNotNull(), number(meaning_kept)), ~verse & scored),
+        ("meaning", "meaning kept and simpler", F.when(F.col("same").isNotNull(), number(meaning_kept & simpler)), joint),
+        ("simpler", "longest clause: words shorter", clause_drop, ~verse & ~easy),
+        ("simpler", "hard words: fewer", F.when(hard > 0, number(hard - F.col("hard_output"))), ~verse & ~easy),
         ("simpler", "reading level: levels lower", drop, ~verse & ~easy),
         ("diagnostics", "kept 60%+ of words", number(F.col("kept") >= 0.6), ~verse & ~easy),
         ("diagnostics", "no clause over 15 words", number(lo <= 15), track.isin("B", "E2", "E3")),

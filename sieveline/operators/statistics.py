@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Groups whose sums of all draws a task of spread_bootstrap() holds at once.
+HELD_GROUPS = 500
+
 
 def _by(by: list[str]) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -29,13 +33,15 @@ def auc(rows: DataFrame, score: str, label: str, by: list[str] = []) -> DataFram
 
 
 def roc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, fpr, tpr at each distinct score, from the highest."""
+    """threshold, fpr, tpr at each distinct score, from the highest; the start (0, 0), above all scores, has no threshold."""
     t = score_table(rows, score, label)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     whole = _by([])
-    return t.select(
+    points = t.select(
         F.col("score").alias("threshold"), (F.sum("neg").over(w) / F.sum("neg").over(whole)).alias("fpr"), (F.sum("pos").over(w) / F.sum("pos").over(whole)).alias("tpr")
     )
+    start = rows.sparkSession.range(1).select(F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
 def threshold_sweep(rows: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
@@ -188,6 +194,43 @@ def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str,
     return found.select(*by, *((F.col(c) * scale).alias(c) for c in ("mean", "low", "high")), "n")
 
 
+def spread_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, scale: Column | float = 1.0, draws: int = 2000, seed: int = 1) -> DataFrame:
+    """by, mean, low, high, n as cluster_bootstrap(), for groups of any number of clusters: no task holds a whole group.
+
+    Each cluster weighs in each draw as often as a Poisson variable of mean 1 says, which its hash and the seed fix, so
+    the intervals depend neither on partitions nor on order. Tasks send `draws` sums a group; those of a draw are added.
+    """
+    v, keys = F.col(value).cast("double"), [F.col(c) for c in by]
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(v).alias("_sum"), F.count(F.lit(1)).cast("double").alias("_rows"))
+    seeded = sums.select(*keys, "_sum", "_rows", F.xxhash64(cluster, F.lit(seed)).alias("_seed"))
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by) + "_draw int, _sum double, _rows double"
+
+    def weigh(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for key, both in held.items():
+                yield pd.DataFrame({**{c: [k] * (draws + 1) for c, k in zip(by, key, strict=True)}, "_draw": np.arange(-1, draws, dtype=np.int32), "_sum": both[0], "_rows": both[1]})
+            held.clear()
+
+        for pdf in batches:
+            seeds, both = pdf["_seed"].to_numpy().view(np.uint64), pdf[["_sum", "_rows"]].to_numpy()
+            names = zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in by), strict=True) if by else [()] * len(pdf)
+            for key, x, pair in zip(names, seeds.tolist(), both, strict=True):
+                weights = np.concatenate(([1.0], np.random.Generator(np.random.Philox(x)).poisson(1, draws)))
+                held[key] = held.get(key, 0.0) + pair[:, None] * weights
+                if len(held) > HELD_GROUPS:
+                    yield from flush()
+        yield from flush()
+
+    whole = F.col("_draw") == -1
+    drawn = seeded.mapInPandas(weigh, schema).groupBy(*by, "_draw").agg(F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows"))
+    means = F.sort_array(F.collect_list(F.when(~whole & (F.col("_rows") > 0), F.col("_sum") / F.col("_rows"))))  # `draws` numbers at most
+    found = drawn.groupBy(*by).agg(F.max(F.when(whole, F.col("_sum") / F.col("_rows"))).alias("mean"), F.max(F.when(whole, F.col("_rows"))).cast("long").alias("n"), means.alias("_means"))
+    at = lambda share: F.get("_means", F.floor(F.size("_means") * share).cast("int"))
+    return found.select(*by, *((c * scale).alias(name) for name, c in (("mean", F.col("mean")), ("low", at(0.025)), ("high", at(0.975)))), "n")
+
+
 def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], item: str, cluster: str, value: str, order: str, **more) -> DataFrame:
     """Interval of a - b over the items that both have."""
     other = b.select(*by, item, F.col(value).alias("other"))

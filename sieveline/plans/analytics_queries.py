@@ -26,7 +26,7 @@ def roc_points(spark, sf_dir):
 
 
 ROC_SQL = f"""with j as {JUDGED_SQL}, c as (select score, count(*) filter (toxic = 1) as pos, count(*) filter (toxic <> 1) as neg from j group by 1)
-select score as threshold, round(cast(sum(neg) over w as double) / sum(neg) over (), 6) as fpr, round(cast(sum(pos) over w as double) / sum(pos) over (), 6) as tpr from c window w as (order by score desc rows unbounded preceding)"""
+select score as threshold, round(cast(sum(neg) over w as double) / sum(neg) over (), 6) as fpr, round(cast(sum(pos) over w as double) / sum(pos) over (), 6) as tpr from c window w as (order by score desc rows unbounded preceding) union all select null, 0.0, 0.0"""
 
 
 def sweep(spark, sf_dir):

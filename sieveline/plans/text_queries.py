@@ -13,12 +13,13 @@ from .base import PAIRS_SQL, r6, table, turn_pairs
 
 
 def _items(spark, sf_dir):
-    """Turn pairs as benchmark items, with a track and a set by rule."""
+    """Turn pairs as benchmark items, with a track, a set and a meaning score (missing for a quarter) by rule."""
     p = turn_pairs(spark, sf_dir)
     n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
     track = F.when(n == 0, "B").when(n == 1, "C").when(n == 2, "E1").when(n == 3, "A1").otherwise("F")
     return p.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.col("conv_id").alias("doc"), F.when(F.col("conv_id") % 2 == 0, "core").otherwise("held-out").alias("set"), track.alias("track"), "source", "output"
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.col("conv_id").alias("doc"), F.when(F.col("conv_id") % 2 == 0, "core").otherwise("held-out").alias("set"), track.alias("track"), "source", "output",
+        F.when(F.col("conv_id") % 4 != 0, F.pmod("conv_id", F.lit(10)) / 10).alias("same"),
     )
 
 
@@ -145,7 +146,7 @@ select conv_id, turn, cast(len(list_distinct(list_concat(a, b))) as bigint) as e
 def copy_intervals(spark, sf_dir):
     """Share of answers shorter than their question, with a bootstrap interval over conversations."""
     p = turn_pairs(spark, sf_dir).withColumn("shorter", (F.length("output") < F.length("source")).cast("double")).withColumn("set", F.lit("all"))
-    return ST.cluster_bootstrap(p, ["set"], "conv_id", "shorter", "conv_id", scale=100.0)
+    return ST.spread_bootstrap(p, ["set"], "conv_id", "shorter", scale=100.0)
 
 
 QUERIES = {f.__name__: f for f in (conversation_measures, conversation_scorecard, clause_lengths, numbers_kept, word_retention, match_keys, segments, sari_scores, bleu_scores, copy_rates, pair_keys, token_sets, copy_intervals)}

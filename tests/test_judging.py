@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
-from sieveline.operators import judging, lexicon, selection
+from sieveline.operators import judging, lexicon, scorecard, selection
+from sieveline.operators import statistics as ST
 
 
 def _plain_stems(word):
@@ -95,3 +96,34 @@ def test_flags_and_gaps(spark):
     assert [x[0] for x in r.select(selection.reward("k", "u", "g", "m", "l")).collect()] == [1.0, 0.4, 0.0, 0.0]
     assert [x[0] for x in r.select(selection.reward("k", "u", "g", "m", "l", meaning_gate=0.9)).collect()] == [1.0, 0.0, 0.0, 0.0]
     assert r.select(F.count(F.lit(1))).first()[0] == 4
+
+
+def test_spread_bootstrap(spark):
+    rows = spark.createDataFrame([(g, i % 40, float((i * 7919) % 11 < 4), i) for i in range(400) for g in ("a", None)] + [("one", 1, 1.0, 1), ("gap", 1, None, 1)], "g string, d long, v double, i long")
+    got = {r["g"]: r for r in ST.spread_bootstrap(rows, ["g"], "d", "v", scale=100.0).collect()}
+    again = {r["g"]: r for r in ST.spread_bootstrap(rows.repartition(7), ["g"], "d", "v", scale=100.0).collect()}
+    assert got.keys() == again.keys() == {"a", None, "one"}
+    for g in got:
+        assert got[g]["n"] == again[g]["n"] and all(got[g][c] == pytest.approx(again[g][c]) for c in ("mean", "low", "high"))
+    plain = {r["g"]: r for r in ST.cluster_bootstrap(rows, ["g"], "d", "v", "i", scale=100.0).collect()}
+    for c in ("mean", "low", "high"):
+        assert got["a"][c] == pytest.approx(plain["a"][c], abs=1.5) and got[None][c] == pytest.approx(got["a"][c])
+    assert (got["one"]["low"], got["one"]["mean"], got["one"]["high"], got["a"]["n"]) == (100, 100, 100, 400)
+    whole = ST.spread_bootstrap(rows.where("g = 'a'"), [], "d", "v", scale=100.0).first()
+    assert whole["low"] == pytest.approx(got["a"]["low"])
+    assert ST.spread_bootstrap(rows.limit(0), ["g"], "d", "v").count() == 0
+
+
+def test_measures_of_meaning_and_hard_words(spark):
+    long = "كلمة " * 18
+    items = spark.createDataFrame(
+        [(1, "d", "core", "A1", long + "أخيرة", "كلمة قصيرة", 0.9, 12.0, 9.0, 3, 1), (2, "d", "core", "A1", long + "أخيرة", long + "أخيرة", 0.9, 12.0, 12.0, 0, 2), (3, "d", "core", "A1", long + "أخيرة", "كلمة", None, None, None, 2, 0), (4, "d", "core", "A1", "نص", "نص", 0.9, None, None, None, None)],
+        "item long, doc string, set string, track string, source string, output string, same double, level_source double, level_output double, hard_source int, hard_output int",
+    )
+    rows = scorecard.item_measures(items, simpler_least=(3, 1.0)).collect()
+    got = {(r["item"], r["measure"]): (r["value"], r["state"]) for r in rows}
+    joint = "meaning kept and simpler"
+    assert [got.get((i, joint)) for i in (1, 2, 3, 4)] == [(1, "value"), (0, "value"), (None, "pending"), None]
+    assert [got.get((i, "hard words: fewer")) for i in (1, 2, 3, 4)] == [(2, "value"), None, (2, "value"), None]
+    bare = scorecard.item_measures(items.drop("same"), simpler_least=(3, 1.0))
+    assert bare.where("block = 'meaning'").count() == 0 and bare.where("measure = 'hard words: fewer'").count() == 2

@@ -73,7 +73,7 @@ def test_ranking_ties_and_quotas(spark):
 def test_statistics_by_hand(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.4, 1), (0.9, 1)], "s double, y int")
     assert ST.auc(rows, "s", "y").first()["auc"] == pytest.approx(3.5 / 4)
-    assert [(r["fpr"], r["tpr"]) for r in ST.roc(rows, "s", "y").orderBy(F.desc("threshold")).collect()] == [(0, 0.5), (0.5, 1), (1, 1)]
+    assert [(r["fpr"], r["tpr"]) for r in ST.roc(rows, "s", "y").orderBy(F.desc("threshold")).collect()] == [(0, 0.5), (0.5, 1), (1, 1), (0, 0)]
     ratings = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 2), (2, "b", 1), (3, "a", 2), (3, "b", 2), (4, "a", 1)], "u int, r string, v int")
     assert ST.krippendorff_alpha(ratings, "u", "v").first()["alpha"] == pytest.approx(1 - 5 * 2 / 18)
     assert ST.rater_pairs(ratings, "u", "r", "v").first()["agreement"] == pytest.approx(2 / 3)
