@@ -225,6 +225,14 @@ def quadratic_fit(spark, sf_dir):
     return spark.createDataFrame([(round(a, 4), round(b, 4), round(c, 2))], "a double, b double, c double")
 
 
+#: The normal equations by Cramer's rule, about the mean quantity, which keeps the sums small; then moved back.
+FIT_SQL = """with m as (select avg(l_quantity) as c from lineitem), p as (select l_quantity - c as x, l_extendedprice as y, c from lineitem, m),
+s as (select any_value(c) as c, count(*)::double as n, sum(x) as a, sum(x * x) as b, sum(x * x * x) as d, sum(x * x * x * x) as e, sum(y) as t, sum(x * y) as u, sum(x * x * y) as v from p),
+q as (select *, e * (b * n - a * a) - d * (d * n - a * b) + b * (d * a - b * b) as det from s),
+k as (select c, (v * (b * n - a * a) - d * (u * n - a * t) + b * (u * a - b * t)) / det as a2, (e * (u * n - a * t) - v * (d * n - a * b) + b * (d * t - b * u)) / det as a1, (e * (b * t - a * u) - d * (d * t - b * u) + v * (d * a - b * b)) / det as a0 from q)
+select round(a2, 4) as a, round(a1 - 2 * a2 * c, 4) as b, round(a0 - a1 * c + a2 * c * c, 2) as c from k"""
+
+
 def best_marks(spark, sf_dir):
     """Which status has the highest mean price or the lowest count in each priority."""
     o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias("value"))
@@ -255,5 +263,5 @@ ORACLE_SQL = {
     "auc_by_lang": AUC_SQL, "roc_points": ROC_SQL, "sweep": SWEEP_SQL, "label_confusion": CONFUSION_SQL, "label_kappa": KAPPA_SQL, "binary_agreement": BINARY_SQL,
     "alpha_nominal": _alpha_sql("cast(x.v <> y.v as int)"), "alpha_ordinal": _alpha_sql(_BETWEEN), "alpha_interval": _alpha_sql("pow(x.v - y.v, 2)"), "rater_agreement": RATER_SQL, "majority_status": MAJORITY_SQL,
     "calibration": CALIBRATION_SQL, "price_histogram": HISTOGRAM_SQL, "grouping_sets": GROUPING_SQL, "funnel": FUNNEL_SQL, "duplicate_groups": DUPLICATE_SQL, "class_weights": WEIGHTS_SQL, "event_as_of": AS_OF_SQL, "weight_bands": BANDS_SQL,
-    "failure_stop": FAILURE_SQL, "latency": LATENCY_SQL, "frequent_words": FREQUENT_SQL, "best_marks": BEST_SQL, "event_type_pivot": PIVOT_SQL,
+    "failure_stop": FAILURE_SQL, "latency": LATENCY_SQL, "frequent_words": FREQUENT_SQL, "quadratic_fit": FIT_SQL, "best_marks": BEST_SQL, "event_type_pivot": PIVOT_SQL,
 }
