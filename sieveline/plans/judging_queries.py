@@ -175,11 +175,11 @@ select doc_id, toxic from j where toxic = 1 union all select doc_id, toxic from
 
 def report_grid(spark, sf_dir):
     """Each language and source with its number of long documents, empty combinations too."""
-    d = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.nullif(F.count_if(F.col("n_chars") > 5000), F.lit(0)).alias("n"))
+    d = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.nullif(F.count_if(F.col("n_chars") > 5000), F.lit(0)).cast("double").alias("n"))
     return selection.report_grid(d, ["lang", "source"], "n")
 
 
-GRID_SQL = """with f as (select lang, source, nullif(count(*) filter (n_chars > 5000), 0) as n from documents group by 1, 2) select l.lang, s.source, f.n from (select distinct lang from f) l cross join (select distinct source from f) s left join f on f.lang = l.lang and f.source = s.source"""
+GRID_SQL = """with f as (select lang, source, nullif(count(*) filter (n_chars > 5000), 0)::double as n from documents group by 1, 2) select l.lang, s.source, f.n from (select distinct lang from f) l cross join (select distinct source from f) s left join f on f.lang = l.lang and f.source = s.source"""
 
 
 def repeated_words(spark, sf_dir):
