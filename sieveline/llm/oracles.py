@@ -48,4 +48,29 @@ b as (select page_id, url, string_split(regexp_replace(replace(regexp_replace(x,
 c as (select page_id, url, list_filter([trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), ' +', ' ', 'g')) for x in blocks], lambda x: x <> '') as blocks from b)
 select page_id, url, array_to_string(blocks, chr(10)) as text, cast(length(array_to_string(blocks, chr(10))) as bigint) as n_chars from c"""
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op3_html_extraction": HTML_SQL, "op6_quality_rules": QUALITY_SQL}
+SUBSTRING_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from d),
+h as (select doc_id, pos, md5(string_agg(word, ' ') over s) as gram, count(*) over s as n from w window s as (partition by doc_id order by pos rows between current row and 49 following)),
+r as (select doc_id, pos, cast(doc_id > min(doc_id) over (partition by gram) as int) as again from h where n = 50),
+c as (select w.doc_id, word, w.pos, coalesce(max(again) over (partition by w.doc_id order by w.pos rows between 49 preceding and current row), 0) as gone from w left join r using (doc_id, pos)),
+k as (select doc_id, cast(sum(gone) as bigint) as n_removed, string_agg(word, ' ' order by pos) filter (gone = 0) as kept from c group by 1)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)"""
+
+_DIVERGENCE = "(({0} - {1}) * ({0} - {1})) // ({0} + {1})"
+
+DIVERGENCE_SQL = rf"""
+with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+t as (select doc, lang, source, unnest(ts) as term from d),
+v as (select lang, term, count(*) as n from t group by 1, 2 having count(distinct doc) >= 10),
+c as (select t.lang, t.source, t.term, count(*) as n from t join v using (lang, term) group by 1, 2, 3),
+g as (select distinct lang, source from d),
+l as (select lang, count(*) as vs, sum(n) as total from v group by 1),
+p as (select g.lang, g.source, v.term, coalesce(c.n, 0) as n, v.n as ln, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) + 2 * l.vs) as p, 1 + (1000000000 * (v.n + 2)) // (l.total + 2 * l.vs) as q
+      from g join v using (lang) join l using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = v.term),
+f as (select a.lang, a.source, b.source as item, sum({_DIVERGENCE.format("a.p", "b.p")}) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all select lang, source, 'term', term, cast({_DIVERGENCE.format("p", "q")} as bigint) from p where n > 0 and p > q)
+select * from (select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from r) where part = 'pair' or rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op3_html_extraction": HTML_SQL, "op6_quality_rules": QUALITY_SQL, "op12_substring_dedup": SUBSTRING_SQL, "op13_source_divergence": DIVERGENCE_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, nearest, quality_gam, quality_rules, sentence_pieces, toxicity, url_filter
+from . import chat_format, divergence, html_extract, nearest, quality_gam, quality_rules, sentence_pieces, substring_dedup, toxicity, url_filter, whitening
 from .common import read_table, written
 from .jaccard_join import linked_components
 from .packing import pack
@@ -72,4 +72,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_html_extraction, op4_ngram_jaccard_join, op5_chat_formatting, op6_quality_rules, op7_nearest_neighbours, op8_sentencepiece, op9_packing, op10_quality_classifier)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened along the 16 largest components of their distinct vectors."""
+    vectors = whitening.usable(read_table(spark, sf_dir, "embeddings"))
+    return whitening.transform(vectors, whitening.fit(vectors, components=16))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of passages of 50 words that an earlier document has."""
+    kept = substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are from one another, and the terms that set each apart."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_url_filter, op3_html_extraction, op4_ngram_jaccard_join, op5_chat_formatting, op6_quality_rules, op7_nearest_neighbours, op8_sentencepiece, op9_packing, op10_quality_classifier,
+        op11_embedding_whitening, op12_substring_dedup, op13_source_divergence,
+    )
+}
