@@ -334,19 +334,21 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
         heavy.select("id", "n", F.explode(F.array_distinct("hubs")).alias("hub"))
         .where((F.col("id") != F.col("hub.id")) & near(F.col("n"), F.col("hub.n")))
         .groupBy("id", F.col("hub.id").alias("hub"))
-        .agg(F.count(F.lit(1)).alias("shared")),
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .withColumn("best", F.max(F.struct("shared", "hub")).over(Window.partitionBy("id")))  # as many rows as the set has hubs
+        .select("id", "hub", (F.col("hub") == F.col("best.hub")).alias("first")),
         "to_hubs",
     )
     ends = heavy.select("id").unionByName(light_pairs.select(F.explode(F.array("a", "b")).alias("id")))
     sets = _token_sets(docs, ends.distinct(), k)
     as_pair = (F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    best = to_hubs.groupBy("id").agg(F.max(F.struct("shared", "hub")).alias("best")).select("id", F.col("best.hub").alias("hub"))
     # Rows of one doc_id with different sets are one document: an edge leads to each set that another document represents.
     several = written(known.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id"), "several")
     shared = known.join(_few(several), "doc_id", "left_semi").join(reps, "set_hash").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct()
-    edges = written(_checked(best.select(*as_pair).unionByName(light_pairs).distinct(), sets, num, den).unionByName(shared), "edges")
+    edges = written(_checked(to_hubs.where("first").select(*as_pair).unionByName(light_pairs).distinct(), sets, num, den).unionByName(shared), "edges")
     clusters = written(connected(edges), "clusters")
-    for pairs in (lambda: _apart(to_hubs.select(*as_pair).distinct(), clusters, sets, num, den), lambda: _across(heavy, clusters, sets, num, den)):
+    # The pairs with a first hub are checked by now.
+    for pairs in (lambda: _apart(to_hubs.where("not first").select(*as_pair).distinct(), clusters, sets, num, den), lambda: _across(heavy, clusters, sets, num, den)):
         open_pairs = written(pairs(), "pairs")
         if open_pairs.isEmpty():
             continue

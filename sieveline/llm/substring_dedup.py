@@ -28,6 +28,8 @@ from .shingles import scramble, windows
 PREFIX, STRETCH, GROUP = 10, 64, 4096
 #: Documents and spans that a broadcast may hold; beyond them the texts are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 500_000, 4_000_000
+#: Windows of at least GROUP rows that are broadcast (24 bytes each).
+HOT_WINDOWS = 200_000
 
 _MARKS = "doc_id long, row_hash long, n_words long, digest binary, keys array<long>, starts array<int>, counts array<int>"
 _STRETCHES = "key long, heavy boolean, doc_id long, row_hash long, start int, count int, words binary"
@@ -203,8 +205,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     groups = max(1, ceil(light / GROUP))
     spans = cut.where("not heavy").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("bucket").applyInArrow(_subtrees(window), _SPANS)
     whole = cut.where("heavy").mapInArrow(_whole_windows(window), _WINDOWS)
-    earliest = whole.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("high", "low", "first")
-    more = whole.join(earliest, ["high", "low"]).where("doc_id > first").select("doc_id", "row_hash", "start", (F.col("start") + window).alias("stop"))
+    earliest = whole.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    earliest = written(earliest.select("high", "low", "first", "n"), "earliest")
+    # A window that many documents have would fill one task of a join by a shuffle: there are at most HOT_WINDOWS such, which are broadcast.
+    hot_from = max(GROUP, (earliest.agg(F.sum("n")).first()[0] or 0) // HOT_WINDOWS + 1)
+    hot, cold = (earliest.where(c).drop("n") for c in (F.col("n") >= hot_from, F.col("n") < hot_from))
+    of_cold = whole.join(F.broadcast(hot), ["high", "low"], "left_anti").join(cold, ["high", "low"])
+    more = whole.join(F.broadcast(hot), ["high", "low"]).unionByName(of_cold).where("doc_id > first").select("doc_id", "row_hash", "start", (F.col("start") + window).alias("stop"))
     found = spans.unionByName(more).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     copies = marked.where("copy").select("doc_id", "row_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))).alias("spans")).distinct()
     return written(found.unionByName(copies), "spans")
