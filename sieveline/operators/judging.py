@@ -9,6 +9,7 @@ from ..functions import guards as G
 from ..functions import scalars as V
 from ..functions import text as T
 from . import statistics as S
+from .prefix import quantiles
 
 # Kinds of errors, and the planted kinds that a judge of meaning must catch.
 MEANING_ERRORS, LANGUAGE_ERRORS = ("insertion", "deletion", "substitution"), ("grammar", "punctuation")
@@ -56,19 +57,11 @@ def acceptance(rows: DataFrame, rule: dict[str, float]) -> DataFrame:
     rows: official_meaning, official_language (null without an official verdict), meaning, language, planted (kind or
     null). rule: least meaning_recall, meaning_clean_pass, meaning_kappa, planted_meaning, language_recall.
     """
-    aggs = []
-    for c in ("meaning", "language"):
-        t, p = F.col(f"official_{c}"), F.col(c)
-        aggs += [F.count_if(t & p).alias(f"{c}_tp"), F.count_if(t & ~p).alias(f"{c}_fn"), F.count_if(~t & p).alias(f"{c}_fp"), F.count_if(~t & ~p).alias(f"{c}_tn")]
     of_meaning = F.col("planted").isin(*PLANTED_MEANING)
-    counts = rows.agg(*aggs, F.count_if(of_meaning).alias("planted_rows"), F.count_if(of_meaning & F.col("meaning")).alias("caught"))
-    out, one = [], F.lit(1)
-    for c in ("meaning", "language"):
-        tp, fn, fp, tn = (F.col(f"{c}_{k}") for k in ("tp", "fn", "fp", "tn"))
-        n = F.greatest(one, tp + fn + fp + tn)
-        po, pe = (tp + tn) / n, ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (n * n)
-        out += [F.bround(tp / F.greatest(one, tp + fn), 3).alias(f"{c}_recall"), F.bround(tn / F.greatest(one, tn + fp), 3).alias(f"{c}_clean_pass"), F.bround((po - pe) / F.greatest(F.lit(1e-9), 1 - pe), 3).alias(f"{c}_kappa")]
-    found = counts.select(*out, F.bround(F.col("caught") / F.greatest(one, F.col("planted_rows")), 3).alias("planted_meaning"))
+    counts = rows.agg(
+        *(c for name in ("meaning", "language") for c in S.binary_counts(F.col(f"official_{name}"), F.col(name), f"{name}_")), F.count_if(of_meaning).alias("planted_rows"), F.count_if(of_meaning & F.col("meaning")).alias("caught")
+    )
+    found = counts.select(*S.binary_rates("meaning_"), *S.binary_rates("language_"), F.bround(F.col("caught") / F.greatest(F.lit(1), F.col("planted_rows")), 3).alias("planted_meaning"))
     accept = F.lit(True)
     for name, least in rule.items():
         accept = accept & (F.col(name) >= least)
@@ -85,13 +78,12 @@ def separation(rows: DataFrame, by: list[str], score: str, label: str, least: in
     """Per scorer: t95 (95th percentile of the changed rows, label 0), frr (same rows, label 1, at or below it) and catch
     (changed rows at or below the 5th percentile of the same ones). Scorers with fewer than `least` rows of either are left out.
 
-    Exact percentiles keep each distinct score of a group once: round scores first where they are many.
+    Both bars are exact quantiles by running counts over ranges of scores, so no task holds a scorer's scores.
     """
     x, same, changed = F.col(score), F.col(label) == 1, F.col(label) == 0
     rows = rows.where(x.isNotNull())
-    bars = rows.groupBy(*by).agg(
-        F.percentile(F.when(changed, x), 0.95).alias("t95"), F.percentile(F.when(same, x), 0.05).alias("t5"), F.count_if(changed).alias("n_changed"), F.count_if(same).alias("n_same")
-    ).where((F.col("n_changed") >= least) & (F.col("n_same") >= least))
+    counts = rows.groupBy(*by).agg(F.count_if(changed).alias("n_changed"), F.count_if(same).alias("n_same")).where((F.col("n_changed") >= least) & (F.col("n_same") >= least))
+    bars = counts.join(quantiles(rows.where(changed), by, score, {"t95": 0.95}), by).join(quantiles(rows.where(same), by, score, {"t5": 0.05}), by)
     share = lambda of, bar: F.avg(F.when(of, (x <= F.col(bar)).cast("double")))
     return rows.join(bars, by).groupBy(*by).agg(F.first("t95").alias("t95"), share(same, "t95").alias("frr"), share(changed, "t5").alias("catch"), F.first("n_changed").alias("n_changed"), F.first("n_same").alias("n_same"))
 

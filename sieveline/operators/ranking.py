@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import hash_order
+from .prefix import ranks, same
 
 
 def winner(candidates: DataFrame, by: list[str], merit: list[Column], position: str) -> DataFrame:
@@ -36,9 +37,12 @@ def first_k(rows: DataFrame, by: list[str], order: list[Column], k: Column | int
 
 
 def bottom_share(rows: DataFrame, by: list[str], value: str, row_id: str, fractions: DataFrame, target: int) -> DataFrame:
-    """Per group, the rows of smallest value, target * fraction of them, rounded half to even. fractions: by, fraction."""
+    """Per group, the rows of smallest value, target * fraction of them, rounded half to even. fractions: by, fraction.
+
+    k grows with the target, so places are counted over ranges and no task holds a group.
+    """
     sized = rows.join(fractions, by)
-    return first_k(sized, by, [F.col(value).asc_nulls_last(), F.col(row_id)], F.bround(target * F.col("fraction"))).drop("fraction")
+    return ranks(sized, by, [F.col(value).isNull(), value, row_id], "_place").where(F.col("_place") < F.bround(target * F.col("fraction"))).drop("fraction", "_place")
 
 
 def capped_sample(rows: DataFrame, by: list[str], row_id: str, cap: int, seed: str) -> DataFrame:
@@ -47,9 +51,10 @@ def capped_sample(rows: DataFrame, by: list[str], row_id: str, cap: int, seed: s
 
 
 def stratified_sample(rows: DataFrame, by: list[str], row_id: str, fraction: float, seed: str) -> DataFrame:
-    """floor(fraction * size) rows of each group."""
+    """floor(fraction * size) rows of each group; `by` may be several columns, nulls are a stratum. Places are counted over ranges."""
     sizes = rows.groupBy(*by).agg(F.floor(F.count(F.lit(1)) * fraction).alias("_size"))
-    return first_k(rows.join(sizes, by), by, [hash_order(row_id, seed), F.col(row_id)], F.col("_size")).drop("_size")
+    placed = same(ranks(rows, by, [hash_order(row_id, seed), row_id], "_place"), sizes, by)
+    return placed.where(F.col("_place") < F.col("_size")).drop("_size", "_place")
 
 
 def seeded_limit(rows: DataFrame, row_id: str, n: int, seed: str) -> DataFrame:
@@ -63,15 +68,15 @@ def top_k(rows: DataFrame, k: int, score: str, row_id: str) -> DataFrame:
 
 
 def least_confident(rows: DataFrame, score: str, row_id: str, share: float) -> DataFrame:
-    """The share of rows (rounded half to even) of the lowest score, by the exact place in a global sort."""
+    """The share of rows (rounded half to even) of the lowest score; their number grows with the table, so places are counted over ranges."""
     n = int(rows.agg(F.bround(F.count(F.lit(1)) * share)).first()[0] or 0)
-    return rows.orderBy(F.col(score).asc(), F.col(row_id)).limit(n)
+    return ranks(rows, [], [score, row_id], "_place").where(F.col("_place") < n).drop("_place")
 
 
 def batches(rows: DataFrame, by: str, row_id: str, size: int, seed: str) -> DataFrame:
-    """batch number of each row within its sample after a reproducible shuffle."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(hash_order(row_id, seed), row_id))
-    return rows.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    """batch number of each row within its sample after a reproducible shuffle; a sample may be of any size."""
+    placed = ranks(rows, [by], [hash_order(row_id, seed), row_id], "_place")
+    return placed.withColumn("batch", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
 def upsert_history(rows: DataFrame, by: str, key: str, created: str, row_id: str, k: int = 50) -> DataFrame:

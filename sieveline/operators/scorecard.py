@@ -84,14 +84,18 @@ def summary(measures: DataFrame, complete: float = 0.9) -> DataFrame:
     return out.withColumn("complete", F.col("n") >= complete * (F.col("n") + F.col("pending")))
 
 
-def scorecard(measures: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """summary() with intervals clustered by document; rates in percent; with a baseline, the paired difference."""
+def scorecard(measures: DataFrame, baseline: DataFrame | None = None, spread: bool = False) -> DataFrame:
+    """summary() with intervals clustered by document; rates in percent; with a baseline, the paired difference.
+
+    By default a measure's sums of documents meet in one task, which draws with Python's generator as printed reports do;
+    with `spread` the documents are weighed in all tasks instead (spread_bootstrap), for any number of documents.
+    """
     scaled = F.when(F.col("measure").isin(*CONTINUOUS), 1.0).otherwise(100.0)
     by = ["set", "block", "measure"]
-    ci = S.cluster_bootstrap(measures, by, "doc", "value", "item", scale=scaled).drop("n")
+    ci = (S.spread_bootstrap(measures, by, "doc", "value", scale=scaled) if spread else S.cluster_bootstrap(measures, by, "doc", "value", "item", scale=scaled)).drop("n")
     out = summary(measures).drop("mean").join(ci, by, "left")
     if baseline is not None:
-        diff = S.paired_difference(measures, baseline, by, by, "item", "doc", "value", "item", scale=scaled)
+        diff = S.paired_difference(measures, baseline, by, by, "item", "doc", "value", "item", spread, scale=scaled)
         out = out.join(diff.select(*by, F.col("mean").alias("diff"), F.col("low").alias("diff_low"), F.col("high").alias("diff_high"), F.col("n").alias("diff_n")), by, "left")
         out = out.withColumn("significant", (F.col("diff_low") > 0) | (F.col("diff_high") < 0))
     return out

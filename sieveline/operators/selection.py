@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
 from ..functions import scalars as V
 from ..functions import text as T
+from .prefix import same
 from .ranking import hash_order, winner
 
 #: Least readability lead of an accepted rewrite, and the kinds of pairs that keep their source.
 LEAST_LEAD, KEEP_KINDS = 2.0, ("protected", "short", "identity")
+#: Cells of a report's grid at most.
+MOST_CELLS = 1_000_000
 
 
 def merged_candidates(candidates: DataFrame, whole: DataFrame, judged: DataFrame, key: str) -> DataFrame:
@@ -104,9 +109,15 @@ def teacher_sample(rows: DataFrame, is_planted: Column, row_id: str, most: int,
 
 
 def report_grid(facts: DataFrame, dims: list[str], value: str) -> DataFrame:
-    """Each combination of the dimensions' values, with its value or null. Dimensions of a report are short lists."""
+    """Each combination of the dimensions' values (null is a value) with its value or null; several facts of a cell all stay.
+
+    Dimensions of a report are short lists: more than MOST_CELLS combinations raise an error before any is made.
+    """
+    sizes = facts.agg(*(F.count_distinct(F.struct(d)).alias(f"n{i}") for i, d in enumerate(dims))).first()
+    if prod(max(1, n) for n in sizes) > MOST_CELLS:
+        raise ValueError(f"a grid of {' x '.join(map(str, sizes))} cells is no report")
     grid = None
     for d in dims:
         values = facts.select(d).distinct()
-        grid = values if grid is None else grid.crossJoin(F.broadcast(values))
-    return grid.join(facts.select(*dims, value), dims, "left")
+        grid = values if grid is None else grid.crossJoin(F.broadcast(values))  # at most MOST_CELLS values
+    return same(grid, facts.select(*dims, value), dims, "left")

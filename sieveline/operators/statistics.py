@@ -4,42 +4,40 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Groups whose sums of all draws a task of spread_bootstrap() holds at once.
-HELD_GROUPS = 500
-
-
-def _by(by: list[str]) -> Window:
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+from .prefix import quantiles, running, same
+from .resampling import ratio, resampled_sums
 
 
 def score_table(rows: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Per distinct score: positives, negatives and the negatives below it. The window holds distinct scores, not rows."""
-    counts = rows.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    below = _by(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    """Per distinct score: positives, negatives and the negatives below it, by running sums over ranges of scores.
+
+    Rows whose score or label is missing (null; NaN scores) say nothing and are left out.
+    """
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    counts = known.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    return running(counts, by, ["score"], {"pos_below": "pos", "neg_below": "neg"})
 
 
 def auc(rows: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Chance that a positive scores above a negative, ties half; null without both."""
+    """Chance that a positive scores above a negative, ties half; null without both. Rows without score or label are left out."""
     t = score_table(rows, score, label, by)
     sums = t.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(*by, F.when(F.col("p") * F.col("n") > 0, F.col("won") / (F.col("p") * F.col("n"))).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
 def roc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, fpr, tpr at each distinct score, from the highest; the start (0, 0), above all scores, has no threshold."""
+    """threshold, fpr, tpr at each distinct score, from the highest; the start (0, 0), above all scores, has no threshold.
+
+    Rows without score or label are left out; rates without negatives (positives) are null.
+    """
     t = score_table(rows, score, label)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = _by([])
-    points = t.select(
-        F.col("score").alias("threshold"), (F.sum("neg").over(w) / F.sum("neg").over(whole)).alias("fpr"), (F.sum("pos").over(w) / F.sum("pos").over(whole)).alias("tpr")
-    )
+    whole = t.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    rate = lambda c: ratio(F.col(f"all_{c}") - F.col(f"{c}_below"), F.col(f"all_{c}"))
+    points = t.crossJoin(F.broadcast(whole)).select(F.col("score").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))  # one row of totals
     start = rows.sparkSession.range(1).select(F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
@@ -56,7 +54,7 @@ def threshold_sweep(rows: DataFrame, score: str, label: str, thresholds: list[fl
 
 def catch_at_false_reject(rows: DataFrame, score: str, label: str, kind: str, rate: float = 0.05, least: int = 8) -> DataFrame:
     """Per kind of planted defect (label 0) with `least` rows: share below the score that rejects `rate` of the good rows."""
-    bar = rows.where(F.col(label) == 1).agg(F.percentile(score, rate).alias("bar"))
+    bar = quantiles(rows.where(F.col(label) == 1), [], score, {"bar": rate})
     bad = rows.where(F.col(label) != 1).crossJoin(F.broadcast(bar))  # one row
     return bad.groupBy(kind).agg(F.avg((F.col(score) <= F.col("bar")).cast("double")).alias("caught"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
@@ -75,48 +73,53 @@ def cohen_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return total.crossJoin(chance).select(F.when(pe == 1, F.lit(float("nan"))).otherwise((po - pe) / (1 - pe)).alias("kappa"), po.alias("agreement"))  # one row each
 
 
-def binary_agreement(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """kappa, recall and clean_pass of a binary judge, with denominators of one at least, rounded to three digits."""
-    t, p = F.col(truth) == 1, F.col(predicted) == 1
-    c = rows.agg(F.count_if(t & p).alias("tp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"))
-    n = F.greatest(F.lit(1), F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"))
-    po = (F.col("tp") + F.col("tn")) / n
-    pe = ((F.col("tp") + F.col("fn")) * (F.col("tp") + F.col("fp")) + (F.col("tn") + F.col("fp")) * (F.col("tn") + F.col("fn"))) / (n * n)
-    one = F.lit(1)
-    return c.select(
-        F.bround((po - pe) / F.greatest(1 - pe, F.lit(1e-9)), 3).alias("kappa"), F.bround(F.col("tp") / F.greatest(one, F.col("tp") + F.col("fn")), 3).alias("recall"), F.bround(F.col("tn") / F.greatest(one, F.col("tn") + F.col("fp")), 3).alias("clean_pass")
-    )
+def binary_counts(truth: Column, predicted: Column, prefix: str = "") -> list[Column]:
+    """Aggregates tp, fn, fp, tn of two boolean columns; rows where either is null count nowhere."""
+    cells = {"tp": truth & predicted, "fn": truth & ~predicted, "fp": ~truth & predicted, "tn": ~truth & ~predicted}
+    return [F.count_if(c).alias(f"{prefix}{name}") for name, c in cells.items()]
 
 
-def _coincidences(ratings: DataFrame, unit: str, value: str) -> DataFrame:
-    """a, b, o: weighted coincidences of values within units of two ratings or more."""
-    counts = ratings.where(F.col(value).isNotNull()).groupBy(unit, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    sized = counts.join(counts.groupBy(unit).agg(F.sum("n").alias("m")).where("m > 1"), unit)
-    other = sized.select(unit, F.col("v").alias("b"), F.col("n").alias("nb"))
-    pairs = sized.join(other, unit)  # within a unit, its distinct values
-    same = F.when(F.col("v") == F.col("b"), F.col("n") * (F.col("n") - 1)).otherwise(F.col("n") * F.col("nb"))
-    return pairs.groupBy(F.col("v").alias("a"), "b").agg(F.sum(same / (F.col("m") - 1)).alias("o"))
+def binary_rates(prefix: str = "", digits: int = 3) -> list[Column]:
+    """kappa, recall and clean_pass from the counts of binary_counts(), with denominators of one at least, rounded."""
+    tp, fn, fp, tn = (F.col(f"{prefix}{c}") for c in ("tp", "fn", "fp", "tn"))
+    least = lambda c: F.greatest(F.lit(1), c)
+    n = least(tp + fn + fp + tn)
+    by_chance = ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (n * n)
+    kappa = ((tp + tn) / n - by_chance) / F.greatest(F.lit(1e-9), 1 - by_chance)
+    found = {"kappa": kappa, "recall": tp / least(tp + fn), "clean_pass": tn / least(tn + fp)}
+    return [F.bround(c, digits).alias(f"{prefix}{name}") for name, c in found.items()]
+
+
+def binary_agreement(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """kappa, recall and clean_pass of a binary judge, with denominators of one at least, rounded to three digits."""
+    return rows.agg(*binary_counts(F.col(truth) == 1, F.col(predicted) == 1)).select(*binary_rates())
 
 
 def krippendorff_alpha(ratings: DataFrame, unit: str, value: str, metric: str = "nominal") -> DataFrame:
-    """alpha by nominal, ordinal or interval distance; 1 - observed / expected disagreement."""
-    o = _coincidences(ratings, unit, value)
-    margin = o.groupBy("a").agg(F.sum("o").alias("n"))
-    cumulative = margin.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("a").rowsBetween(Window.unboundedPreceding, 0)))  # one row a category
-    ca = cumulative.select("a", F.col("n").alias("na"), F.col("upto").alias("ua"))
-    cb = cumulative.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("upto").alias("ub"))
-    grid = ca.crossJoin(cb)  # categories only
+    """alpha by nominal, ordinal or interval distance; 1 - observed / expected disagreement, 1 where all values are equal.
+
+    Only values that are there count, in units that have two or more. No pairs are made: the squared differences within a
+    unit, and those of all values, are variances; the ordinal distance is that of the values' middle ranks, and the
+    nominal one follows from the values' frequencies.
+    """
+    known = ratings.where(F.col(value).isNotNull()).select(F.col(unit).alias("unit"), F.col(value).alias("v"))
+    rated = same(known, known.groupBy("unit").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), ["unit"])
+    values = rated.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     if metric == "nominal":
-        d = (F.col("a") != F.col("b")).cast("double")
-    elif metric == "ordinal":
-        between = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest("ua", "ub") - F.least(F.col("ua") - F.col("na"), F.col("ub") - F.col("nb")) - (F.col("na") + F.col("nb")) / 2)
-        d = between * between
+        cells = rated.groupBy("unit", "v").agg(F.count(F.lit(1)).alias("c"), F.max("m").alias("m"))
+        observed = cells.groupBy("unit").agg(((F.max("m") * F.max("m") - F.sum(F.col("c") * F.col("c"))) / (F.max("m") - 1)).alias("d")).agg(F.sum("d").alias("observed"))
+        total = F.sum("n").cast("double")
+        whole = values.agg(total.alias("n"), (total * total - F.sum(F.col("n").cast("double") * F.col("n"))).alias("expected"))
     else:
-        d = F.pow(F.col("a") - F.col("b"), 2)
-    cells = grid.join(o, ["a", "b"], "left").withColumn("d", d)
-    n = F.sum(F.coalesce("o", F.lit(0.0)))
-    observed, expected = F.sum(F.coalesce("o", F.lit(0.0)) * F.col("d")), F.sum(F.col("na") * F.col("nb") * F.col("d"))
-    return cells.agg(F.when(expected == 0, F.lit(1.0)).otherwise(1 - (n - 1) * observed / expected).alias("alpha"))
+        if metric == "ordinal":
+            middle = running(values, [], ["v"], {"below": "n"}).select("v", (F.col("below") + F.col("n") / 2).alias("x"))
+            rated = rated.join(middle, "v")
+        else:
+            rated = rated.withColumn("x", F.col("v").cast("double"))
+        observed = rated.groupBy("unit").agg((2 * F.max("m") * F.var_samp("x")).alias("d")).agg(F.sum("d").alias("observed"))
+        total = F.count(F.lit(1)).cast("double")
+        whole = rated.agg(total.alias("n"), (2 * total * total * F.var_pop("x")).alias("expected"))
+    return whole.crossJoin(observed).select(F.when(F.col("expected") == 0, F.lit(1.0)).otherwise(1 - (F.col("n") - 1) * F.col("observed") / F.col("expected")).alias("alpha"))  # one row each
 
 
 def rater_pairs(ratings: DataFrame, unit: str, rater: str, value: str) -> DataFrame:
@@ -127,26 +130,53 @@ def rater_pairs(ratings: DataFrame, unit: str, rater: str, value: str) -> DataFr
 
 
 def majority(ratings: DataFrame, unit: str, value: str) -> DataFrame:
-    """Each unit's plurality; `tie` if two values are as frequent."""
+    """Each unit's plurality of the ratings that are there; `tie` if two values are as frequent, null without any."""
     counts = ratings.groupBy(unit, value).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(unit).agg(F.max("n").alias("most"), F.max_by(value, "n").alias("winner"))
-    ties = counts.join(best, unit).where(F.col("n") == F.col("most")).groupBy(unit).agg(F.count(F.lit(1)).alias("leaders"))
-    return best.join(ties, unit).select(unit, F.when(F.col("leaders") > 1, F.lit("tie")).otherwise(F.col("winner").cast("string")).alias("majority"))
+    votes = F.when(F.col(value).isNotNull(), F.col("n"))
+    # The values in the order of their votes: a unit has few different ones.
+    ordered = counts.groupBy(unit).agg(F.array_sort(F.collect_list(F.when(votes.isNotNull(), F.struct((-votes).alias("n"), F.col(value).cast("string").alias("v"))))).alias("o"))
+    first, second = F.get("o", F.lit(0)), F.get("o", F.lit(1))
+    return ordered.select(unit, F.when(first["n"] == second["n"], F.lit("tie")).otherwise(first["v"]).alias("majority"))
 
 
 def calibration(rows: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
-    """Per equal-width bin (the last closed): mean prediction, share of positives, n."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("long")
-    return rows.groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg((F.col(label) == 1).cast("double")).alias("positive"), F.count(F.lit(1)).alias("n"))
+    """Per equal-width bin (the last closed): mean prediction, share of positives, n.
+
+    Predictions below 0 count in the first bin and those above 1 in the last; rows without prediction (null, NaN) or
+    label are left out.
+    """
+    known = rows.where(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")) & F.col(label).isNotNull())
+    b = F.greatest(F.lit(0), F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))).cast("long")
+    return known.groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg((F.col(label) == 1).cast("double")).alias("positive"), F.count(F.lit(1)).alias("n"))
 
 
 def recall_at_false_alarm(deltas: DataFrame, forward: str, reverse: str, far: float = 0.1) -> DataFrame:
-    """Share of forward deltas above the reverse delta of rank max(1, floor(far * n)) from the top."""
-    n = deltas.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * far)).cast("int").alias("k")).first()["k"]
-    bar = deltas.orderBy(F.desc(reverse)).limit(n).agg(F.min(reverse).alias("bar"))
+    """Share of forward deltas above the reverse delta of rank max(1, floor(far * n)) from the top.
+
+    The rank is found by running counts over ranges of distinct deltas; rows without a reverse delta come last.
+    """
+    counts = deltas.groupBy(F.col(reverse).alias("_bar")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.agg(F.sum("_n").alias("_all"))
+    placed = running(counts, [], ["_bar"], {"_below": "_n"}).crossJoin(F.broadcast(whole))  # one row
+    above, rank = F.col("_all") - F.col("_below") - F.col("_n"), F.greatest(F.lit(1), F.floor(F.col("_all") * far))
+    bar = placed.where((above < rank) & (rank <= above + F.col("_n"))).agg(F.max("_bar").alias("bar"))
     return deltas.crossJoin(F.broadcast(bar)).agg(F.avg((F.col(forward) > F.col("bar")).cast("double")).alias("recall"))  # bar is one row
 
 
+def quantile_histogram(rows: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """by, bin, n, share (of the group): rows between the exact quantiles of all values; a value on an edge counts below it.
+
+    Null values are in no bin. The edges are one row, found by running counts over ranges of values.
+    """
+    names = [f"_edge_{i}" for i in range(len(shares))]
+    edges = quantiles(rows, [], value, dict(zip(names, sorted(shares), strict=True)))
+    above = sum((F.col(value) > F.col(e)).cast("int") for e in names)
+    n = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(*by, above.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row of edges
+    whole = n.groupBy(*by).agg(F.sum("n").alias("_all"))
+    found = same(n, whole, by) if by else n.crossJoin(F.broadcast(whole))  # one row without groups
+    return found.select(*by, "bin", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
 def classifier_report(rows: DataFrame, truth: str, predicted: str, easy_upto: int) -> DataFrame:
     """exact, off_by_one, band accuracy, and precision and recall of the easy band."""
     t, p = F.col(truth), F.col(predicted)
@@ -200,42 +230,20 @@ def spread_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, s
     Each cluster weighs in each draw as often as a Poisson variable of mean 1 says, which its hash and the seed fix, so
     the intervals depend neither on partitions nor on order. Tasks send `draws` sums a group; those of a draw are added.
     """
-    v, keys = F.col(value).cast("double"), [F.col(c) for c in by]
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(v).alias("_sum"), F.count(F.lit(1)).cast("double").alias("_rows"))
-    seeded = sums.select(*keys, "_sum", "_rows", F.xxhash64(cluster, F.lit(seed)).alias("_seed"))
-    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by) + "_draw int, _sum double, _rows double"
-
-    def weigh(batches):
-        held: dict[tuple, np.ndarray] = {}
-
-        def flush():
-            for key, both in held.items():
-                yield pd.DataFrame({**{c: [k] * (draws + 1) for c, k in zip(by, key, strict=True)}, "_draw": np.arange(-1, draws, dtype=np.int32), "_sum": both[0], "_rows": both[1]})
-            held.clear()
-
-        for pdf in batches:
-            seeds, both = pdf["_seed"].to_numpy().view(np.uint64), pdf[["_sum", "_rows"]].to_numpy()
-            names = zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in by), strict=True) if by else [()] * len(pdf)
-            for key, x, pair in zip(names, seeds.tolist(), both, strict=True):
-                weights = np.concatenate(([1.0], np.random.Generator(np.random.Philox(x)).poisson(1, draws)))
-                held[key] = held.get(key, 0.0) + pair[:, None] * weights
-                if len(held) > HELD_GROUPS:
-                    yield from flush()
-        yield from flush()
-
+    known = rows.where(F.col(value).isNotNull())
+    drawn = resampled_sums(known, by, cluster, {"_sum": F.col(value).cast("double"), "_rows": F.lit(1)}, draws, seed)
     whole = F.col("_draw") == -1
-    drawn = seeded.mapInPandas(weigh, schema).groupBy(*by, "_draw").agg(F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows"))
     means = F.sort_array(F.collect_list(F.when(~whole & (F.col("_rows") > 0), F.col("_sum") / F.col("_rows"))))  # `draws` numbers at most
     found = drawn.groupBy(*by).agg(F.max(F.when(whole, F.col("_sum") / F.col("_rows"))).alias("mean"), F.max(F.when(whole, F.col("_rows"))).cast("long").alias("n"), means.alias("_means"))
     at = lambda share: F.get("_means", F.floor(F.size("_means") * share).cast("int"))
     return found.select(*by, *((c * scale).alias(name) for name, c in (("mean", F.col("mean")), ("low", at(0.025)), ("high", at(0.975)))), "n")
 
 
-def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], item: str, cluster: str, value: str, order: str, **more) -> DataFrame:
-    """Interval of a - b over the items that both have."""
+def paired_difference(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], item: str, cluster: str, value: str, order: str, spread: bool = False, **more) -> DataFrame:
+    """Interval of a - b over the items that both have; by spread_bootstrap() if `spread`."""
     other = b.select(*by, item, F.col(value).alias("other"))
     both = a.join(other, [*by, item]).withColumn("difference", F.col(value).cast("double") - F.col("other").cast("double"))
-    return cluster_bootstrap(both, by, cluster, "difference", order, **more)
+    return spread_bootstrap(both, by, cluster, "difference", **more) if spread else cluster_bootstrap(both, by, cluster, "difference", order, **more)
 
 
 def cross_validated(rows: DataFrame, features: list[str], label: str, row_id: str, folds: int = 5, c: float = 1.0) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import lexicon, scorecard, timeline
+from ..operators import resampling as RS
 from ..operators import statistics as ST
 from .base import JUDGED_SQL, judged, r6, table
 
@@ -20,6 +20,21 @@ t as (select *, coalesce(sum(neg) over (partition by lang order by score rows be
 select lang, round(case when sum(pos) * sum(neg) > 0 then cast(sum(pos * (below + neg / 2.0)) as double) / cast(sum(pos) * sum(neg) as double) end, 6) as auc, cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives from t group by 1"""
 
 
+def auc_interval(spark, sf_dir):
+    """AUC of text length for quality, per language, with its interval over resampled sources."""
+    return RS.bootstrap_auc(judged(spark, sf_dir), "source", "score", "quality", ["lang"]).select("lang", *(r6(F.col(c), c) for c in ("value", "low", "high")), "draws")
+
+
+def kappa_interval(spark, sf_dir):
+    """Kappa, recall and precision of toxicity as a prediction of bad quality, per language, with intervals over sources."""
+    bad, toxic = F.col("quality") != 1, F.col("toxic") == 1
+    counts = {c: F.when(of, 1) for c, of in (("tp", bad & toxic), ("fn", bad & ~toxic), ("fp", ~bad & toxic), ("tn", ~bad & ~toxic))}
+    of = {"kappa": RS.kappa_of, "recall": lambda tp, fn, fp, tn: RS.ratio(tp, tp + fn), "precision": lambda tp, fn, fp, tn: RS.ratio(tp, tp + fp)}
+    drawn = RS.resampled_sums(judged(spark, sf_dir), ["lang"], "source", counts)
+    every = drawn.select("lang", "_draw", F.explode(F.create_map(*(x for name, f in of.items() for x in (F.lit(name), f(*(F.col(c) for c in counts)))))).alias("measure", "_of"))
+    return RS.interval(every, ["lang", "measure"], F.col("_of")).select("lang", "measure", *(r6(F.col(c), c) for c in ("value", "low", "high")), "draws")
+
+
 def roc_points(spark, sf_dir):
     """ROC of text length for toxicity."""
     return ST.roc(judged(spark, sf_dir), "score", "toxic").select("threshold", r6(F.col("fpr"), "fpr"), r6(F.col("tpr"), "tpr"))
@@ -88,12 +103,13 @@ select round(1 - (sum(o) - 1) * sum(o * d) / sum(na * nb * d), 6) as alpha from
 
 def rater_agreement(spark, sf_dir):
     """Exact agreement over pairs of lines of an order."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.ceil(F.col("l_quantity") / 10).cast("int").alias("value")).dropDuplicates(["l_orderkey", "l_linenumber"])  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.ceil(F.col("l_quantity") / 10).cast("int").alias("value"))  # noqa: E741
     lines = l.groupBy("l_orderkey", "l_linenumber").agg(F.min("value").alias("value"))
-    return ST.rater_pairs(lines, "l_orderkey", "l_linenumber", "value").select("pairs")
+    return ST.rater_pairs(lines, "l_orderkey", "l_linenumber", "value").select(r6(F.col("agreement"), "agreement"), "pairs")
 
 
-RATER_SQL = "with l as (select distinct l_orderkey, l_linenumber from lineitem) select count(*) as pairs from l a join l b using (l_orderkey) where a.l_linenumber < b.l_linenumber"
+RATER_SQL = """with l as (select l_orderkey, l_linenumber, min(cast(ceil(l_quantity / 10) as int)) as v from lineitem group by 1, 2)
+select round(avg(case when a.v = b.v then 1.0 else 0.0 end), 6) as agreement, count(*) as pairs from l a join l b using (l_orderkey) where a.l_linenumber < b.l_linenumber"""
 
 
 def majority_status(spark, sf_dir):
@@ -116,11 +132,8 @@ CALIBRATION_SQL = """select cast(least(floor(l_discount * 9 * 10), 9) as bigint)
 
 def price_histogram(spark, sf_dir):
     """Quartile edges of order prices and the share of each status in each quarter."""
-    o = table(spark, sf_dir, "orders")
-    edges = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
-    binned = o.crossJoin(F.broadcast(edges)).select("o_orderstatus", F.aggregate("e", F.lit(0), lambda a, x: a + (F.col("o_totalprice") > x).cast("int")).alias("quarter"))  # one row of edges
-    n = binned.groupBy("o_orderstatus", "quarter").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("o_orderstatus", "quarter", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderstatus")), "share"))
+    found = ST.quantile_histogram(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderstatus"], [0.25, 0.5, 0.75])
+    return found.select("o_orderstatus", F.col("bin").alias("quarter"), "n", r6(F.col("share"), "share"))
 
 
 HISTOGRAM_SQL = """with e as (select quantile_cont(o_totalprice, 0.25) as a, quantile_cont(o_totalprice, 0.5) as b, quantile_cont(o_totalprice, 0.75) as c from orders),
@@ -129,12 +142,12 @@ select o_orderstatus, quarter, n, round(n / cast(sum(n) over (partition by o_ord
 
 
 def grouping_sets(spark, sf_dir):
-    """Documents and mean length overall, by language, and by language and source."""
-    d = table(spark, sf_dir, "documents")
-    return d.groupingSets([[], ["lang"], ["lang", "source"]], "lang", "source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_chars"), "mean_chars"))
+    """Documents and mean length of each source, overall and by language."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("system"), F.col("lang").alias("status"), "n_chars")
+    return scorecard.by_status(d, [F.count(F.lit(1)).alias("n"), r6(F.avg("n_chars"), "mean_chars")])
 
 
-GROUPING_SQL = "select lang, source, count(*) as n, round(avg(n_chars), 6) as mean_chars from documents group by grouping sets ((), (lang), (lang, source))"
+GROUPING_SQL = "select source as system, lang as status, count(*) as n, round(avg(n_chars), 6) as mean_chars from documents group by grouping sets ((source), (source, lang))"
 
 
 def funnel(spark, sf_dir):
@@ -234,12 +247,14 @@ select round(a2, 4) as a, round(a1 - 2 * a2 * c, 4) as b, round(a0 - a1 * c + a2
 
 
 def best_marks(spark, sf_dir):
-    """Which status has the highest mean price or the lowest count in each priority."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias("value"))
-    return scorecard.best_marks(o.withColumn("up", F.lit(True)), "o_orderpriority", "value", "up").select("o_orderpriority", "o_orderstatus", r6(F.col("value"), "value"), "best")
+    """Which status has the highest number of orders, and which the lowest mean price, in each priority."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).cast("double").alias("orders"), F.avg("o_totalprice").alias("price"))
+    long = o.unpivot(["o_orderpriority", "o_orderstatus"], ["orders", "price"], "of", "value").withColumn("measure", F.concat_ws(" ", "of", "o_orderpriority")).withColumn("up", F.col("of") == "orders")
+    return scorecard.best_marks(long, "measure", "value", "up").select("measure", "o_orderstatus", r6(F.col("value"), "value"), "best")
 
 
-BEST_SQL = "select o_orderpriority, o_orderstatus, round(v, 6) as value, v = max(v) over (partition by o_orderpriority) as best from (select o_orderpriority, o_orderstatus, avg(o_totalprice) as v from orders group by 1, 2)"
+BEST_SQL = """with o as (select o_orderpriority as p, o_orderstatus, count(*)::double as n, avg(o_totalprice) as v from orders group by 1, 2)
+select 'orders ' || p as measure, o_orderstatus, n as value, n = max(n) over (partition by p) as best from o union all select 'price ' || p, o_orderstatus, round(v, 6), v = min(v) over (partition by p) from o"""
 
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -256,7 +271,7 @@ def event_type_pivot(spark, sf_dir):
 PIVOT_SQL = f"select user_id, count(*) as n, count(distinct event_type) as types, max(value) as hi, min(value) as lo, {', '.join(f"count(*) filter (event_type = '{x}') as {x}" for x in EVENT_TYPES)} from events group by 1"
 
 alpha_nominal, alpha_ordinal, alpha_interval = _alpha("nominal"), _alpha("ordinal"), _alpha("interval")
-_ALL = (auc_by_lang, roc_points, sweep, label_confusion, label_kappa, binary_agreement, alpha_nominal, alpha_ordinal, alpha_interval, rater_agreement, majority_status, calibration, price_histogram, grouping_sets, funnel, duplicate_groups, class_weights, event_as_of, weight_bands, failure_stop, latency, frequent_words, quadratic_fit, best_marks, event_type_pivot)
+_ALL = (auc_by_lang, auc_interval, kappa_interval, roc_points, sweep, label_confusion, label_kappa, binary_agreement, alpha_nominal, alpha_ordinal, alpha_interval, rater_agreement, majority_status, calibration, price_histogram, grouping_sets, funnel, duplicate_groups, class_weights, event_as_of, weight_bands, failure_stop, latency, frequent_words, quadratic_fit, best_marks, event_type_pivot)
 QUERIES = {f.__name__: f for f in _ALL}
 _BETWEEN = "pow(case when x.v = y.v then 0 else greatest(x.upto, y.upto) - least(x.upto - x.n, y.upto - y.n) - (x.n + y.n) / 2 end, 2)"
 ORACLE_SQL = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import guards as G
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import rewriting, scorecard
+from ..operators import prefix, rewriting, scorecard
 from ..operators import statistics as ST
 from .base import PAIRS_SQL, r6, table, turn_pairs
 
@@ -107,8 +107,9 @@ def bleu_scores(spark, sf_dir):
 def copy_rates(spark, sf_dir):
     """Copy rate and length statistics by turn."""
     p = turn_pairs(spark, sf_dir)
-    ratio = rewriting.length_ratio("source", "output")
-    return p.groupBy("turn").agg(r6(F.avg((F.trim("source") == F.trim("output")).cast("double")), "copy_rate"), r6(F.percentile(ratio, 0.5), "median_ratio"), r6(F.avg((ratio < 0.5).cast("double")), "lost_half"), F.count(F.lit(1)).alias("n"))
+    p = p.withColumn("ratio", rewriting.length_ratio("source", "output"))
+    rates = p.groupBy("turn").agg(r6(F.avg((F.trim("source") == F.trim("output")).cast("double")), "copy_rate"), r6(F.avg((F.col("ratio") < 0.5).cast("double")), "lost_half"), F.count(F.lit(1)).alias("n"))
+    return rates.join(prefix.quantiles(p, ["turn"], "ratio", {"median_ratio": 0.5}), "turn").select("turn", "copy_rate", r6(F.col("median_ratio"), "median_ratio"), "lost_half", "n")
 
 
 COPY_SQL = rf"""
