@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..functions.text import MARKS_SIGNS, arabic_words, strip_marks
 
 
@@ -72,47 +69,38 @@ def spellings(tokens: DataFrame, token: str) -> DataFrame:
     return counts.groupBy("bare").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), "spelling"))).alias("listed")).select("bare", F.transform("listed", lambda s: F.struct(s["spelling"].alias("spelling"), (-s["minus_n"]).alias("n"))).alias("spellings"))
 
 
-# Vowel marks (doubled ones included), the mark of a doubled letter, and all marks of a letter.
-_VOWELS, _DOUBLED, _MARK = "\u064b\u064c\u064d\u064e\u064f\u0650", "\u0651", re.compile(MARKS_SIGNS)
-
-
-def _letter_marks(word: str) -> list[tuple[str, str]]:
-    """Vowel and doubling of each letter, empty where not written; a marked letter without doubling has "single"."""
-    out: list[tuple[str, str]] = []
-    for ch in word:
-        if "\u0621" <= ch <= "\u064a":
-            out.append(("", ""))
-        elif out and _MARK.match(ch):
-            vowel, doubling = out[-1]
-            out[-1] = (ch if ch in _VOWELS else vowel, "doubled" if ch == _DOUBLED or doubling == "doubled" else "single")
-    if out:
-        out[-1] = ("", out[-1][1])  # the last vowel is the case ending and tells no words apart
-    return out
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def reading_counts(spellings: pd.Series) -> pd.Series:
-    """Rows of each reading of a bare word. Spellings, most frequent first, join the first reading whose marks none of
-    theirs contradicts; marks that are not written contradict nothing."""
-
-    def one(listed) -> list[int]:
-        readings: list[tuple[list[tuple[set, set]], int]] = []
-        for spelling in listed:
-            marks = _letter_marks(spelling["spelling"])
-            for i, (seen, n) in enumerate(readings):
-                if all((not m or not known - {m}) for pair, sets in zip(marks, seen, strict=False) for m, known in zip(pair, sets, strict=True)):
-                    readings[i] = (seen, n + spelling["n"])
-                    break
-            else:
-                seen = []
-                readings.append((seen, spelling["n"]))
-            seen.extend((set(), set()) for _ in range(len(marks) - len(seen)))
-            for pair, sets in zip(marks, seen, strict=False):
-                for m, known in zip(pair, sets, strict=True):
-                    known |= {m} - {""}
-        return [int(n) for _, n in readings]
-
-    return pd.Series([one(x) for x in spellings])
+# Vowel marks (doubled ones included) and the mark of a doubled letter.
+VOWELS, DOUBLED = "\u064b\u064c\u064d\u064e\u064f\u0650", "\u0651"
+_READING = "array<struct<letters: array<struct<vowel: string, doubled: boolean>>, n: bigint>>"
+
+
+def letters(spelling) -> Column:
+    """A spelling's letters as (vowel, doubled), null where it does not say: unmarked letters say nothing, and the last
+    letter's vowel is the case ending, which tells no words apart."""
+    units = F.regexp_extract_all(T.as_column(spelling), F.lit(f"[\u0621-\u064a](?:{MARKS_SIGNS})*"), 0)
+    vowel = lambda u: F.nullif(F.regexp_extract(u, f"([{VOWELS}])[^{VOWELS}]*$", 1), F.lit(""))
+    one = lambda u, i: F.struct(F.when(i < F.size(units) - 1, vowel(u)).alias("vowel"), F.when(F.length(u) > 1, u.contains(DOUBLED)).alias("doubled"))
+    return F.transform(units, one)
+
+
+def reading_counts(spellings) -> Column:
+    """Rows of each reading of a bare word. A reading is what its spellings say together, letter by letter; each spelling,
+    most frequent first, adds to the first reading that says nothing else than it does, or starts one."""
+
+    def agrees(a: Column, b: Column) -> Column:
+        differs = F.zip_with(a, b, lambda x, y: F.coalesce(x["vowel"] != y["vowel"], F.lit(False)) | F.coalesce(x["doubled"] != y["doubled"], F.lit(False)))
+        return ~F.exists(differs, lambda d: d)
+
+    def together(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.struct(F.coalesce(x["vowel"], y["vowel"]).alias("vowel"), F.coalesce(x["doubled"], y["doubled"]).alias("doubled")))
+
+    def add(readings: Column, said: Column) -> Column:
+        place = F.array_position(F.transform(readings, lambda r: agrees(r["letters"], said["letters"])), F.lit(True))
+        grown = lambda r: F.struct(together(r["letters"], said["letters"]).alias("letters"), (r["n"] + said["n"]).alias("n"))
+        return F.when(place == 0, F.concat(readings, F.array(said))).otherwise(F.transform(readings, lambda r, i: F.when(i + 1 == place, grown(r)).otherwise(r))).cast(_READING)
+
+    said = F.transform(spellings, lambda s: F.struct(letters(s["spelling"]).alias("letters"), s["n"].cast("long").alias("n")))
+    return F.aggregate(said, F.array().cast(_READING), add, lambda readings: F.transform(readings, lambda r: r["n"]))
 
 
 def ambiguous(spelled: DataFrame, least: int = 3, share: float = 0.1) -> DataFrame:

@@ -9,12 +9,24 @@ from sieveline.functions import reading as R
 from sieveline.operators import lexicon, ranking
 
 
-def test_cleaning():
-    assert R.cleaned("ذهب الولد\nإلى المدرسة.\nثم عاد") == "ذهب الولد إلى المدرسة.\nثم عاد"
-    assert R.cleaned("قائمة: • قلم • كتاب") == "قائمة:\n• قلم\n• كتاب"
-    assert R.cleaned("عام2020م...") == "عام 2020 م…"
-    assert R.cleaned("﴿الحمد﴾\nلله") == "﴿الحمد﴾\nلله"
-    assert R.plain_forms("ﻻ یک") == "لا يك"
+def test_cleaning(spark):
+    cases = {
+        "ذهب الولد\nإلى المدرسة.\nثم عاد": "ذهب الولد إلى المدرسة.\nثم عاد",
+        "ذهب  \r\n  الولد \r إلى\n\nالبيت": "ذهب الولد إلى\n\nالبيت",  # a blank line parts paragraphs
+        "قائمة: • قلم • كتاب": "قائمة:\n• قلم\n• كتاب",
+        "قال:\nنعم…\nلا\n1) أولا\nثانيا": "قال:\nنعم…\nلا\n1) أولا ثانيا",
+        "عام2020م...": "عام 2020 م…",
+        "﴿الحمد﴾\nلله": "﴿الحمد﴾\nلله",
+        "لله\n﴿الحمد﴾": "لله\n﴿الحمد﴾",
+        "قال «نعم.»\nثم": "قال «نعم.»\nثم",
+        "  بداية\nوسط": "  بداية وسط",
+        "": "",
+        None: None,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "t string, wanted string")
+    assert [(r["x"], r["wanted"]) for r in rows.select(R.clean("t").alias("x"), "wanted").collect()] == [(w, w) for w in cases.values()]
+    forms = spark.createDataFrame([("ﻻ یک", "لا يك"), ("ﺍﻟﻌﺮﺑﻴﺔ ﷲ", "العربية الله"), ("﴿abc﴾", "﴿abc﴾")], "t string, wanted string")
+    assert all(r["x"] == r["wanted"] for r in forms.select(R.plain_forms("t").alias("x"), "wanted").collect())
 
 
 def test_steps_and_repairs(spark):
@@ -28,6 +40,8 @@ def test_steps_and_repairs(spark):
     assert got[1]["c"] == "ذهب 3 أولاد إلى"
     assert got[2]["a"] == "قال ق. م. ثم"
     assert got[0]["d"]
+    styles = spark.createDataFrame([("٣ ثم 3", "3 و 4"), ("١٫٥ و ۲", "2 ثم 1.5 و12"), (None, "3"), ("3", None), ("", "7.")], "s string, o string")
+    assert [r[0] for r in styles.select(R.match_digit_style("s", "o")).collect()] == ["3 و 4", "۲ ثم 1.5 و12", "3", None, "7."]
     joined = spark.createDataFrame([([(0,), (0,), (1,)], ["a", "b", "c"])], "s array<struct<paragraph int>>, o array<string>").select(R.reassembled("s", "o").alias("x"))
     assert joined.first()["x"] == "a b\n\nc"
     assert spark.range(1).select(G.is_protected(F.lit("كلمة عادية")).alias("x"), G.is_protected(F.lit("صدق الله العظيم")).alias("y")).first().asDict() == {"x": False, "y": True}
