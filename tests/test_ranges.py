@@ -16,7 +16,7 @@ from sieveline.operators import statistics as ST
 def test_running_sums_of_hot_null_and_small_groups(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.choice([None, 1, 2, 5])) for i in range(500)]
-    found = prefix.running(spark.createDataFrame(rows, "g string, i long, v long").repartition(5), ["g"], [F.desc("i") if False else -F.col("i")], {"before": "v", "place": F.lit(1)})
+    found = prefix.running(spark.createDataFrame(rows, "g string, i long, v long").repartition(5), ["g"], [-F.col("i")], {"before": "v", "place": F.lit(1)})
     got = {r["i"]: (r["before"], r["place"]) for r in found.collect()}
     for g, i, _ in rows:
         above = [x for x in rows if x[0] == g and x[1] > i]
