@@ -1,6 +1,8 @@
 """Toxicity: a lexicon learned from labels, matched by a Levenshtein automaton run over its trie, scored in context.
 
-Terms are whole words (also found one edit away, if long enough) and stems (found at the start of a word). Each hit
+Terms are whole words and stems (found at the start of a word), also found one edit away if long enough, and long words two
+edits away; a swap of neighbours is one edit. Words are met as they stand between signs, and between white space with the
+signs inside, so that a sign in a letter's place is an edit like others; letters drawn out count once. Each hit
 counts by its term's log-odds and by the window of words around it: hits close together weigh more, hits inside
 quotation marks or after a reporting word weigh less. A logistic model over the summed evidence gives the score.
 """
@@ -26,7 +28,19 @@ QUOTES = frozenset("\"“”„«»‹›‟")
 #: Window of words on each side of a hit; weight of a quoted hit; bonus for each other hit in the window, up to three.
 WINDOW, QUOTED_WEIGHT, NEIGHBOUR_BONUS = 8, 0.35, 0.25
 FUZZY_FROM, STEM_FROM, STEM_TO = 5, 4, 8
+#: Least letters of a stem for one edit and of a word for two.
+STEM_FUZZY_FROM, TWICE_FROM = 6, 9
 _TOKEN = re.compile(r"[^\W_]+")
+_OUTER, _DRAWN_OUT = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"([^\W\d_])\1{2,}")
+
+
+def spellings_of(chunk: str) -> list[tuple[str, bool]]:
+    """What a chunk between white space may spell, and whether something was changed to read it so."""
+    out = [(token, False) for token in _TOKEN.findall(chunk)]
+    whole = _OUTER.sub("", chunk)
+    if whole and (len(out) > 1 or "_" in whole):
+        out.append((whole, False))  # its signs are edits of the automaton
+    return out + [(short, True) for word, _ in tuple(out) if (short := _DRAWN_OUT.sub(r"\1", word)) != word]
 
 
 @dataclass(frozen=True)
@@ -38,28 +52,34 @@ class Term:
 
 
 class Automaton:
-    """Deterministic automaton of all words within one edit of a whole-word term, or that start with a stem.
+    """Deterministic automaton of all words that are, or start with, a term or a variant of it.
 
-    A state is a set of (trie node, edits) pairs; states and moves are made when first met. Words leave the trie after
-    a few letters, so a scan seldom reads a whole word.
+    Variants are one edit away (a letter more, less or another, or two neighbours swapped), of words of TWICE_FROM letters
+    or more also two edits. A state is a set of (trie node, edits, letter): the letter is one that must come next, as the
+    one after it came first. States and moves are made when first met. Words leave the trie after a few letters, so a scan
+    seldom reads a whole word.
     """
 
-    MAX_STATES = 50_000
+    MAX_STATES, MAX_MOVES = 50_000, 400_000
 
     def __init__(self, terms: tuple[Term, ...]):
         self.terms = terms
         self.children: list[dict[str, int]] = [{}]
         self.word_at: list[int] = [-1]
         self.stem_at: list[int] = [-1]
+        self.edits_below = [1]
         for i, t in enumerate(terms):
-            node = 0
+            node, edits = 0, 2 if not t.stem and len(t.text) >= TWICE_FROM else 1
+            self.edits_below[0] = max(self.edits_below[0], edits)
             for c in t.text:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.word_at.append(-1)
                     self.stem_at.append(-1)
+                    self.edits_below.append(1)
                 node = self.children[node][c]
+                self.edits_below[node] = max(self.edits_below[node], edits)
             (self.stem_at if t.stem else self.word_at)[node] = i
         self.reset()
 
@@ -67,58 +87,73 @@ class Automaton:
         self.moves: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = []
         self.ids: dict[frozenset, int] = {}
-        self.stems: list[int] = []
-        self.start = self._state(self._closed({(0, 0)}))
-
-    def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
-        """With the nodes reached by leaving out one letter of a term."""
-        for node, edits in list(pairs):
-            if edits == 0:
-                pairs.update((child, 1) for child in self.children[node].values())
-        return frozenset(pairs)
-
-    def _state(self, pairs: frozenset) -> int:
-        if not pairs:
+        self.stems: list[tuple[float, int, bool]] = []
+        self.start = self._state({(0, 0, "")})
+
+    def _state(self, pairs: set[tuple[int, int, str]]) -> int:
+        """The state of these pairs, those reached by leaving out letters of a term, and none that needs more edits than another."""
+        least: dict[tuple[int, str], int] = {}
+        todo = list(pairs)
+        while todo:
+            node, edits, due = todo.pop()
+            if least.get((node, due), 9) <= edits:
+                continue
+            least[node, due] = edits
+            if not due and edits < self.edits_below[node]:
+                todo += [(child, edits + 1, "") for child in self.children[node].values()]
+        if not least:
             return -1
-        if pairs not in self.ids:
-            self.ids[pairs] = len(self.states)
-            self.states.append(pairs)
-            self.stems.append(max((self.stem_at[n] for n, e in pairs if e == 0), key=lambda i: self.terms[i].weight if i >= 0 else -9.0, default=-1))
-        return self.ids[pairs]
+        found = frozenset((node, edits, due) for (node, due), edits in least.items())
+        if found not in self.ids:
+            self.ids[found] = len(self.states)
+            self.states.append(found)
+            self.stems.append(max((self._worth(self.stem_at[n], e) for n, e, due in found if not due), default=(0.0, -1, False)))
+        return self.ids[found]
+
+    def _worth(self, term: int, edits: int) -> tuple[float, int, bool]:
+        """Weight of a term met with so many edits, the term, and whether it is a variant; weight 0 if it does not count."""
+        if term < 0:
+            return 0.0, -1, False
+        t = self.terms[term]
+        if not edits:
+            return t.weight, term, False
+        enough = len(t.text) >= ((STEM_FUZZY_FROM if t.stem else FUZZY_FROM) if edits == 1 else TWICE_FROM)
+        return (t.fuzzy_weight if enough and (edits == 1 or not t.stem) else 0.0), term, True
 
     def _move(self, state: int, c: str) -> int:
-        out: set[tuple[int, int]] = set()
-        for node, edits in self.states[state]:
+        out: set[tuple[int, int, str]] = set()
+        for node, edits, due in self.states[state]:
+            if due:
+                if c == due:
+                    out.add((node, edits, ""))
+                continue
             child = self.children[node].get(c)
             if child is not None:
-                out.add((child, edits))
-            if edits == 0:
-                out.add((node, 1))  # a letter too many
-                out.update((x, 1) for x in self.children[node].values())  # another letter
-        found = self.moves[state, c] = self._state(self._closed(out))
+                out.add((child, edits, ""))
+            if edits < self.edits_below[node]:
+                out.add((node, edits + 1, ""))  # a letter too many
+                for other, below in self.children[node].items():
+                    out.add((below, edits + 1, ""))  # another letter
+                    swapped = self.children[below].get(c)
+                    if swapped is not None and other != c:
+                        out.add((swapped, edits + 1, other))
+        found = self.moves[state, c] = self._state(out)
         return found
 
     def match(self, word: str) -> tuple[int, bool] | None:
-        """The best term that the word matches and whether it is one edit away."""
-        if len(self.states) > self.MAX_STATES:
+        """The best term that the word matches and whether as a variant."""
+        if len(self.states) > self.MAX_STATES or len(self.moves) > self.MAX_MOVES:
             self.reset()
-        state, stem = self.start, -1
+        state, best = self.start, (0.0, -1, False)
         for c in word:
-            state = self.moves.get((state, c), -2) if (state, c) in self.moves else self._move(state, c)
+            state = self.moves[state, c] if (state, c) in self.moves else self._move(state, c)
             if state < 0:
                 break
-            if self.stems[state] >= 0 and (stem < 0 or self.terms[self.stems[state]].weight > self.terms[stem].weight):
-                stem = self.stems[state]
-        best: tuple[float, int, bool] | None = (self.terms[stem].weight, stem, False) if stem >= 0 else None
-        if state >= 0:
-            for node, edits in self.states[state]:
-                i = self.word_at[node]
-                if i < 0 or edits and (len(self.terms[i].text) < FUZZY_FROM or len(word) < FUZZY_FROM - 1):
-                    continue
-                weight = self.terms[i].fuzzy_weight if edits else self.terms[i].weight
-                if weight > 0 and (best is None or weight > best[0]):
-                    best = (weight, i, bool(edits))
-        return best[1:] if best else None
+            best = max(best, self.stems[state])
+        if state >= 0 and len(word) >= 1:
+            ends = (self._worth(self.word_at[n], e) for n, e, due in self.states[state] if not due and (not e or len(word) >= FUZZY_FROM - 1))
+            best = max(best, max(ends, default=(0.0, -1, False)))
+        return best[1:] if best[0] > 0 else None
 
 
 @dataclass
@@ -127,18 +162,21 @@ class Matcher:
 
     automaton: Automaton
     bound: int = 100_000
+    most_letters: int = 4_000_000
     clean: set = field(default_factory=set)
     hits: dict = field(default_factory=dict)
+    letters: int = 0
 
     def _known(self, chunk: str) -> None:
         best = None
-        for token in _TOKEN.findall(chunk):
-            m = self.automaton.match(token)
+        for word, changed in spellings_of(chunk):
+            m = self.automaton.match(word)
             if m:
-                t = self.automaton.terms[m[0]]
-                w = t.fuzzy_weight if m[1] else t.weight
-                if best is None or w > best[1]:
-                    best = (m[0], w, m[1])
+                t, variant = self.automaton.terms[m[0]], m[1] or changed
+                w = t.fuzzy_weight if variant else t.weight
+                if w > 0 and (best is None or w > best[1]):
+                    best = (m[0], w, variant)
+        self.letters += len(chunk)
         if best:
             self.hits[chunk] = best
         else:
@@ -147,11 +185,11 @@ class Matcher:
     def found(self, text: str) -> tuple[int, list[tuple[int, int, float, bool, bool, int]]]:
         """Number of words; hits as (position, term, weight, fuzzy, quoted, other hits in the window)."""
         words = text.lower().split()
-        new = set(words) - self.clean
-        if len(self.clean) + len(self.hits) > self.bound:
+        if len(self.clean) + len(self.hits) > self.bound or self.letters > self.most_letters:
             self.clean.clear()
             self.hits.clear()
-            new = set(words)
+            self.letters = 0
+        new = set(words) - self.clean
         for w in new:
             if w not in self.hits:
                 self._known(w)
@@ -201,11 +239,11 @@ def _rates(sample: DataFrame, of: str, schema: str, count) -> dict[str, tuple[in
     return rows
 
 
-def learn_terms(sample: DataFrame, max_terms: int = 400, max_candidates: int = 40_000, min_docs: int = 3, min_odds: float = 6.0) -> tuple[Term, ...]:
+def learn_terms(sample: DataFrame, max_terms: int | None = 400, max_candidates: int | None = 40_000, min_docs: int = 3, min_odds: float = 6.0) -> tuple[Term, ...]:
     """Words and stems that are far likelier in toxic than in other documents of the (bounded) sample.
 
     The model's size is bounded by parameters: the max_candidates words and stems met in most toxic texts are weighed, and
-    the max_terms best of them become the lexicon. Words of more than 40 letters are not learned.
+    the max_terms best of them become the lexicon; None lifts either bound. Words of more than 40 letters are not learned.
     """
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -230,10 +268,10 @@ def learn_terms(sample: DataFrame, max_terms: int = 400, max_candidates: int = 4
                 yield pd.DataFrame({"term": list(seen), "pos": list(seen.values()), "neg": 0})
 
     least = max(min_docs, pos // 200)
-    found = (
-        _rates(sample, "term", "term string, pos long, neg long", in_toxic).where(F.col("pos") >= least).orderBy(F.desc("pos"), "term").limit(max_candidates)
-    )
-    hits = {r["term"]: r["pos"] for r in found.collect()}  # at most max_candidates
+    found = _rates(sample, "term", "term string, pos long, neg long", in_toxic).where(F.col("pos") >= least)
+    if max_candidates is not None:
+        found = found.orderBy(F.desc("pos"), "term").limit(max_candidates)
+    hits = {r["term"]: r["pos"] for r in found.collect()}  # at most max_candidates, or the words of the bounded sample
 
     def in_others(batches):
         for b in batches:
@@ -258,12 +296,12 @@ def learn_terms(sample: DataFrame, max_terms: int = 400, max_candidates: int = 4
 
 
 def with_misspellings(sample: DataFrame, terms: tuple[Term, ...]) -> tuple[Term, ...]:
-    """Weights of one-edit variants: the term's own, pulled towards what variants show in the sample."""
+    """Weights of variants: the term's own, pulled towards what variants show in the sample."""
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not terms or not pos or not neg:
         return terms
-    trial = tuple(Term(t.text, t.weight, t.stem, t.weight if not t.stem and len(t.text) >= FUZZY_FROM else 0.0) for t in terms)
+    trial = tuple(Term(t.text, t.weight, t.stem, t.weight if len(t.text) >= (STEM_FUZZY_FROM if t.stem else FUZZY_FROM) else 0.0) for t in terms)
 
     def count(batches):
         matcher = Matcher(Automaton(trial))
@@ -330,7 +368,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with their columns, that score() does not call toxic."""
+    """The rows of docs, with their columns, that score() does not call toxic.
+
+    Null and empty texts have the score of no evidence; repeated rows go or stay together; columns of any name stay; an
+    empty table gives no rows.
+    """
     name = fresh(docs, "score")
     return _with_score(docs, model, name).where(F.col(name) < threshold).select(*docs.columns)
 

@@ -397,23 +397,59 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def swap_distance(a, b):
+    """Edits of letters, and swaps of neighbours as one edit, none edited twice."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] != a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
 def test_automaton_equals_edit_distance():
     rng = random.Random(1)
-    terms = (toxicity.Term("idiot", 3.0, False, 2.0), toxicity.Term("worthless", 4.0, False, 3.0), toxicity.Term("scum", 3.5, False, 3.0), toxicity.Term("lostr", 5.0, True))
+    terms = (
+        toxicity.Term("idiot", 3.0, False, 2.0), toxicity.Term("worthless", 4.0, False, 3.0), toxicity.Term("scum", 3.5, False, 3.0), toxicity.Term("lostr", 5.0, True),
+        toxicity.Term("whorle", 2.5, True, 1.5), toxicity.Term("diwort", 1.0, False, 0.5),
+    )
     automaton = toxicity.Automaton(terms)
-    words = ["idiot", "idot", "idiott", "xdiot", "iidiot", "diot", "scum", "scam", "lostrand", "lost", "worthles", "worhtless", "", "the"]
-    words += ["".join(rng.choice("idotwrhles") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    words = ["idiot", "idot", "idiott", "xdiot", "iidiot", "diot", "idito", "scum", "scam", "lostrand", "lost", "worthles", "worhtless", "worhtlse", "wrthles", "whroleest", "", "the"]
+    words += ["".join(rng.choice("idotwrhles") for _ in range(rng.randrange(3, 11))) for _ in range(3000)]
+    for t in terms:
+        for _ in range(400):
+            w = list(t.text + rng.choice(["", "", "st", "i"]))
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(w))
+                w[i : i + 2] = rng.choice([w[i : i + 2][::-1], w[i : i + 1], [*w[i : i + 2], "t"], ["o", *w[i + 1 : i + 2]]])
+            words.append("".join(w))
     for w in words:
         best = 0.0
         for t in terms:
-            if t.stem and w.startswith(t.text) or not t.stem and w == t.text:
-                best = max(best, t.weight)
-            elif not t.stem and len(t.text) >= toxicity.FUZZY_FROM and len(w) >= toxicity.FUZZY_FROM - 1 and edit_distance(w, t.text) == 1:
-                best = max(best, t.fuzzy_weight)
+            if t.stem:
+                near = min(swap_distance(t.text, w[:i]) for i in range(len(w) + 1))
+                fuzzy = near == 1 and len(t.text) >= toxicity.STEM_FUZZY_FROM
+            else:
+                near = swap_distance(t.text, w)
+                fuzzy = len(w) >= toxicity.FUZZY_FROM - 1 and len(t.text) >= {1: toxicity.FUZZY_FROM, 2: toxicity.TWICE_FROM}.get(near, 99)
+            best = max(best, t.weight if near == 0 else t.fuzzy_weight if fuzzy else 0.0)
         m = automaton.match(w)
         assert (0.0 if m is None else terms[m[0]].fuzzy_weight if m[1] else terms[m[0]].weight) == best, w
 
 
+def test_masked_spellings_are_met():
+    terms = (toxicity.Term("stupid", 3.0, False, 2.0), toxicity.Term("idiot", 3.0, False, 2.0), toxicity.Term("worthless", 4.0, False, 3.0), toxicity.Term("moronic", 3.0, True, 2.0))
+    matcher = toxicity.Matcher(toxicity.Automaton(terms))
+    masked = ["st*pid", "stpuid", "id!ot", "stuuupid", "st.upid!", "(st_pid)", "stup1d", "w0rthl3ss", "worhtlses,", "mronically", "s-tupid", "\"idi0t\""]
+    assert [w for w in masked if not toxicity.features(matcher, f"what a {w} thing")[0]] == []
+    assert all(h[3] for w in masked for h in matcher.found(w)[1])
+    clean = ["studio", "rapid", "a.b.c", "e-mail", "worth", "idea/plot", "moon", "www.stu.pid", "___", "!!!", "stud-pit"]
+    assert [w for w in clean if matcher.found(f"what a {w} thing")[1]] == []
+    matcher.bound = matcher.most_letters = 0
+    assert len(matcher.found("stupid stupid idot " + "z" * 100_000)[1]) == 3
+
+
 def test_context_tells_quotation_from_abuse():
     matcher = toxicity.Matcher(toxicity.Automaton((toxicity.Term("idiot", 3.0, False, 2.0),)))
     plain = toxicity.features(matcher, "you are an idiot and that is that")
