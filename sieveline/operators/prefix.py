@@ -9,18 +9,24 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once, to the folder that spark.checkpoint.dir names; a local one only where that is unset on a local master."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one only where that is unset on a local master."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

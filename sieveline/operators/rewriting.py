@@ -7,9 +7,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions.text import as_column, norm, sari_tokens, strip_marks, word_ngrams
+from .diacritics import error_rates  # noqa: F401  a measure of rewriting like the others
 
 
 def _grams(rows: DataFrame, n: int) -> DataFrame:
@@ -83,46 +84,6 @@ def word_edit_share(source: pd.Series, output: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(source, output, strict=True)])
 
 
-def _units(text: str) -> list[tuple[str, str]]:
-    """(letter, sorted marks after it) units of a text in canonical composition."""
-    import unicodedata
-
-    out: list[list[str]] = []
-    for c in unicodedata.normalize("NFC", text or ""):
-        if "ً" <= c <= "ْ" or c == "ٰ":
-            if out:
-                out[-1][1] += c
-        elif not c.isspace():
-            out.append([c, ""])
-    return [(a, "".join(sorted(b))) for a, b in out]
-
-
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("letters", "wrong", "words", "wrong_words")]))
-def diacritic_errors(reference: pd.Series, output: pd.Series) -> pd.DataFrame:
-    """Letters and words of the reference, and those whose marks differ after aligning letters."""
-
-    def one(ref: str | None, out: str | None) -> tuple[int, int, int, int]:
-        a, b = _units(ref or ""), _units(out or "")
-        got: dict[int, str] = {}
-        for m in difflib.SequenceMatcher(a=[x for x, _ in a], b=[x for x, _ in b], autojunk=False).get_matching_blocks():
-            for i in range(m.size):
-                got[m.a + i] = b[m.b + i][1]
-        wrong = [got.get(i) != marks for i, (_, marks) in enumerate(a)]
-        at = words = bad = 0
-        for w in (ref or "").split():
-            n = len(_units(w))
-            words, bad, at = words + 1, bad + any(wrong[at : at + n]), at + n
-        return len(a), sum(wrong), words, bad
-
-    return pd.DataFrame([one(a, b) for a, b in zip(reference, output, strict=True)], columns=["letters", "wrong", "words", "wrong_words"])
-
-
-def error_rates(rows: DataFrame, by: list[str], reference: str, output: str) -> DataFrame:
-    """der and wer per group."""
-    e = rows.withColumn("e", diacritic_errors(reference, output))
-    return e.groupBy(*by).agg((F.sum("e.wrong") / F.greatest(F.lit(1), F.sum("e.letters"))).alias("der"), (F.sum("e.wrong_words") / F.greatest(F.lit(1), F.sum("e.words"))).alias("wer"))
-
-
 # A comma is a token of its own; how a clause starts that can stand alone; signs that end a clause.
 COMMA_TOKEN, CLAUSE_START, CLAUSE_END = "،|[^\\s،]+", "^(و|ف)(?!ي$|ى$)\\S{2,}|^(ثم|لكن|ولكن|لذلك|لذا|بل)$", ".!?؟؛:"
 

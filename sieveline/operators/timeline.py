@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.reading import sentence_ranges
 from .prefix import quantiles, same
 
 
@@ -23,6 +24,13 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, start: str, value
     return both.where("_side = 1").select("_row.*", *(F.col(f"_found.{v}").alias(v) for v in values))
 
 
+def sentence_at(positions: DataFrame, key: str, position: str, texts: DataFrame, text: str) -> DataFrame:
+    """positions (key, position) with the start and stop of the sentence of their text that is read at this place: the last
+    one that starts at or before it; null before the first and for unknown texts."""
+    ranges = texts.select(key, F.explode(sentence_ranges(text)).alias("s")).select(key, F.col("s.start").alias("_start"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"))
+    return as_of(positions, ranges, key, position, "_start", ["start", "stop"])
+
+
 def band(items: DataFrame, by: str, order: str, weight: str, lookups: DataFrame, fraction: str) -> DataFrame:
     """lookups with the first item of their key whose running weight reaches fraction * total."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import lexicon, scorecard, timeline
 from ..operators import resampling as RS
 from ..operators import statistics as ST
+from ..streaming import incremental
 from .base import JUDGED_SQL, judged, r6, table
 
 
@@ -214,6 +215,22 @@ FAILURE_SQL = """with e as (select user_id, event_id, value < 10 as failed from
 h as (select *, coalesce(sum(hit::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as hits from s) select user_id, count(*) as kept from h where hits = 0 group by 1"""
 
 
+SESSION_GAP, SESSION_LATE = 4 * 3600, 600
+
+
+def event_sessions(spark, sf_dir):
+    """Each user's ended runs of events without a pause of more than four hours, by a stream over the whole table."""
+    schema = table(spark, sf_dir, "events").select("user_id", "ts").schema
+    found = incremental.table_sessions(spark, f"{sf_dir}/events.parque[t]", schema, "user_id", "ts", SESSION_GAP, SESSION_LATE)
+    return found.select("user_id", *(F.unix_millis(c).alias(f"{c}_ms") for c in ("start", "stop")), "n")
+
+
+#: Runs by gaps and islands; the last run of a user has ended if the stream's watermark has passed it.
+SESSIONS_SQL = f"""with e as (select user_id, ts, epoch_us(ts) // 1000 as ms from events where user_id is not null and ts is not null), g as (select *, case when ms - lag(ms) over w <= {SESSION_GAP} * 1000 then 0 else 1 end as starts from e window w as (partition by user_id order by ts)),
+s as (select *, sum(starts) over (partition by user_id order by ts rows unbounded preceding) as run from g), r as (select user_id, run, min(ms) as a, max(ms) as b, count(*) as n from s group by 1, 2)
+select user_id, a as start_ms, b as stop_ms, n from r where b + {SESSION_GAP} * 1000 + 1 <= (select max(ms) from e) - {SESSION_LATE} * 1000 or run < (select max(run) from r x where x.user_id = r.user_id)"""
+
+
 def latency(spark, sf_dir):
     """Median, 95th percentile and throughput of event values as seconds."""
     return timeline.latency(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", r6(F.col("median"), "median"), r6(F.col("p95"), "p95"), r6(F.col("per_second"), "per_second"))
@@ -271,12 +288,12 @@ def event_type_pivot(spark, sf_dir):
 PIVOT_SQL = f"select user_id, count(*) as n, count(distinct event_type) as types, max(value) as hi, min(value) as lo, {', '.join(f"count(*) filter (event_type = '{x}') as {x}" for x in EVENT_TYPES)} from events group by 1"
 
 alpha_nominal, alpha_ordinal, alpha_interval = _alpha("nominal"), _alpha("ordinal"), _alpha("interval")
-_ALL = (auc_by_lang, auc_interval, kappa_interval, roc_points, sweep, label_confusion, label_kappa, binary_agreement, alpha_nominal, alpha_ordinal, alpha_interval, rater_agreement, majority_status, calibration, price_histogram, grouping_sets, funnel, duplicate_groups, class_weights, event_as_of, weight_bands, failure_stop, latency, frequent_words, quadratic_fit, best_marks, event_type_pivot)
+_ALL = (auc_by_lang, auc_interval, kappa_interval, roc_points, sweep, label_confusion, label_kappa, binary_agreement, alpha_nominal, alpha_ordinal, alpha_interval, rater_agreement, majority_status, calibration, price_histogram, grouping_sets, funnel, duplicate_groups, class_weights, event_as_of, weight_bands, failure_stop, event_sessions, latency, frequent_words, quadratic_fit, best_marks, event_type_pivot)
 QUERIES = {f.__name__: f for f in _ALL}
 _BETWEEN = "pow(case when x.v = y.v then 0 else greatest(x.upto, y.upto) - least(x.upto - x.n, y.upto - y.n) - (x.n + y.n) / 2 end, 2)"
 ORACLE_SQL = {
     "auc_by_lang": AUC_SQL, "roc_points": ROC_SQL, "sweep": SWEEP_SQL, "label_confusion": CONFUSION_SQL, "label_kappa": KAPPA_SQL, "binary_agreement": BINARY_SQL,
     "alpha_nominal": _alpha_sql("cast(x.v <> y.v as int)"), "alpha_ordinal": _alpha_sql(_BETWEEN), "alpha_interval": _alpha_sql("pow(x.v - y.v, 2)"), "rater_agreement": RATER_SQL, "majority_status": MAJORITY_SQL,
     "calibration": CALIBRATION_SQL, "price_histogram": HISTOGRAM_SQL, "grouping_sets": GROUPING_SQL, "funnel": FUNNEL_SQL, "duplicate_groups": DUPLICATE_SQL, "class_weights": WEIGHTS_SQL, "event_as_of": AS_OF_SQL, "weight_bands": BANDS_SQL,
-    "failure_stop": FAILURE_SQL, "latency": LATENCY_SQL, "frequent_words": FREQUENT_SQL, "quadratic_fit": FIT_SQL, "best_marks": BEST_SQL, "event_type_pivot": PIVOT_SQL,
+    "failure_stop": FAILURE_SQL, "event_sessions": SESSIONS_SQL, "latency": LATENCY_SQL, "frequent_words": FREQUENT_SQL, "quadratic_fit": FIT_SQL, "best_marks": BEST_SQL, "event_type_pivot": PIVOT_SQL,
 }

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 #: Groups of text columns, tried in turn: the first group with any member in a table is taken. Fixed values.
 TEXT_COLUMN_GROUPS = (("source", "target", "reference", "references"), ("original_text", "simplified_text"), ("Sentence",), ("text",), ("L5", "L4", "L3"))
@@ -20,25 +21,61 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None, strict: bool = False, required: Sequence[str] = ()) -> DataFrame:
-    """Blank lines are skipped. strict: a malformed line fails the job; a missing required field fails with its count.
+    """Blank lines are skipped. strict: malformed lines, and those that lack a required field, raise an error that names
+    their files and line numbers; without it a malformed line has nulls, and missing required fields raise their counts.
 
     A missing `references` becomes an empty array where the schema has one.
     """
-    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    df = (reader.schema(schema) if schema else reader).json(path)
-    for name in required:
-        if name not in df.columns:
-            raise ValueError(f"{path} has no field {name}")
-    if required:
+    df = (spark.read.schema(schema) if schema else spark.read).json(path)
+    known = [c for c in df.columns if c != "_corrupt_record"]
+    absent = [c for c in required if c not in known]
+    if strict and (wrong := _wrong_lines(spark, path, df.select(*known).schema, [c for c in required if c in known])):
+        raise ValueError(f"no JSON object with the fields asked: {'; '.join(wrong)}")
+    if absent:
+        raise ValueError(f"{path} has no field {', '.join(absent)}")
+    if required and not strict:
         gaps = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in required)).first()
         bad = {c: gaps[c] for c in required if gaps[c]}
         if bad:
             raise ValueError(f"{path} lacks required fields: {bad}")
+    if strict:
+        df = df.select(*known)
     if "references" in df.columns and isinstance(df.schema["references"].dataType, ArrayType):
         df = df.withColumn("references", F.coalesce("references", F.array().cast(df.schema["references"].dataType)))
     return df
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of each line of text files, blank ones too.
+
+    Files are read in splits. A line's place in its split is counted while it is read; the lines of the splits before it
+    in the file are added, so no file goes through a single task.
+    """
+    place = F.monotonically_increasing_id()  # grows by one a line within a task, which reads a split from start to end
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), "value", place.alias("_place"))
+    splits = lines.groupBy("file", "_split").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    starts = splits.select("file", "_split", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(starts, ["file", "_split"]).select("file", (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias("line"), "value")
+
+
+def _wrong_lines(spark: SparkSession, path: str, schema: StructType, required: Sequence[str], most: int = 5) -> list[str]:
+    """The first wrong lines as text; lines are numbered only if there is one."""
+    with_corrupt = StructType([*schema.fields, StructField("_corrupt", StringType())])
+    parsed = F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": "_corrupt"})
+
+    def wrong(lines: DataFrame) -> DataFrame:
+        read = lines.where(F.trim("value") != "").withColumn("_read", parsed)
+        lacking = F.array_compact(F.array(*(F.when(F.col("_read")[c].isNull(), F.lit(c)) for c in required))) if required else F.array().cast("array<string>")
+        why = F.when(F.col("_read").isNull() | F.col("_read._corrupt").isNotNull(), "malformed").when(F.size(lacking) > 0, F.concat(F.lit("without "), F.array_join(lacking, ", ")))
+        return read.withColumn("why", why).where("why is not null")
+
+    if wrong(spark.read.text(path)).isEmpty():
+        return []
+    first = wrong(numbered_lines(spark, path)).select("file", "line", "why").orderBy("file", "line").limit(most).collect()
+    return [f"{r['file']}: line {r['line']} {r['why']}" for r in first]
+
+
 def read_any(spark: SparkSession, path: str, **more) -> DataFrame:
     """By suffix: .parquet, .jsonl, .json, .csv or .tsv."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -121,17 +158,39 @@ def append_new(df: DataFrame, path: str, key: str, failed: Column | None = None)
         df.unpersist()
 
 
-def manifest(spark: SparkSession, paths: list[str], previous: DataFrame | None = None) -> DataFrame:
-    """file, bytes, sha256 of each file, with `source` carried over from the previous manifest."""
-    files = spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return files.join(previous.select("file", "source"), "file", "left") if previous is not None else files
+def manifest(spark: SparkSession, paths: Sequence[str], previous: DataFrame | None = None) -> DataFrame:
+    """file, rows, bytes, sha256 of each file, with `source` carried over from the previous manifest.
 
-
-def verify_manifest(files: DataFrame, expected: DataFrame) -> None:
-    """Raise unless every expected file is there with its checksum."""
-    bad = [r["file"] for r in expected.join(files.select("file", F.col("sha256").alias("found")), "file", "left").where("found is null or found <> sha256").select("file").limit(20).collect()]
+    Rows are counted by the readers of read_any(), a job a suffix; files of other suffixes have null. Names must differ.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    counts = None
+    by_suffix: dict[str, list[str]] = {}
+    for p in paths:
+        by_suffix.setdefault(p.rsplit(".", 1)[-1].lower(), []).append(p)
+    for suffix, group in by_suffix.items():
+        if suffix in ("parquet", "jsonl", "json", "csv", "tsv"):
+            reader = {"parquet": lambda g: spark.read.parquet(*g), "jsonl": lambda g: spark.read.schema("_line string").json(g), "json": lambda g: spark.read.option("multiLine", True).json(g)}.get(suffix, lambda g, s=suffix: read_csv(spark, g, sep="\t" if s == "tsv" else ","))
+            part = reader(group).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+            counts = part if counts is None else counts.unionByName(part)
+    known = F.element_at(F.split("file", "[.]"), -1).isin("parquet", "jsonl", "json", "csv", "tsv")
+    counted = files.join(counts, "file", "left") if counts is not None else files.withColumn("rows", F.lit(None).cast("long"))
+    out = counted.select("file", F.when(known, F.coalesce("rows", F.lit(0))).alias("rows"), "bytes", "sha256")
+    return out.join(previous.select("file", "source"), "file", "left") if previous is not None else out
+
+
+def manifest_differences(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """file and difference (missing, extra, changed) of the files that are not as the expected manifest says."""
+    both = expected.select("file", F.col("sha256").alias("_wanted")).join(files.select("file", F.col("sha256").alias("_found")), "file", "full")
+    kind = F.when(F.col("_found").isNull(), "missing").when(F.col("_wanted").isNull(), "extra").when(F.col("_found") != F.col("_wanted"), "changed")
+    return both.select("file", kind.alias("difference")).where("difference is not null")
+
+
+def verify_manifest(files: DataFrame, expected: DataFrame, extra_allowed: bool = True) -> None:
+    """Raise unless every expected file is there with its checksum, and no other file if these are not allowed."""
+    bad = manifest_differences(files, expected).where("difference <> 'extra'" if extra_allowed else "true").orderBy("file").limit(20).collect()
     if bad:
-        raise ValueError(f"files differ from the manifest: {bad}")
+        raise ValueError(f"files differ from the manifest: {[f'{r['file']} ({r['difference']})' for r in bad]}")
 
 
 def report_rows(spark: SparkSession, path: str, section: str, row: str) -> DataFrame:
