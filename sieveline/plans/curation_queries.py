@@ -201,6 +201,47 @@ def planted_defects(spark, sf_dir):
     return synthesis.planted(table(spark, sf_dir, "benchmark"), "text", "item_id").select("item_id", "kind", F.md5("candidate").alias("digest"))
 
 
+def _draw_sql(key: str, seed: str, n: str) -> str:
+    return f"('0x' || left(md5('{seed}:' || cast({key} as varchar)), 7))::bigint % greatest({n}, 1)"
+
+
+_DETAILS = "['في ذلك اليوم', 'كما قال الجميع', 'منذ زمن بعيد']"
+
+
+def _planted_sql(of: str) -> str:
+    """Table expressions that end in `planted` (id, kind, candidate) of a table `of` (id, text)."""
+    number = "regexp_extract(text, '([0-9]{1,9})', 1)"
+    return rf"""w as (select id, text, regexp_split_to_array(trim(text), '\s+') as ws, {number} as first from {of}),
+m as (select id, text, 'negate' as kind, case when regexp_matches(text, '(^|\s)(لا|لم|لن|ليس|not|never)(\s)') then trim(regexp_replace(text, '(^|\s)(لا|لم|لن|ليس|not|never)(\s)', '\1\3', 'g')) else 'ليس ' || text end as candidate from w
+union all select id, text, 'delete', case when len(ws) >= 6 then array_to_string(list_concat(ws[1 : {_draw_sql('id', 'span', 'len(ws) - 2')}], ws[{_draw_sql('id', 'span', 'len(ws) - 2')} + 4 :]), ' ') end from w
+union all select id, text, 'add', rtrim(regexp_replace(text, '[.!?؟]+\s*$', '')) || ' ' || ({_DETAILS})[{_draw_sql('id', 'detail', '3')} + 1] || '.' from w
+union all select id, text, 'number', case when first <> '' then left(text, instr(text, first) - 1) || cast(first::bigint + 1 + {_draw_sql('id', 'number', '9')} as varchar) || substr(text, instr(text, first) + length(first)) end from w),
+e as (select *, row_number() over (partition by id, kind = 'number' order by md5('planted:' || cast(id as varchar) || kind)) as k from m where candidate is not null and candidate <> text),
+planted as (select id, kind, candidate from e where kind = 'number' or k <= 2)"""
+
+
+PLANTED_SQL = f"with s as (select item_id as id, text from benchmark where text is not null), {_planted_sql('s')} select id as item_id, kind, md5(candidate) as digest from planted"
+
+
+def planted_bench(spark, sf_dir):
+    """A bench for judges of meaning from benchmark items: labels follow from ids, silver rows carry planted defects and copies."""
+    b = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("original"), F.col("text").alias("candidate"), (F.col("item_id") % 5).alias("r"))
+    of = lambda names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("r") + 1).cast("int"))
+    adversarial = b.where("r < 2").withColumn("label", of(("faithful", "number", "", "", "")))
+    human, silver = b.where("r > 1").withColumn("label", of(("", "", "same", "minor", "unsure"))), b.withColumn("label", of(("same", "same", "minor", "changed", "same")))
+    return synthesis.bench(adversarial, human, silver).select("id", "slice", "label", "kind", F.md5("candidate").alias("digest"))
+
+
+BENCH_SQL = rf"""with b as (select item_id as id, text, item_id % 5 as r from benchmark where text is not null),
+p as (select *, row_number() over (order by md5('bench:' || cast(id as varchar)), id) as k from b where r in (0, 1, 4) and len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 8),
+s as (select id, text from p where k <= 260), {_planted_sql('s')}
+select 'adv' || id as id, 'adv' as slice, case when r = 0 then 'same' else 'changed' end as label, case when r = 0 then 'faithful' else 'number' end as kind, md5(text) as digest from b where r < 2
+union all select 'hum' || id, 'human', case when r = 2 then 'same' else 'minor' end, 'rated', md5(text) from b where r in (2, 3)
+union all select 'sil' || id, 'silver', ['same', 'same', 'minor', 'changed', 'same'][r + 1], 'audit', md5(text) from b
+union all select 'pl' || id || '_' || kind, 'planted', 'changed', kind, md5(candidate) from planted
+union all select 'id' || id, 'identity', 'same', 'identity', md5(text) from p where k > 260 and k <= 360"""
+
+
 def acceptance_tiers(spark, sf_dir):
     """Tiers and gates over line items, with discount as equivalence and tax as gain."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -210,10 +251,10 @@ def acceptance_tiers(spark, sf_dir):
 
 TIERS_SQL = """select case when not (l_discount * 10 >= 0.7 and l_tax * 10 >= 0.33) then 'C' when l_discount * 10 >= 0.85 then 'A' else 'B' end as tier, l_discount * 10 >= 0.7 and l_tax * 10 >= 0.33 as passed, count(*) as n from lineitem group by 1, 2"""
 
-_ALL = (near_leakage, exact_leakage, benchmark_containment, provenance, split_assignment, split_balance, winners, capped_sample, stratified_sample, bottom_share, seeded_limit, top_orders, last_records, event_history, resume, batches, union_and_difference, planted_defects, acceptance_tiers)
+_ALL = (near_leakage, exact_leakage, benchmark_containment, provenance, split_assignment, split_balance, winners, capped_sample, stratified_sample, bottom_share, seeded_limit, top_orders, last_records, event_history, resume, batches, union_and_difference, planted_defects, planted_bench, acceptance_tiers)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
     "near_leakage": NEAR_SQL, "exact_leakage": EXACT_SQL, "benchmark_containment": CONTAINED_SQL, "provenance": PROVENANCE_SQL, "split_assignment": SPLIT_SQL, "split_balance": BALANCE_SQL, "winners": WINNERS_SQL, "capped_sample": CAPPED_SQL,
     "stratified_sample": STRATIFIED_SQL, "bottom_share": BOTTOM_SQL, "seeded_limit": SEEDED_SQL, "top_orders": TOP_SQL, "last_records": LAST_SQL, "event_history": HISTORY_SQL, "resume": RESUME_SQL, "batches": BATCHES_SQL,
-    "union_and_difference": UNION_SQL, "acceptance_tiers": TIERS_SQL,
+    "union_and_difference": UNION_SQL, "planted_defects": PLANTED_SQL, "planted_bench": BENCH_SQL, "acceptance_tiers": TIERS_SQL,
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
+from ..functions import reading as R
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import prefix, rewriting, scorecard
+from ..operators import diacritics, prefix, rewriting, scorecard
 from ..operators import statistics as ST
 from .base import PAIRS_SQL, r6, table, turn_pairs
 
@@ -118,6 +119,49 @@ select turn, round(avg(case when trim(source, ' ') = trim(output, ' ') then 1.0
        round(avg(case when ratio < 0.5 then 1.0 else 0.0 end), 6) as lost_half, count(*) as n from p group by 1"""
 
 
+def sentence_ranges(spark, sf_dir):
+    """Number of sentences read aloud of each document, and the sums of the places where they start and stop."""
+    d = table(spark, sf_dir, "documents").select("doc_id", R.sentence_ranges("text").alias("s"))
+    total = lambda c: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[c])
+    return d.select("doc_id", F.size("s").alias("n"), total("start").alias("starts"), total("stop").alias("stops"))
+
+
+RANGES_SQL = r"""with p as (select doc_id, regexp_extract_all(text, '[^.!?؟\n]+[.!?؟]*|[.!?؟\n]+') as ps from documents where text is not null),
+u as (select doc_id, unnest(ps) as piece, unnest(range(len(ps))) as i from p), o as (select doc_id, piece, coalesce(sum(length(piece)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from u),
+s as (select doc_id, pos + length(piece) - length(regexp_replace(piece, '^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '')) as a, length(trim(regexp_replace(regexp_replace(piece, '^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', ''), '')) as n from o where not regexp_matches(piece, '^[.!?؟\n]'))
+select d.doc_id, case when any_value(d.text) is null then null else cast(count(s.doc_id) as int) end as n, case when any_value(d.text) is null then null else cast(coalesce(sum(a), 0) as bigint) end as starts, case when any_value(d.text) is null then null else cast(coalesce(sum(a + s.n), 0) as bigint) end as stops from documents d left join s on s.doc_id = d.doc_id and s.n > 0 group by d.doc_id"""
+
+_LATIN, _ARABIC = "bcdfghjklmnpqrstvwxyz" + "aiueo", "بتثجحخدذرزسشصضطظعغفقكلم"[:21] + "\u064e\u0650\u064f\u0652\u0651"
+
+
+def mark_errors(spark, sf_dir):
+    """Errors of marks by role, in what people and models write, put into Arabic letters and vowels, where one vowel is lost."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    spelled = c.select("role", F.translate(F.lower("text"), _LATIN, _ARABIC).alias("reference")).withColumn("output", F.translate("reference", "\u0650", ""))
+    rates = diacritics.error_rates(spelled, ["role"], "reference", "output")
+    return rates.select("role", *(r6(F.col(c), c) for c in ("der", "der_no_case", "wer", "corrupt_rate")), "letters", "words", "n")
+
+
+#: No letter changes, so letters and words meet in their order.
+MARKS_SQL = rf"""with t as (select role, translate(lower(text), '{_LATIN}', '{_ARABIC}') as x from conversations where text is not null),
+w as (select role, regexp_extract_all(x, '[\x{{64B}}-\x{{652}}\x{{670}}ء-غف-يٱ]+') as ws from t), u as (select role, list_filter([regexp_extract_all(w, '[\x{{64B}}-\x{{652}}\x{{670}}]*[ء-غف-يٱ]') for w in ws], lambda w: len(w) > 0) as ws from w),
+c as (select role, len(ws) as words, len(flatten(ws)) as letters, len(list_filter(flatten(ws), lambda u: contains(u, chr(1616)))) as wrong, len(list_filter(ws, lambda w: contains(array_to_string(w, ''), chr(1616)))) as wrong_words,
+len(list_filter(flatten([w[:-2] for w in ws]), lambda u: contains(u, chr(1616)))) as wrong_inside from u)
+select role, round(sum(wrong) / greatest(1, sum(letters)), 6) as der, round(sum(wrong_inside) / greatest(1, sum(letters)), 6) as der_no_case, round(sum(wrong_words) / greatest(1, sum(words)), 6) as wer, 0.0::double as corrupt_rate, cast(sum(letters) as bigint) as letters, cast(sum(words) as bigint) as words, count(*) as n from c group by 1"""
+
+
+def marks_restored(spark, sf_dir):
+    """Conversations with predicted marks put back, looked up by what a model that knows Latin letters is given."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    known = "abcdefghijklmnopqrstuvwxyz "
+    asked = c.where("text is not null").select(diacritics.prediction_input("text", known).alias("input")).distinct()
+    predictions = asked.withColumn("marks", F.transform(F.split("input", ""), lambda x: F.when(x.isin(*"aeiou"), "\u064e").otherwise("")))
+    return diacritics.with_predictions(c, "text", predictions, known).select("conv_id", "turn", F.md5("restored").alias("digest"))
+
+
+RESTORED_SQL = r"select conv_id, turn, md5(regexp_replace(text, '([aeiou])', '\1' || chr(1614), 'g')) as digest from conversations"
+
+
 def pair_keys(spark, sf_dir):
     """Content keys of turn pairs."""
     p = turn_pairs(spark, sf_dir)
@@ -150,5 +194,5 @@ def copy_intervals(spark, sf_dir):
     return ST.spread_bootstrap(p, ["set"], "conv_id", "shorter", scale=100.0)
 
 
-QUERIES = {f.__name__: f for f in (conversation_measures, conversation_scorecard, clause_lengths, numbers_kept, word_retention, match_keys, segments, sari_scores, bleu_scores, copy_rates, pair_keys, token_sets, copy_intervals)}
-ORACLE_SQL = {"clause_lengths": CLAUSE_SQL, "numbers_kept": NUMBERS_SQL, "word_retention": RETENTION_SQL, "match_keys": MATCH_SQL, "copy_rates": COPY_SQL, "pair_keys": PAIR_KEYS_SQL, "token_sets": TOKENS_SQL}
+QUERIES = {f.__name__: f for f in (conversation_measures, conversation_scorecard, clause_lengths, numbers_kept, word_retention, match_keys, segments, sari_scores, bleu_scores, copy_rates, sentence_ranges, mark_errors, marks_restored, pair_keys, token_sets, copy_intervals)}
+ORACLE_SQL = {"clause_lengths": CLAUSE_SQL, "numbers_kept": NUMBERS_SQL, "word_retention": RETENTION_SQL, "match_keys": MATCH_SQL, "copy_rates": COPY_SQL, "sentence_ranges": RANGES_SQL, "mark_errors": MARKS_SQL, "marks_restored": RESTORED_SQL, "pair_keys": PAIR_KEYS_SQL, "token_sets": TOKENS_SQL}
