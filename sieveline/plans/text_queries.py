@@ -93,6 +93,13 @@ def segments(spark, sf_dir):
     return e.groupBy("lang").agg(F.count(F.lit(1)).alias("pieces"), F.count_if("p.to_model").alias("to_model"))
 
 
+_STOP_MARK = "regexp_replace({0}, '([.!?؟])\\s+(\\S)', '\\1' || chr(1) || '\\2', 'g')"
+_ONE_BLANK = r"regexp_replace(trim(line, ' '), '[ \t\x{A0}]+', ' ', 'g')"
+SEGMENTS_SQL = rf"""with l as (select lang, unnest(regexp_split_to_array(trim(regexp_replace(text, '[ؐ-ًؚ-ٰٟۖ-ۭـ]', '', 'g'), ' ' || chr(9) || chr(13) || chr(10)), '\n\s*\n|\n')) as line from documents where text is not null),
+s as (select lang, unnest(string_split({_STOP_MARK.format(_STOP_MARK.format(_ONE_BLANK))}, chr(1))) as s from l)
+select lang, count(*) as pieces, count(*) filter (len(list_filter(string_split(s, ' '), lambda w: w <> '')) >= 6) as to_model from s where trim(s, ' ') <> '' group by 1"""
+
+
 def sari_scores(spark, sf_dir):
     """SARI of each turn pair against the source itself as reference, and copies."""
     p = turn_pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), "source", "output", F.array("source").alias("references"))
@@ -105,6 +112,26 @@ def bleu_scores(spark, sf_dir):
     return rewriting.bleu(p, ["part"]).select("part", r6(F.col("bleu"), "bleu"))
 
 
+_BREAK_UP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '([\{{-\~\[-\` -\&\(-\+\:-\@\/])', ' \1 ', 'g'), '([^0-9])([\.,])', '\1 \2 ', 'g'), '([\.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g')"
+_TOKENS = f"list_filter(regexp_split_to_array({_BREAK_UP}, '\\s+'), lambda w: w <> '')"
+_GRAMS = f"""p as (select conv_id * 1000 + turn as item, conv_id % 2 as part, {_TOKENS.format('source')} as s, {_TOKENS.format('output')} as c from {PAIRS_SQL}),
+o as (select unnest([1, 2, 3, 4]) as n), l as (select item, part, n, unnest([array_to_string(s[i : i + n - 1], ' ') for i in range(1, len(s) - n + 2)]) as gram, 1 as s, 0 as c from p, o
+union all select item, part, n, unnest([array_to_string(c[i : i + n - 1], ' ') for i in range(1, len(c) - n + 2)]), 0, 1 from p, o), g as (select item, part, n, gram, sum(s)::double as s, sum(c)::double as c, sum(s)::double as r from l group by 1, 2, 3, 4)"""
+
+#: The source is the only reference, so its counts are the references' too.
+SARI_SQL = f"""with {_GRAMS},
+m as (select item, n, sum(case when least(s, c) > 0 then least(s, c, r) / least(s, c) end) as kp, count(*) filter (least(s, c) > 0) as kn, sum(least(s, c, r)) as kr, sum(least(s, r)) as km,
+sum(case when s > c then greatest(s - c - r, 0) / (s - c) end) as dp, count(*) filter (s > c) as dn, count(*) filter (c > 0 and s = 0 and r > 0) as ag, count(*) filter (c > 0 and s = 0) as an, count(*) filter (r > 0 and s = 0) as am from g group by 1, 2),
+h as (select item, n, case when kn > 0 then coalesce(kp, 0) / kn else 1 end as a, case when km > 0 then kr / km else 1 end as b, case when dn > 0 then coalesce(dp, 0) / dn else 1 end as d, case when an > 0 then ag / an else 1 end as e, case when am > 0 then ag / am else 1 end as f from m),
+k as (select item, n, (case when a + b > 0 then 2 * a * b / (a + b) else 0 end + d + case when e + f > 0 then 2 * e * f / (e + f) else 0 end) / 3 as score from h)
+select p.item, round(100 * sum(coalesce(score, 1.0)) / 4, 6) as sari from p cross join o left join k on k.item = p.item and k.n = o.n group by 1"""
+
+BLEU_SQL = f"""with {_GRAMS}, z as (select part, sum(len(c))::double as c, sum(len(s))::double as r from p group by 1),
+h as (select part, n, sum(case when c > 0 then least(c, r) end) as h, sum(c) as t from g group by 1, 2),
+q as (select part, sum(ln((case when h > 0 then h else 1e-9 end) / greatest(coalesce(t, 1), 1))) / 4 as logs from (select z.part, o.n, h.h, h.t from z cross join o left join h on h.part = z.part and h.n = o.n) group by 1)
+select part, round(100 * exp(logs + case when c >= r then 0 else 1 - r / greatest(c, 1) end), 6) as bleu from q join z using (part)"""
+
+
 def copy_rates(spark, sf_dir):
     """Copy rate and length statistics by turn."""
     p = turn_pairs(spark, sf_dir)
@@ -195,4 +222,4 @@ def copy_intervals(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (conversation_measures, conversation_scorecard, clause_lengths, numbers_kept, word_retention, match_keys, segments, sari_scores, bleu_scores, copy_rates, sentence_ranges, mark_errors, marks_restored, pair_keys, token_sets, copy_intervals)}
-ORACLE_SQL = {"clause_lengths": CLAUSE_SQL, "numbers_kept": NUMBERS_SQL, "word_retention": RETENTION_SQL, "match_keys": MATCH_SQL, "copy_rates": COPY_SQL, "sentence_ranges": RANGES_SQL, "mark_errors": MARKS_SQL, "marks_restored": RESTORED_SQL, "pair_keys": PAIR_KEYS_SQL, "token_sets": TOKENS_SQL}
+ORACLE_SQL = {"clause_lengths": CLAUSE_SQL, "numbers_kept": NUMBERS_SQL, "word_retention": RETENTION_SQL, "match_keys": MATCH_SQL, "copy_rates": COPY_SQL, "sari_scores": SARI_SQL, "bleu_scores": BLEU_SQL, "segments": SEGMENTS_SQL, "sentence_ranges": RANGES_SQL, "mark_errors": MARKS_SQL, "marks_restored": RESTORED_SQL, "pair_keys": PAIR_KEYS_SQL, "token_sets": TOKENS_SQL}
