@@ -47,6 +47,26 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """A mapInPandas or mapInArrow function that gives memory back at the end of a task: workers are reused, by later stages too."""
+
+    def of(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return of
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that clashes with none of df's."""
     taken = {c.lower() for c in df.columns}

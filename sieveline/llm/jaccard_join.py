@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, without, written
+from .common import fresh, released, without, written
 from .components import connected
 from .shingles import scramble, shingle_set
 
@@ -154,7 +154,7 @@ def _keyed(docs: DataFrame, k: int, num: int, den: int, light: int) -> DataFrame
                             rows.append((doc, digest, n, j, need, found.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "set_hash", "n", "class", "need", "keys"])
 
-    return docs.where("doc_id is not null").mapInPandas(keys, "doc_id long, set_hash binary, n long, class int, need int, keys array<long>")
+    return docs.where("doc_id is not null").mapInPandas(released(keys), "doc_id long, set_hash binary, n long, class int, need int, keys array<long>")
 
 
 def _digest(toks: np.ndarray) -> bytes:
@@ -167,7 +167,7 @@ def _sized(docs: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "set_hash": [_digest(s) for s in sets]})
 
-    return docs.mapInPandas(sizes, "doc_id long, n long, set_hash binary")
+    return docs.mapInPandas(released(sizes), "doc_id long, n long, set_hash binary")
 
 
 def _shared_lists(rows: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _shared_lists(rows: DataFrame) -> DataFrame:
         if held is not None and met:
             yield held
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(runs, rows.schema)
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(released(runs), rows.schema)
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _token_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"id": batch["doc_id"], "toks": [t.tobytes() for t in toks], "size": [len(t) for t in toks], "sketch": [parity(t) for t in toks]})
 
     schema = "id long, toks binary, size int, sketch array<long>"
-    return written(docs.join(_few(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInPandas(sets, schema), "sets")
+    return written(docs.join(_few(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").mapInPandas(released(sets), schema), "sets")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -235,7 +235,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("toks").alias("y")), "b")
-        .mapInPandas(check, "src long, dst long")
+        .mapInPandas(released(check), "src long, dst long")
     )
 
 

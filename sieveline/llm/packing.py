@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 #: UTF-8 bytes of text that a worker encodes at once, and forms of words that it remembers, each of at most FORM_BYTES:
 #: all it holds is of this order, whatever the vocabulary.
@@ -189,10 +189,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = 4096, eo
                     yield from flush()
                     size = 0
         yield from flush()
-        pa.default_memory_pool().release_unused()
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    return numbered.mapInArrow(cut, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
+    return numbered.mapInArrow(released(cut), "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(histogram: np.ndarray, window: int, bins: int = 64) -> list[tuple[int, ...]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, held_out, labelled_sample
+from .common import fresh, held_out, labelled_sample, released
 
 #: Words that report somebody's speech (fixed values).
 REPORTING = frozenset("said says say quote quoted quotes called wrote dit disait cité citation sagte sagt schrieb zitat dijo dice cita escribió".split())
@@ -235,7 +235,7 @@ class Model:
 
 def _rates(sample: DataFrame, of: str, schema: str, count) -> dict[str, tuple[int, int]]:
     """Positive and negative documents of each counted key, summed by Spark."""
-    rows = sample.mapInPandas(count, schema).groupBy(of).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows = sample.mapInPandas(released(count), schema).groupBy(of).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return rows
 
 
@@ -346,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 24_000) -> Model
         for b in batches:
             yield pd.DataFrame({"f": [features(matcher, t) for t in b["text"]], "label": b["label"]})
 
-    rows = sample.mapInPandas(measure, "f array<double>, label int").collect()  # at most max_labelled short rows
+    rows = sample.mapInPandas(released(measure), "f array<double>, label int").collect()  # at most max_labelled short rows
     k = len(FEATURES)
     x, y = np.array([r["f"] for r in rows], float).reshape(-1, k), np.array([min(1, max(0, r["label"])) for r in rows], float)
     if not terms or not len(y) or y.min() == y.max():
@@ -385,4 +385,4 @@ def _with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
             x = np.array([features(matcher, t or "") for t in columns["text"].to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x))], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
