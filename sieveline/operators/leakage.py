@@ -73,6 +73,22 @@ def report(found: DataFrame, by: str) -> DataFrame:
     return found.groupBy(by).agg(F.count_if(real).alias("real"), F.count_if(short & ~F.col("explained")).alias("short"), F.count_if(F.col("explained")).alias("explained"))
 
 
+def require_no_leakage(reported: DataFrame, by: str) -> None:
+    """Raise if any test file of a report() has real matches; the error names files and numbers. Reports are short."""
+    bad = reported.where(F.col("real") > 0).orderBy(F.desc("real"), by).select(by, "real").limit(20).collect()
+    if bad:
+        raise ValueError(f"leakage: {', '.join(f'{r[by]} ({r['real']} matches)' for r in bad)}")
+
+
+def without_leaked_sources(rows: DataFrame, source: str, leaked: DataFrame, text: str) -> DataFrame:
+    """rows whose source is none of the leaked texts, compared by their keys, before anything is drawn from them.
+
+    Null sources and those without a key stay.
+    """
+    keys = leaked.select(match_key(text).alias("_key")).where("_key <> ''").distinct()
+    return rows.withColumn("_key", match_key(source)).join(keys, "_key", "left_anti").select(*rows.columns)
+
+
 def contained(long_texts: DataFrame, short_texts: DataFrame, long_id: str, short_id: str, text: str = "text", words: int = 8) -> DataFrame:
     """(long_id, short_id) where the normalised short text stands within the long one. Short texts have `words` words or more.
 

@@ -67,6 +67,17 @@ def copy_rate(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg((F.trim("output") == F.trim("source")).cast("double")).alias("copy_rate"), F.count(F.lit(1)).alias("n"))
 
 
+def edit_rates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """copy_rate, over_edit_rate (rows that should stay as they are, yet are edited), one_word_share (edited rows that differ
+    in one word), n; of (source, output, target), where a target equal to its source asks for no edit. Null without such rows."""
+    t = lambda c: F.trim(c)
+    edited, keep = t("output") != t("source"), t("target") == t("source")
+    words = F.split(t("source"), r"(?U)\s+"), F.split(t("output"), r"(?U)\s+")
+    one = (F.size(words[0]) == F.size(words[1])) & (F.size(F.filter(F.arrays_zip(words[0].alias("a"), words[1].alias("b")), lambda p: p["a"] != p["b"])) == 1)
+    mean = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(*by).agg(mean(~edited).alias("copy_rate"), mean(F.when(keep, edited)).alias("over_edit_rate"), mean(F.when(edited, one)).alias("one_word_share"), F.count(F.lit(1)).alias("n"))
+
+
 def length_ratio(source: Column | str, output: Column | str) -> Column:
     words = lambda t: F.size(F.split(F.trim(as_column(t)), r"\s+"))
     return words(output) / F.greatest(words(source), F.lit(1))

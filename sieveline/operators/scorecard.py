@@ -120,6 +120,48 @@ def pending_pairs(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     return open_.join(scores.select("pair_key"), "pair_key", "left_anti")
 
 
+def with_scores(pairs: DataFrame, scores: DataFrame, scorer: str | None = None) -> DataFrame:
+    """pairs (source, output, ...) with `same` and `contradict`: a copy keeps its meaning (1 and 0) whoever scored it, other
+    pairs have the first score of their content key, null if there is none. scores: pair_key, same, contradict, position[, scorer]."""
+    from ..functions.scalars import pair_key
+
+    known = scores.where(F.col("same").isNotNull() & (F.col("scorer") == scorer if scorer is not None else F.lit(True)))
+    first = known.groupBy("pair_key").agg(F.min_by(F.struct("same", "contradict"), "position").alias("_score"))
+    copy = T.norm("output") == T.norm("source")
+    found = pairs.withColumn("pair_key", pair_key("source", "output")).join(first, "pair_key", "left")
+    pick = lambda c, of_copy: F.when(copy, of_copy).otherwise(F.col(f"_score.{c}")).alias(c)
+    return found.select(*(c for c in pairs.columns if c not in ("same", "contradict", "pair_key")), "pair_key", pick("same", 1.0), pick("contradict", 0.0))
+
+
+def readability_drop(pairs: DataFrame, by: list[str], levels: DataFrame) -> DataFrame:
+    """by, drop (mean level of the source less that of the output; positive: easier), scored, n. levels: text, level.
+
+    Texts are looked up without marks; pairs with a text that has no level do not count in the mean.
+    """
+    bare = lambda c: T.norm(c)
+    of = levels.groupBy(bare("text").alias("_text")).agg(F.max("level").alias("_level"))
+    source, output = (of.withColumnsRenamed({"_text": f"_{c}_text", "_level": f"_{c}_level"}) for c in ("source", "output"))
+    keyed = pairs.withColumns({"_source_text": bare("source"), "_output_text": bare("output")})
+    both = keyed.join(source, "_source_text", "left").join(output, "_output_text", "left").withColumn("_drop", F.col("_source_level") - F.col("_output_level"))
+    return both.groupBy(*by).agg(F.avg("_drop").alias("drop"), F.count("_drop").alias("scored"), F.count(F.lit(1)).alias("n"))
+
+
+def card_lines(card: DataFrame) -> DataFrame:
+    """set, block, measure, line: a scorecard() row as text: rates with one digit, means with two and a sign, intervals, n,
+    what is pending, and the difference from the baseline with * where its interval leaves out 0."""
+    mean = F.col("measure").isin(*CONTINUOUS)
+    text = lambda pattern, *c: F.format_string(pattern, *c)
+    interval = F.when(mean, text("%+6.2f [%+.2f, %+.2f]", F.col("mean"), F.col("low"), F.col("high"))).otherwise(text("%5.1f [%3.0f-%3.0f]", F.col("mean"), F.col("low"), F.col("high")))
+    waiting = F.col("block").isin(*PENDING_BLOCKS) & ~F.col("complete")
+    cell = F.when(waiting, text("incomplete (%d of %d scored)", F.col("n"), F.col("n") + F.col("pending"))).when(F.col("mean").isNull(), F.lit("    —")).otherwise(interval)
+    extra = [text("n=%d", F.col("n")), F.when(F.col("pending") > 0, text("pending %d", F.col("pending")))]
+    if "diff" in card.columns:
+        star = F.when(F.col("significant"), "*").otherwise("")
+        parts = (F.col("diff"), F.col("diff_low"), F.col("diff_high"), star)
+        extra.append(F.when(F.col("diff").isNotNull(), F.when(mean, text("vs baseline %+.2f [%+.2f,%+.2f]%s", *parts)).otherwise(text("vs baseline %+.1f [%+.0f,%+.0f]%s", *parts))))
+    return card.select("set", "block", "measure", F.concat(F.rpad(F.left("measure", F.lit(62)), 62, " "), F.lit(" "), cell, F.lit("  "), F.concat_ws(", ", *extra)).alias("line"))
+
+
 def by_status(rows: DataFrame, values: list[Column]) -> DataFrame:
     """Overall and per reference status (grouping sets), each status present even if empty."""
     return rows.groupingSets([["system"], ["system", "status"]], "system", "status").agg(*values)

@@ -52,6 +52,15 @@ def threshold_sweep(rows: DataFrame, score: str, label: str, thresholds: list[fl
     return out.withColumn("balanced", (F.col("tpr") + F.col("tnr")) / 2)
 
 
+def picked_thresholds(swept: DataFrame, accept: float = 0.5) -> DataFrame:
+    """One row of a threshold_sweep(): `best`, of the highest balanced accuracy, and `nearest`, whose rate of acceptance is
+    nearest to `accept`, each with its balanced accuracy; of equal ones the smallest threshold. A sweep is a short list."""
+    best, nearest = F.struct("balanced", (-F.col("threshold")).alias("t")), F.struct((-F.abs(F.col("accept_rate") - accept)).alias("d"), (-F.col("threshold")).alias("t"))
+    return swept.where("balanced is not null").agg(
+        F.max_by("threshold", best).alias("best"), F.max("balanced").alias("best_balanced"), F.max_by("threshold", nearest).alias("nearest"), F.max_by("balanced", nearest).alias("nearest_balanced")
+    )
+
+
 def catch_at_false_reject(rows: DataFrame, score: str, label: str, kind: str, rate: float = 0.05, least: int = 8) -> DataFrame:
     """Per kind of planted defect (label 0) with `least` rows: share below the score that rejects `rate` of the good rows."""
     bar = quantiles(rows.where(F.col(label) == 1), [], score, {"bar": rate})
