@@ -32,15 +32,22 @@ FUZZY_FROM, STEM_FROM, STEM_TO = 5, 4, 8
 STEM_FUZZY_FROM, TWICE_FROM = 6, 9
 _TOKEN = re.compile(r"[^\W_]+")
 _OUTER, _DRAWN_OUT = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"([^\W\d_])\1{2,}")
+_SIGNS = ".,;:!?\"'()[]«»“”„…-–—"
 
 
 def spellings_of(chunk: str) -> list[tuple[str, bool]]:
     """What a chunk between white space may spell, and whether something was changed to read it so."""
-    out = [(token, False) for token in _TOKEN.findall(chunk)]
-    whole = _OUTER.sub("", chunk)
-    if whole and (len(out) > 1 or "_" in whole):
-        out.append((whole, False))  # its signs are edits of the automaton
-    return out + [(short, True) for word, _ in tuple(out) if (short := _DRAWN_OUT.sub(r"\1", word)) != word]
+    plain = chunk.strip(_SIGNS)
+    if plain.isalnum():  # most chunks: one word with signs around it
+        out = [(plain, False)]
+    else:
+        out = [(token, False) for token in _TOKEN.findall(chunk)]
+        whole = _OUTER.sub("", chunk)
+        if whole and (len(out) > 1 or "_" in whole):
+            out.append((whole, False))  # its signs are edits of the automaton
+    if _DRAWN_OUT.search(chunk):
+        out += [(short, True) for word, _ in tuple(out) if (short := _DRAWN_OUT.sub(r"\1", word)) != word]
+    return out
 
 
 @dataclass(frozen=True)
@@ -84,10 +91,12 @@ class Automaton:
         self.reset()
 
     def reset(self) -> None:
-        self.moves: dict[tuple[int, str], int] = {}
+        self.moves: list[dict[str, int]] = []
+        self.n_moves = 0
         self.states: list[frozenset] = []
         self.ids: dict[frozenset, int] = {}
         self.stems: list[tuple[float, int, bool]] = []
+        self.ends: list[tuple] = []  # of each state, the best word that ends there: for short words, and for others
         self.start = self._state({(0, 0, "")})
 
     def _state(self, pairs: set[tuple[int, int, str]]) -> int:
@@ -107,7 +116,10 @@ class Automaton:
         if found not in self.ids:
             self.ids[found] = len(self.states)
             self.states.append(found)
+            self.moves.append({})
             self.stems.append(max((self._worth(self.stem_at[n], e) for n, e, due in found if not due), default=(0.0, -1, False)))
+            words = [(e, self._worth(self.word_at[n], e)) for n, e, due in found if not due]
+            self.ends.append(tuple(max((w for e, w in words if not e or fuzzy), default=(0.0, -1, False)) for fuzzy in (False, True)))
         return self.ids[found]
 
     def _worth(self, term: int, edits: int) -> tuple[float, int, bool]:
@@ -137,22 +149,24 @@ class Automaton:
                     swapped = self.children[below].get(c)
                     if swapped is not None and other != c:
                         out.add((swapped, edits + 1, other))
-        found = self.moves[state, c] = self._state(out)
+        self.n_moves += 1
+        found = self.moves[state][c] = self._state(out)
         return found
 
     def match(self, word: str) -> tuple[int, bool] | None:
         """The best term that the word matches and whether as a variant."""
-        if len(self.states) > self.MAX_STATES or len(self.moves) > self.MAX_MOVES:
+        if len(self.states) > self.MAX_STATES or self.n_moves > self.MAX_MOVES:
             self.reset()
-        state, best = self.start, (0.0, -1, False)
+        state, best, moves, stems = self.start, (0.0, -1, False), self.moves, self.stems
         for c in word:
-            state = self.moves[state, c] if (state, c) in self.moves else self._move(state, c)
+            after = moves[state].get(c)
+            state = self._move(state, c) if after is None else after
             if state < 0:
                 break
-            best = max(best, self.stems[state])
-        if state >= 0 and len(word) >= 1:
-            ends = (self._worth(self.word_at[n], e) for n, e, due in self.states[state] if not due and (not e or len(word) >= FUZZY_FROM - 1))
-            best = max(best, max(ends, default=(0.0, -1, False)))
+            if stems[state][0] > best[0]:
+                best = stems[state]
+        if state >= 0 and word:
+            best = max(best, self.ends[state][len(word) >= FUZZY_FROM - 1])
         return best[1:] if best[0] > 0 else None
 
 
