@@ -28,8 +28,8 @@ from .shingles import scramble, windows
 PREFIX, STRETCH, GROUP = 10, 64, 4096
 #: Documents and spans that a broadcast may hold; beyond them the texts are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_SPANS = 500_000, 4_000_000
-#: Windows of at least GROUP rows that are broadcast (24 bytes each).
-HOT_WINDOWS = 200_000
+#: Rows of a group of copies or of equal windows whose first is broadcast, and such groups at most (some 50 bytes each).
+HOT, HOT_GROUPS = 1000, 200_000
 
 _MARKS = "doc_id long, row_hash long, n_words long, digest binary, keys array<long>, starts array<int>, counts array<int>"
 _STRETCHES = "key long, heavy boolean, doc_id long, row_hash long, start int, count int, words binary"
@@ -185,6 +185,17 @@ def _with(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFram
     return texts.join(F.broadcast(lists) if small else lists, ["doc_id", "row_hash"], how)
 
 
+def _first_of(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with `first` of their group (keys, first, n rows).
+
+    A group that holds a third of all rows would fill one task of a join by a shuffle. Of groups of HOT rows or more, and
+    of so many that there are HOT_GROUPS of them at most, the firsts are broadcast; all others have fewer rows.
+    """
+    hot_from = max(HOT, (groups.agg(F.sum("n")).first()[0] or 0) // HOT_GROUPS + 1)
+    hot, cold = (groups.where(c).drop("n") for c in (F.col("n") >= hot_from, F.col("n") < hot_from))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, row_hash (of the text), spans (array of start, stop in words) of what earlier documents have too.
 
@@ -195,9 +206,10 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("row_hash"))
     marks = written(texts.where("doc_id is not null").mapInArrow(_marks(window), _MARKS).where(F.col("n_words") >= window), "marks")
-    firsts = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    marked = written(marks.join(firsts, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("digest", "first"), "marked")
-    listed = marked.where("not copy").select("doc_id", "row_hash", F.explode(F.arrays_zip("keys", "starts", "counts")).alias("s")).select("doc_id", "row_hash", F.col("s.keys").alias("key"), F.col("s.starts").alias("start"), F.col("s.counts").alias("count"))
+    firsts = written(marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"), "firsts")
+    copied = written(_first_of(marks.select("doc_id", "row_hash", "n_words", "digest"), firsts, ["digest"]).where("doc_id > first").select("doc_id", "row_hash", "n_words").distinct(), "copies")
+    marked = written(marks.drop("digest").join(copied.drop("n_words"), ["doc_id", "row_hash"], "left_anti"), "marked")
+    listed = marked.select("doc_id", "row_hash", F.explode(F.arrays_zip("keys", "starts", "counts")).alias("s")).select("doc_id", "row_hash", F.col("s.keys").alias("key"), F.col("s.starts").alias("start"), F.col("s.counts").alias("count"))
     shared = written(listed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("key", (F.col("n") > GROUP).alias("heavy"), "n"), "shared")
     light = shared.where("not heavy").agg(F.sum("n")).first()[0] or 0
     wanted = written(listed.join(shared.drop("n"), "key").groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("key", "heavy", "start", "count")).alias("wanted")), "wanted")
@@ -207,13 +219,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     whole = cut.where("heavy").mapInArrow(_whole_windows(window), _WINDOWS)
     earliest = whole.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     earliest = written(earliest.select("high", "low", "first", "n"), "earliest")
-    # A window that many documents have would fill one task of a join by a shuffle: there are at most HOT_WINDOWS such, which are broadcast.
-    hot_from = max(GROUP, (earliest.agg(F.sum("n")).first()[0] or 0) // HOT_WINDOWS + 1)
-    hot, cold = (earliest.where(c).drop("n") for c in (F.col("n") >= hot_from, F.col("n") < hot_from))
-    of_cold = whole.join(F.broadcast(hot), ["high", "low"], "left_anti").join(cold, ["high", "low"])
-    more = whole.join(F.broadcast(hot), ["high", "low"]).unionByName(of_cold).where("doc_id > first").select("doc_id", "row_hash", "start", (F.col("start") + window).alias("stop"))
+    more = _first_of(whole, earliest, ["high", "low"]).where("doc_id > first").select("doc_id", "row_hash", "start", (F.col("start") + window).alias("stop"))
     found = spans.unionByName(more).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    copies = marked.where("copy").select("doc_id", "row_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))).alias("spans")).distinct()
+    copies = copied.select("doc_id", "row_hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))).alias("spans"))
     return written(found.unionByName(copies), "spans")
 
 
