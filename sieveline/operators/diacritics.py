@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -23,7 +26,8 @@ VOWELS = "ً-ِ"
 FORMS, PLAIN = "أإآٱ", "اااا"
 NUMERALS = "0123456789٠١٢٣٤٥٦٧٨٩"
 
-_STEPS = ArrayType(StructType([StructField("op", StringType()), StructField("i", IntegerType()), StructField("j", IntegerType())]))
+_OPS = ("equal", "replace", "delete", "insert")
+_PLACES = ("i", "i_end", "j", "j_end")
 
 
 def _nfc(text: pd.Series) -> pd.Series:
@@ -31,25 +35,35 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
-@F.pandas_udf(_STEPS)
-def aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Steps that lead from list a to list b: places (i, j) of pairs that are equal or replaced, and of those without a partner."""
+def _blocks(split):
+    """An Arrow function of two columns of texts: the blocks (op, i, i_end, j, j_end) that lead from the parts of one to those of the other.
 
-    def one(x, y) -> list[dict] | None:
-        if x is None or y is None:
-            return None
-        steps = []
-        for op, i, i_end, j, j_end in difflib.SequenceMatcher(a=list(x), b=list(y), autojunk=False).get_opcodes():
-            pairs = min(i_end - i, j_end - j)
-            steps += [{"op": op, "i": i + k, "j": j + k} for k in range(pairs)]
-            steps += [{"op": "delete", "i": k, "j": None} for k in range(i + pairs, i_end)] + [{"op": "insert", "i": None, "j": k} for k in range(j + pairs, j_end)]
-        return steps
+    A batch's blocks are five numbers each, whatever the texts' lengths; equal texts are one block.
+    """
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        flat, offsets, absent = array("i"), array("i", [0]), []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            absent.append(x is None or y is None)
+            if not absent[-1]:
+                x, y = split(x), split(y)
+                if x == y:
+                    flat.extend((0, 0, len(x), 0, len(y)) if x else ())
+                else:
+                    for op, *places in difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes():
+                        flat.extend((_OPS.index(op), *places))
+            offsets.append(len(flat) // 5)
+        numbers = np.array(flat, np.int32).reshape(-1, 5)
+        fields = pa.StructArray.from_arrays([pa.array(c) for c in numbers.T.copy()], names=["op", *_PLACES])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields, mask=pa.array(absent, pa.bool_()))
+
+    return run
 
 
 # Spark may copy an expression into the body of a lambda, where no Python can run; it copies none that it must take for random.
-_composed_once, _aligned_once = F.pandas_udf(_nfc, StringType()).asNondeterministic(), aligned.asNondeterministic()
+_BLOCK_TYPE = ArrayType(StructType([StructField(c, IntegerType()) for c in ("op", *_PLACES)]))
+_composed_once = F.pandas_udf(_nfc, StringType()).asNondeterministic()
+_letters_aligned, _words_aligned = (F.arrow_udf(_blocks(split), _BLOCK_TYPE).asNondeterministic() for split in (str, str.split))
 
 
 def word_units(text) -> Column:
@@ -70,8 +84,30 @@ def _with_end(words: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.transform(w, lambda u, i: F.struct(u["letter"].alias("letter"), u["marks"].alias("marks"), (i == F.size(w) - 1).alias("last")))))
 
 
-def _canonical(units: Column) -> Column:
-    return F.transform(units, lambda u: F.translate(u["letter"], FORMS, PLAIN))
+def _letters(text) -> Column:
+    """The letters of a composed text in a row, forms of one letter as one."""
+    return F.translate(F.regexp_replace(T.as_column(text), f"[^{LETTERS}]+", ""), FORMS, PLAIN)
+
+
+def _bare_words(text) -> Column:
+    """The words of a composed text without marks, parted by blanks, forms of one letter as one."""
+    return F.translate(F.regexp_replace(F.regexp_replace(T.as_column(text), f"[{MARKS}]+", ""), f"[^{LETTERS}]+", " "), FORMS, PLAIN)
+
+
+def _table(blocks: str, a: Column, b: Column) -> Column:
+    """(op, from, to) of each step of the blocks over the arrays a and b: pairs as far as both sides reach, then what is left of one."""
+
+    def steps(sides: Column, x: Column) -> Column:
+        pairs = F.least(x["i_end"] - x["i"], x["j_end"] - x["j"])
+
+        def step(k: Column) -> Column:
+            i, j = F.when(x["i"] + k < x["i_end"], x["i"] + k), F.when(x["j"] + k < x["j_end"], x["j"] + k)
+            op = F.when(k < pairs, F.get(F.array(*map(F.lit, _OPS)), x["op"])).when(i.isNotNull(), "delete").otherwise("insert")
+            return F.struct(op.alias("op"), F.get(sides["a"], i).alias("from"), F.get(sides["b"], j).alias("to"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(x["i_end"] - x["i"], x["j_end"] - x["j"]) - 1), step)
+
+    return T.let(F.struct(a.alias("a"), b.alias("b")), lambda sides: F.flatten(F.transform(blocks, lambda x: steps(sides, x))))
 
 
 def with_alignment(rows: DataFrame, reference: str, output: str) -> DataFrame:
@@ -81,12 +117,12 @@ def with_alignment(rows: DataFrame, reference: str, output: str) -> DataFrame:
     op is equal, replace, delete or insert; a side that is not there is null. Forms of one letter align as equal. Null
     texts have null alignments.
     """
-    words = rows.withColumns({"_a": word_units(_composed_once(F.col(reference).cast("string"))), "_b": word_units(_composed_once(F.col(output).cast("string")))})
-    flat = words.withColumns({"_la": _with_end(F.col("_a")), "_lb": _with_end(F.col("_b"))})
-    signature = lambda c: F.transform(c, lambda w: F.array_join(_canonical(w), ""))
-    steps = flat.withColumns({"_sl": _aligned_once(_canonical(F.col("_la")), _canonical(F.col("_lb"))), "_sw": _aligned_once(signature(F.col("_a")), signature(F.col("_b")))})
-    table = lambda s, a, b: F.transform(s, lambda x: F.struct(x["op"].alias("op"), F.get(F.col(a), x["i"]).alias("from"), F.get(F.col(b), x["j"]).alias("to")))
-    return steps.withColumns({"letters": table("_sl", "_la", "_lb"), "words": table("_sw", "_a", "_b")}).drop("_a", "_b", "_la", "_lb", "_sl", "_sw")
+    # Only texts pass through the Python steps; the units, many times longer, are made after them.
+    composed = rows.withColumns({"_ta": _composed_once(F.col(reference).cast("string")), "_tb": _composed_once(F.col(output).cast("string"))})
+    blocks = composed.withColumns({"_sl": _letters_aligned(_letters("_ta"), _letters("_tb")), "_sw": _words_aligned(_bare_words("_ta"), _bare_words("_tb"))})
+    words = blocks.withColumns({"_a": word_units("_ta"), "_b": word_units("_tb")})
+    tables = {"letters": _table("_sl", _with_end(F.col("_a")), _with_end(F.col("_b"))), "words": _table("_sw", F.col("_a"), F.col("_b"))}
+    return words.withColumns(tables).drop("_ta", "_tb", "_a", "_b", "_sl", "_sw")
 
 
 def _wrong_marks(x: Column, with_case: bool) -> Column:

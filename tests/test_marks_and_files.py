@@ -177,3 +177,18 @@ def test_runs_of_a_stream_that_starts_again(spark, tmp_path):
     more = spark.createDataFrame([("a", 590), ("b", 595), ("c", 2000)], "k string, s long").withColumn("t", second(F.col("s")))
     more.select("k", "t").coalesce(1).write.mode("append").parquet(source)
     assert run() == first | {("a", 500, 590, 2), ("b", 595, 595, 1)}
+
+
+def test_alignments_leave_python_as_blocks():
+    import pyarrow as pa
+
+    texts = ["كتب ولد " * 60, "كتب", "", None, "ب ت ث"]
+    others = ["كتب ولد " * 60, "كتاب", "ب", "x", "ت ب ث"]
+    for split in (str, str.split):
+        found = D._blocks(split)(pa.array(texts * 500, pa.string()), pa.array(others * 500, pa.string()))
+        for x, y, blocks in zip(texts, others, found.to_pylist()[:5], strict=True):
+            if x is None:
+                assert blocks is None
+            else:
+                assert [(D._OPS[b["op"]], b["i"], b["i_end"], b["j"], b["j_end"]) for b in blocks] == difflib.SequenceMatcher(a=split(x), b=split(y), autojunk=False).get_opcodes()
+        assert found.nbytes < 100 * len(found)  # a step a letter took some hundred bytes a letter
