@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import guards as G
 from ..functions import text as T
@@ -169,8 +170,9 @@ def by_status(rows: DataFrame, values: list[Column]) -> DataFrame:
 
 def best_marks(table: DataFrame, measure: str, value: str, higher_is_better: str) -> DataFrame:
     """Whether a value is its measure's best, in the measure's direction. The reports are small grids."""
-    best = table.groupBy(measure).agg(F.max(value).alias("hi"), F.min(value).alias("lo"))
-    return table.join(best, measure).withColumn("best", F.col(value) == F.when(F.col(higher_is_better), F.col("hi")).otherwise(F.col("lo"))).drop("hi", "lo")
+    own = Window.partitionBy(measure)  # a measure's few values; they are computed once, as sums of doubles may differ when they are computed again
+    best = F.when(F.col(higher_is_better), F.max(value).over(own)).otherwise(F.min(value).over(own))
+    return table.withColumn("best", F.col(value) == best)
 
 
 def leaderboard(cards: DataFrame, measures: list[str]) -> DataFrame:

@@ -66,3 +66,18 @@ def test_scorecard_as_text(spark):
     assert lines["none"] == f"{'none':62}     —  n=0"
     plain = scorecard.card_lines(card.drop("diff", "diff_low", "diff_high", "significant")).where(F.col("measure") == "numbers kept").first()["line"]
     assert plain.endswith("n=20")
+
+
+def test_best_marks_compute_their_values_once(spark):
+    import random
+
+    import pandas as pd
+
+    # Values that differ when computed again, as sums of doubles do when their rows arrive in another order.
+    drawn = F.pandas_udf(lambda x: pd.Series([random.SystemRandom().random() for _ in x]), "double").asNondeterministic()
+    table = spark.range(20).select((F.col("id") % 4).alias("m"), (F.col("id") % 4 < 2).alias("up"), drawn("id").alias("v"))
+    found = scorecard.best_marks(table, "m", "v", "up").collect()
+    assert all(len(of) == 5 for of in ([r for r in found if r["m"] == m] for m in range(4)))
+    for m in range(4):
+        own = [r for r in found if r["m"] == m]
+        assert [r["v"] for r in own if r["best"]] == [(max if m < 2 else min)(r["v"] for r in own)]
