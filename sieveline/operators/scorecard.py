@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import guards as G
 from ..functions import text as T
 from . import statistics as S
+from .prefix import stored
 
 #: Blocks whose missing values are pending and not inapplicable.
 PENDING_BLOCKS = ("meaning", "judge")
@@ -93,6 +94,7 @@ def scorecard(measures: DataFrame, baseline: DataFrame | None = None, spread: bo
     """
     scaled = F.when(F.col("measure").isin(*CONTINUOUS), 1.0).otherwise(100.0)
     by = ["set", "block", "measure"]
+    measures = stored(measures)  # three steps read them, and their patterns take most of the time
     ci = (S.spread_bootstrap(measures, by, "doc", "value", scale=scaled) if spread else S.cluster_bootstrap(measures, by, "doc", "value", "item", scale=scaled)).drop("n")
     out = summary(measures).drop("mean").join(ci, by, "left")
     if baseline is not None:

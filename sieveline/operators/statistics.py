@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,6 +209,18 @@ def tallies(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count_if(F.col(a) > F.col(b)).alias("wins"), F.count_if(F.col(a) == F.col(b)).alias("ties"), F.count_if(F.col(a) < F.col(b)).alias("losses"))
 
 
+def drawn_means(sums: np.ndarray, sizes: np.ndarray, draws: int, seed: int = 1) -> list[float]:
+    """Means of resampled clusters, bit for bit those of random.Random(seed).choices() and sum(), with numpy's copy of the generator."""
+    _, state, _ = random.Random(seed).getstate()
+    rng, n, means = np.random.RandomState(), len(sums), []
+    rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    whole = bool((sums == np.rint(sums)).all()) and float(np.abs(sums).sum()) * n < 2**53  # such sums are exact in any order
+    for _ in range(draws):
+        at = (rng.random_sample(n) * n).astype(np.intp)
+        means.append(float(sums[at].sum() if whole else sum(sums[at].tolist())) / int(sizes[at].sum()))
+    return means
+
+
 def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, order: str, scale: Column | float = 1.0, draws: int = 2000, upper_offset: int = 0) -> DataFrame:
     """by, mean, low, high, n: percentile intervals over resampled clusters, in the clusters' first-seen order, seeded.
 
@@ -220,12 +233,7 @@ def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str,
 
     def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_first", kind="stable")
-        groups, rng = list(zip(pdf["_sum"], pdf["_rows"], strict=True)), random.Random(1)
-        means = []
-        for _ in range(draws):
-            g = rng.choices(groups, k=len(groups))
-            means.append(sum(x for x, _ in g) / sum(k for _, k in g))
-        means.sort()
+        means = sorted(drawn_means(pdf["_sum"].to_numpy(), pdf["_rows"].to_numpy(), draws))
         low, high = means[int(0.025 * draws)], means[int(0.975 * draws) + upper_offset]
         return pd.DataFrame([(*key, pdf["_sum"].sum() / pdf["_rows"].sum(), low, high, int(pdf["_rows"].sum()))])
 

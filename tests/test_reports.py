@@ -81,3 +81,30 @@ def test_best_marks_compute_their_values_once(spark):
     for m in range(4):
         own = [r for r in found if r["m"] == m]
         assert [r["v"] for r in own if r["best"]] == [(max if m < 2 else min)(r["v"] for r in own)]
+
+
+def test_drawn_means_equal_pythons_generator():
+    import random
+
+    import numpy as np
+
+    for sums in (np.random.default_rng(1).integers(0, 9, 301).astype(float), np.random.default_rng(2).normal(size=301), np.array([0.1])):
+        sizes = np.arange(len(sums)) % 7 + 1
+        groups, rng, want = list(zip(sums.tolist(), sizes.tolist(), strict=True)), random.Random(1), []
+        for _ in range(40):
+            g = rng.choices(groups, k=len(groups))
+            want.append(sum(x for x, _ in g) / sum(k for _, k in g))
+        assert ST.drawn_means(sums, sizes, 40) == want
+
+
+def test_scorecard_computes_its_measures_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    rows = spark.range(40).selectExpr("id as item", "id % 7 as doc", "'s' as set", "'B' as track", "'checks' as block", "'numbers kept' as measure", "double(id % 2) as value", "'value' as state")
+    scorecard.scorecard(rows.mapInPandas(counted, rows.schema)).collect()
+    assert ran.value == 40
