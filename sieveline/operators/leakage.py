@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import char_ngrams, match_key
+from .prefix import stored
+
+#: Ids are broadcast up to this number (8 bytes each), beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Texts whose windows a task holds at once.
+WINDOW_ROWS = 500
 
 
 def exact_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text") -> DataFrame:
@@ -89,22 +99,50 @@ def without_leaked_sources(rows: DataFrame, source: str, leaked: DataFrame, text
     return rows.withColumn("_key", match_key(source)).join(keys, "_key", "left_anti").select(*rows.columns)
 
 
+def window_hashes(key: str, words: int, first_only: bool = False) -> np.ndarray:
+    """A hash of each distinct window of so many words of a text's key, or of the first window alone; none for shorter texts."""
+    listed = [w for w in key.split(" ") if w]
+    if len(listed) < words:
+        return np.empty(0, np.uint64)
+    h = pd.util.hash_array(np.array(listed[:words] if first_only else listed, dtype=object), categorize=False)
+    n, out = len(h) - words + 1, np.zeros(len(h) - words + 1, np.uint64)
+    for i in range(words):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return np.unique(out)
+
+
 def contained(long_texts: DataFrame, short_texts: DataFrame, long_id: str, short_id: str, text: str = "text", words: int = 8) -> DataFrame:
     """(long_id, short_id) where the normalised short text stands within the long one. Short texts have `words` words or more.
 
     The short texts' first `words` words are an equi-join key against every window of that many words of the long texts;
-    only such pairs are searched for the whole text.
+    only such pairs are searched for the whole text. The pairs are stored, so only long texts that are in one are read into
+    words again and sent. Rows without an id are left out.
     """
 
     def toks(c: str) -> Column:
         return F.filter(F.split(match_key(F.lower(c)), " "), lambda w: F.length(w) > 0)
 
-    needles = short_texts.select(F.col(short_id).alias("short_id"), toks(text).alias("w")).where(F.size("w") >= words)
-    needles = needles.select("short_id", F.array_join("w", " ").alias("needle"), F.xxhash64(F.array_join(F.slice("w", 1, words), " ")).alias("key"))
-    hay = long_texts.select(F.col(long_id).alias("long_id"), F.concat(F.lit(" "), F.array_join(toks(text), " "), F.lit(" ")).alias("hay"))
-    split = hay.select("long_id", F.filter(F.split("hay", " "), lambda w: F.length(w) > 0).alias("w")).where(F.size("w") >= words)
-    windows = split.select("long_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("key"))
-    pairs = windows.join(needles, "key").select("long_id", "short_id", "needle").distinct()
+    def windows_of(first_only: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for start in range(0, len(b), WINDOW_ROWS):
+                    part = b.iloc[start : start + WINDOW_ROWS]
+                    found = [window_hashes(key, words, first_only) for key in part["key"]]
+                    yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(f) for f in found]), "key": np.concatenate(found).view(np.int64)})
+
+        return run
+
+    def windows(df: DataFrame, row_id: str, first_only: bool) -> DataFrame:
+        keyed = df.select(F.col(row_id).alias("id"), match_key(F.lower(text)).alias("key")).where("id is not null and key <> ''")
+        return keyed.mapInPandas(windows_of(first_only), f"id {df.schema[row_id].dataType.simpleString()}, key long")
+
+    firsts = windows(short_texts, short_id, True).withColumnRenamed("id", "short_id").distinct()
+    needles = short_texts.select(F.col(short_id).alias("short_id"), toks(text).alias("w")).where(F.size("w") >= words).select("short_id", F.array_join("w", " ").alias("needle"))
+    met_keys = windows(long_texts, long_id, False).withColumnRenamed("id", "long_id").join(firsts, "key").select("long_id", "short_id").distinct()
+    pairs = stored(met_keys.join(needles, "short_id").distinct())
+    ids = pairs.select("long_id").distinct()
+    met = long_texts.select(F.col(long_id).alias("long_id"), F.col(text).alias("text")).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "long_id", "left_semi")
+    hay = met.select("long_id", F.concat(F.lit(" "), F.array_join(toks("text"), " "), F.lit(" ")).alias("hay"))
     return pairs.join(hay, "long_id").where(F.contains("hay", F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).select("long_id", "short_id")
 
 

@@ -108,3 +108,12 @@ def test_scorecard_computes_its_measures_once(spark):
     rows = spark.range(40).selectExpr("id as item", "id % 7 as doc", "'s' as set", "'B' as track", "'checks' as block", "'numbers kept' as measure", "double(id % 2) as value", "'value' as state")
     scorecard.scorecard(rows.mapInPandas(counted, rows.schema)).collect()
     assert ran.value == 40
+
+
+def test_contained_reads_only_long_texts_of_pairs_again(spark):
+    words = [f"w{i}" for i in range(40)]
+    long = [(1, " ".join(words)), (2, "A, " + " ".join(words[3:14]) + "!"), (3, " ".join(words[5:14])), (4, "w3 w4"), (5, None), (6, ""), (None, " ".join(words))]
+    short = [(1, " ".join(words[3:13])), (2, " ".join(words[:7])), (3, " ".join([*words[3:11], "x"])), (4, None), (5, " ".join(words[5:13]))]
+    found = leakage.contained(spark.createDataFrame(long, "i long, text string"), spark.createDataFrame(short, "j long, text string"), "i", "j")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (1, 5), (2, 1), (2, 5), (3, 5)]
+    assert "left_semi" in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")
