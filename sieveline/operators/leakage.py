@@ -2,66 +2,213 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import char_ngrams, match_key
+from ..functions.text import match_key
 from .prefix import stored
 
 #: Ids are broadcast up to this number (8 bytes each), beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Texts whose windows a task holds at once.
 WINDOW_ROWS = 500
+#: Sketches of a block, rows and columns of a tile of their comparison, and texts of a side of a block of pairs, about.
+BLOCK_ROWS, SKETCH_ROWS, SKETCH_COLUMNS, PAIR_ROWS = 4096, 32, 1024, 500
 
 
 def exact_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text") -> DataFrame:
-    """Rows of left whose key equals one of right's, each with right's first row of that key. Empty keys match nothing."""
-    keyed = left.select(F.col(left_id).alias("left_id"), match_key(text).alias("key")).where("key <> ''")
-    first = right.select(F.col(right_id).alias("right_id"), match_key(text).alias("key")).where("key <> ''").groupBy("key").agg(F.min("right_id").alias("right_id"))
-    return keyed.join(first, "key").select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"))
+    """Rows of left whose key equals one of right's, each with right's first row of that key. Empty keys match nothing.
+
+    Keys travel as SHA-256 digests.
+    """
+    return _equal_digests(_keyed(left, left_id, text), _keyed(right, right_id, text))
+
+
+def _keyed(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """id, text (the key), key (its hash) and digest of the rows that have a key."""
+    rows = df.select(F.col(row_id).alias("id"), match_key(text).alias("text")).where("text <> ''")
+    return rows.select("id", "text", F.xxhash64("text").alias("key"), F.unhex(F.sha2("text", 256)).alias("digest"))
+
+
+def _equal_digests(a: DataFrame, b: DataFrame) -> DataFrame:
+    first = b.groupBy("digest").agg(F.min("id").alias("right_id"))
+    return a.select(F.col("id").alias("left_id"), "digest").join(first, "digest").select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"))
+
+
+def gram_hashes(key: str, n: int) -> np.ndarray:
+    """The sorted hashes of the distinct runs of n characters; a shorter key is one run."""
+    c = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < n:
+        c = np.concatenate([c, np.full(n - len(c), 0x110000, np.uint64)])  # no character has this number
+    h = np.zeros(len(c) - n + 1, np.uint64)
+    for i in range(n):
+        h = (h + c[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """For each class of hashes whether it holds an odd number of grams; at least a bit a gram, and a power of two of bits.
+
+    Sketches of two sets differ in no more bits than the sets in grams. A longer sketch is folded to a shorter one by xor of its halves.
+    """
+    n_bits = max(64, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: pd.Series, words: int) -> np.ndarray:
+    """Sketches as rows of so many words each."""
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, b in enumerate(sketches):
+        row = np.frombuffer(b, np.uint64)
+        while len(row) > words:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
+
+
+def alike_sketches(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs whose sizes and sketches (columns size, sketch) allow a similarity of `threshold`; no such pair is missed."""
+    words = min(left["sketch"].str.len().min(), right["sketch"].str.len().min()) // 8
+    left_order, right_order = np.argsort(left["size"].to_numpy(), kind="stable"), np.argsort(right["size"].to_numpy(), kind="stable")
+    left_size, right_size = left["size"].to_numpy()[left_order].astype(float), right["size"].to_numpy()[right_order].astype(float)
+    a, b = _folded(left["sketch"].iloc[left_order], words), np.ascontiguousarray(_folded(right["sketch"].iloc[right_order], words).T)
+    share, half = (1 - threshold) / (1 + threshold), (words + 1) // 2
+    found_left, found_right = [], []
+    for i in range(0, len(a), SKETCH_ROWS):
+        rows, sizes = a[i : i + SKETCH_ROWS], left_size[i : i + SKETCH_ROWS]
+        start, end = np.searchsorted(right_size, sizes[0] * threshold - 1e-6), np.searchsorted(right_size, sizes[-1] / threshold + 1e-6, "right")
+        for at in range(start, end, SKETCH_COLUMNS):
+            stop = min(end, at + SKETCH_COLUMNS)
+            most = (sizes[:, None] + right_size[None, at:stop]) * share + 1e-6  # grams in which a similar pair may differ
+            differ = np.zeros(most.shape, np.uint32)
+            for k in range(half):
+                differ += np.bitwise_count(rows[:, k, None] ^ b[None, k, at:stop])
+            x, y = np.nonzero(differ <= most)
+            if half < words and len(x):
+                rest = np.bitwise_count(rows[x, half:] ^ b[half:, at + y].T).sum(axis=1)
+                kept = differ[x, y] + rest <= most[x, y]
+                x, y = x[kept], y[kept]
+            found_left.append(left_order[i + x])
+            found_right.append(right_order[at + y])
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(found_left or none), np.concatenate(found_right or none)
+
+
+def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_key, right_key) of all rows (key, size, sketch) that alike_sketches() finds.
+
+    Sizes are cut into classes; similar pairs are in one class or neighbours. Classes are cut into blocks of BLOCK_ROWS or so,
+    and each pair of blocks is compared by itself.
+    """
+    width = max(-math.log(threshold), 0.05) * (1 + 1e-9)
+    size_class = F.floor(F.log(F.col("size").cast("double")) / width).cast("int")
+
+    def blocks_of(df: DataFrame) -> dict[int, int]:  # one entry a class
+        return {r["class"]: -(-r["n"] // BLOCK_ROWS) for r in df.groupBy(size_class.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    spark, a, b = left.sparkSession, blocks_of(left), blocks_of(right)
+    cells = [(c, x, d, y) for c in a for d in (c - 1, c, c + 1) if d in b for x in range(a[c]) for y in range(b[d])]
+    pairs = "left_key long, right_key long"
+    if not cells:
+        return spark.createDataFrame([], pairs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(cells), 500))
+
+    def dealt(df: DataFrame, blocks: dict[int, int], at: int) -> DataFrame:
+        numbered = spark.createDataFrame([(i, *cell[at : at + 2], blocks[cell[at]]) for i, cell in enumerate(cells)], "cell int, class int, block int, blocks int")
+        mine = (F.col("class") == size_class) & (F.col("block") == F.pmod("key", "blocks"))
+        return df.join(F.broadcast(numbered), mine).select("cell", "key", "size", "sketch").repartition(parts, "cell")
+
+    def compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        i, j = alike_sketches(x, y, threshold) if len(x) and len(y) else ([], [])
+        out = pd.DataFrame({"left_key": x["key"].to_numpy(np.int64)[i], "right_key": y["key"].to_numpy(np.int64)[j]})
+        return out[out["left_key"] != out["right_key"]]
+
+    return dealt(left, a, 0).groupBy("cell").cogroup(dealt(right, b, 2).groupBy("cell")).applyInPandas(compared, pairs)
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The (stored) pairs that are similar, with their exact similarity; texts (key, text) are sent once to each block of pairs they are in."""
+    n_keys = pairs.select(F.col("left_key").alias("key")).union(pairs.select("right_key")).distinct().count()
+    side = max(1, -(-n_keys // PAIR_ROWS))
+    cell = F.pmod("left_key", F.lit(side)) * side + F.pmod("right_key", F.lit(side))
+    celled = pairs.select(cell.alias("cell"), "left_key", "right_key")
+    needed = celled.select(F.col("cell").alias("at"), F.col("left_key").alias("key")).union(celled.select("cell", "right_key")).distinct()
+    one = texts.groupBy("key").agg(F.first("text").alias("text"))
+
+    def measured(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        grams = {k: gram_hashes(t, n) for k, t in zip(y["key"], y["text"], strict=True)}
+        similarity = np.zeros(len(x))
+        for i, (j, k) in enumerate(zip(x["left_key"], x["right_key"], strict=True)):
+            few, many = sorted((grams[j], grams[k]), key=len)
+            both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+            similarity[i] = both / (len(few) + len(many) - both)
+        return x[["left_key", "right_key"]].assign(similarity=similarity)[similarity >= threshold]
+
+    return celled.groupBy("cell").cogroup(needed.join(one, "key").groupBy("at")).applyInPandas(measured, "left_key long, right_key long, similarity double")
 
 
 def near_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", threshold: float = 0.8, n: int = 5) -> DataFrame:
     """All pairs whose sets of character n-grams have a Jaccard similarity of `threshold` or more, other than equal keys.
 
-    (explode_outer: sets are never empty, and no filter on their size is inferred, which would compute them twice.)
-    Only each set's rarest grams are joined, enough of them that a similar pair must share one; pairs of too different
-    size are left out before the exact measure. Grams travel as 64-bit hashes. Results are exact.
+    No grams are shuffled: each text sends the size of its set and a parity sketch of about a bit a gram, in blocks of like
+    sizes. Pairs whose sketches differ in more bits than similar sets can differ in grams are left out (none is lost), the
+    others are measured on their texts. Equal keys are compared once. The number of sketches compared grows with the square
+    of the rows, their volume with the rows. Grams and keys are told by 64-bit hashes; rows without an id are left out.
     """
 
-    def grams(df: DataFrame, key: str, side: str) -> DataFrame:
-        rows = df.select(F.col(key).alias(f"{side}_id"), match_key(text).alias("key")).where("key <> ''")
-        hashed = F.transform(char_ngrams("key", n), lambda g: F.xxhash64(g))
-        return rows.select(f"{side}_id", F.xxhash64("key").alias(f"{side}_key"), hashed.alias(f"{side}_grams"))
+    return _near(left, right, left_id, right_id, text, threshold, n, _sketches(left, left_id, text, n), _sketches(right, right_id, text, n))
+
+
+def _sketches(df: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
+    """id, key and digest of the rows that have a key, with the size and sketch of their sets; stored."""
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size, sketch = [], []
+            for t in b["text"]:
+                grams = gram_hashes(t, n)
+                size.append(len(grams))
+                sketch.append(parity_sketch(grams))
+            yield b[["id", "key", "digest"]].assign(size=np.array(size, np.int32), sketch=sketch)
+
+    return stored(_keyed(df, row_id, text).mapInPandas(sketched, f"id {df.schema[row_id].dataType.simpleString()}, key long, digest binary, size int, sketch binary"))
+
+
+def _near(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, threshold: float, n: int, a: DataFrame, b: DataFrame) -> DataFrame:
+    """near_matches() of the rows whose sketches are a and b."""
+    a, b = a.where("id is not null"), b.where("id is not null")
+    different = [df.select("key", "size", "sketch").dropDuplicates(["key"]) for df in (a, b)]
+    pairs = stored(_candidates(*different, threshold))
 
-    a, b = grams(left, left_id, "left"), grams(right, right_id, "right")
-    counts = a.select(F.explode_outer("left_grams").alias("gram")).unionByName(b.select(F.explode_outer("right_grams").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    def ids(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col("id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key")).distinct()
 
-    def prefix(df: DataFrame, side: str) -> DataFrame:
-        size = F.size(f"{side}_grams")
-        listed = df.select(f"{side}_id", f"{side}_key", size.alias(f"{side}_size"), F.explode_outer(f"{side}_grams").alias("gram"))
-        own = Window.partitionBy(f"{side}_id").orderBy("n", "gram")  # at most one text's grams
-        ranked = listed.join(counts, "gram").withColumn("rank", F.row_number().over(own))
-        return ranked.where(F.col("rank") <= F.col(f"{side}_size") - F.ceil(F.col(f"{side}_size") * threshold) + 1).select(f"{side}_id", f"{side}_key", f"{side}_size", "gram")
+    def texts(df: DataFrame, row_id: str, rows: DataFrame, side: str) -> DataFrame:
+        """(key, text) of the keys in pairs: only rows that are the first of theirs are read into keys again."""
+        first = stored(rows.join(pairs.select(F.col(f"{side}_key").alias("key")).distinct(), "key").groupBy("key").agg(F.min("id").alias("_first")).select("_first").distinct())
+        few = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+        return _keyed(df.join(few, F.col(row_id) == F.col("_first"), "left_semi"), row_id, text).select("key", "text")
 
-    alike = (F.col("left_size") * threshold <= F.col("right_size")) & (F.col("right_size") * threshold <= F.col("left_size")) & (F.col("left_key") != F.col("right_key"))
-    pairs = prefix(a, "left").join(prefix(b, "right"), "gram").where(alike).select("left_id", "right_id").distinct()
-    full = pairs.join(a.select("left_id", "left_grams"), "left_id").join(b.select("right_id", "right_grams"), "right_id")
-    both = F.size(F.array_intersect("left_grams", "right_grams"))
-    similarity = both / F.greatest(F.size("left_grams") + F.size("right_grams") - both, F.lit(1))
-    return full.select("left_id", "right_id", similarity.alias("similarity"), F.lit("near").alias("kind")).where(F.col("similarity") >= threshold)
+    met = texts(left, left_id, a, "left").unionByName(texts(right, right_id, b, "right"))
+    found = _measured(pairs, met, threshold, n).join(ids(a, "left"), "left_key").join(ids(b, "right"), "right_key")
+    return found.select("left_id", "right_id", "similarity", F.lit("near").alias("kind"))
 
 
-def matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", threshold: float = 0.8) -> DataFrame:
+def matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", threshold: float = 0.8, n: int = 5) -> DataFrame:
     """Exact matches, and near matches of the rows of left that have no exact one."""
-    exact = exact_matches(left, right, left_id, right_id, text)
-    rest = left.join(exact.select(F.col("left_id").alias(left_id)), left_id, "left_anti")
-    return exact.unionByName(near_matches(rest, right, left_id, right_id, text, threshold))
+    a, b = _sketches(left, left_id, text, n), _sketches(right, right_id, text, n)
+    exact = stored(_equal_digests(a, b))
+    ids = exact.select(F.col("left_id").alias("id")).distinct()
+    rest = a.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_anti")
+    return exact.unionByName(_near(left, right, left_id, right_id, text, threshold, n, rest, b))
 
 
 def substantive(*texts: Column | str, least: int = 5) -> Column:
