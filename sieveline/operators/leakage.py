@@ -26,12 +26,12 @@ def exact_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
     Keys travel as SHA-256 digests.
     """
-    return _equal_digests(_keyed(left, left_id, text), _keyed(right, right_id, text))
+    return _equal_digests(*(_keyed(df, row_id, text).where("text <> ''") for df, row_id in ((left, left_id), (right, right_id))))
 
 
 def _keyed(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """id, text (the key), key (its hash) and digest of the rows that have a key."""
-    rows = df.select(F.col(row_id).alias("id"), match_key(text).alias("text")).where("text <> ''")
+    """id, text (the key, empty or null ones too: Spark computes an expression again for a filter on it), key (its hash) and digest."""
+    rows = df.select(F.col(row_id).alias("id"), match_key(text).alias("text"))
     return rows.select("id", "text", F.xxhash64("text").alias("key"), F.unhex(F.sha2("text", 256)).alias("digest"))
 
 
@@ -172,6 +172,7 @@ def _sketches(df: DataFrame, row_id: str, text: str, n: int) -> DataFrame:
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[b["text"].fillna("") != ""]
             size, sketch = [], []
             for t in b["text"]:
                 grams = gram_hashes(t, n)
