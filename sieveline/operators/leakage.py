@@ -135,11 +135,22 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
-    """The (stored) pairs that are similar, with their exact similarity; texts (key, text) are sent once to each block of pairs they are in."""
+    """The (stored) pairs that are similar, with their exact similarity; texts (key, text) are sent once to each block of pairs they are in.
+
+    Blocks are told by labels, which the keys of a group of alike texts mostly share: a left key's is its smallest right key,
+    a right key's the smallest label of its left keys. Large groups are cut.
+    """
     n_keys = pairs.select(F.col("left_key").alias("key")).union(pairs.select("right_key")).distinct().count()
     side = max(1, -(-n_keys // PAIR_ROWS))
-    cell = F.pmod("left_key", F.lit(side)) * side + F.pmod("right_key", F.lit(side))
-    celled = pairs.select(cell.alias("cell"), "left_key", "right_key")
+    left_label = stored(pairs.groupBy("left_key").agg(F.min("right_key").alias("label")))
+    right_label = stored(pairs.join(left_label, "left_key").groupBy("right_key").agg(F.min("label").alias("label")))
+
+    def blocks(labels: DataFrame, key: str) -> DataFrame:
+        n = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).alias("cuts"))
+        return labels.join(n, "label").select(key, F.struct(F.pmod("label", F.lit(side)), F.pmod(key, "cuts")).alias(f"{key}_block"))
+
+    cell = F.xxhash64("left_key_block", "right_key_block")
+    celled = stored(pairs.join(blocks(left_label, "left_key"), "left_key").join(blocks(right_label, "right_key"), "right_key").select(cell.alias("cell"), "left_key", "right_key"))
     needed = celled.select(F.col("cell").alias("at"), F.col("left_key").alias("key")).union(celled.select("cell", "right_key")).distinct()
     one = texts.groupBy("key").agg(F.first("text").alias("text"))
 
