@@ -84,7 +84,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     """text and label of at most `bound` labelled rows outside the held-out quarter, written once.
 
     The rows are those whose ids have the smallest hashes, so that the sample does not depend on partitioning. Rows
-    without id or label teach nothing; of a repeated id, the largest label counts.
+    without id or label teach nothing; of a repeated id, the largest label counts. Bytes that are not UTF-8 become
+    replacement characters.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
@@ -94,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         .limit(bound)
     )
     # The sample of ids is bounded by its parameter, hence the hint.
-    return written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label"), "labelled")
+    return written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"), "label"), "labelled")
 
 
 #: Keys of rows to be removed are broadcast up to this number (some 16 bytes each), beyond it they are joined by a shuffle.

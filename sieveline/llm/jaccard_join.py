@@ -290,14 +290,14 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     fewer words is one shingle, one without words has none and is linked with nothing. Sets are linked when
     den * |A and B| >= num * |A or B|. component_id is the smallest doc_id that links reach. Rows with a null doc_id
     keep their n_shingles, get a null component_id and link nothing; rows that share a doc_id stand for one document,
-    whose links they share. Empty tables give empty results.
+    whose links they share. Texts are compared by their bytes, which need not be UTF-8. Empty tables give empty results.
 
     Equal sets are merged first, so a group of copies is one set. In each list, sets are compared with a few hubs of the
     list before any others; pairs whose ends are in one component by then need no check, so a group of near copies makes
     a multiple of its size in pairs and not its square. All remaining pairs that share a list are checked exactly, after
     a lossless test of their sketches.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sized = written(_sized(docs, k), "sized")
     is_known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     known = sized.where(is_known)

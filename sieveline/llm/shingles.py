@@ -17,9 +17,12 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words in order; only A-Z are lower-cased, and only ASCII white space separates words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    """Hashes of the words in order; only A-Z are lower-cased, and only ASCII white space separates words.
+
+    A text may come as its bytes, which need not be UTF-8.
+    """
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text or b"")).lower().split()
     if not words:
         return np.empty(0, np.uint64)
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
@@ -38,5 +41,5 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
+def shingle_set(text: str | bytes | None, k: int) -> np.ndarray:
     return np.unique(windows(word_hashes(text), k))

@@ -373,7 +373,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 24_000) -> Model
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every whole text (null: empty). An empty text has the score of no evidence.
 
-    Labels, language and source are not read. Repeated rows are scored alike, each in its own row; extra columns are
+    Labels, language and source are not read. Bytes that are not UTF-8 are read as replacement characters. Repeated rows are scored alike, each in its own row; extra columns are
     ignored; an empty table gives no rows.
     """
 
@@ -384,7 +384,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with their columns, that score() does not call toxic.
 
-    Null and empty texts have the score of no evidence; repeated rows go or stay together; columns of any name stay; an
+    Null and empty texts have the score of no evidence; bytes that are not UTF-8 are read as replacement characters and stay; repeated rows go or stay together; columns of any name stay; an
     empty table gives no rows.
     """
     name = fresh(docs, "score")
@@ -396,7 +396,8 @@ def _with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
         matcher = Matcher(Automaton(model.terms))
         for b in batches:
             columns = dict(zip(b.schema.names, b.columns, strict=True))
-            x = np.array([features(matcher, t or "") for t in columns["text"].to_pylist()], float).reshape(-1, len(FEATURES))
+            texts = columns["text"].cast(pa.binary()).to_pylist()
+            x = np.array([features(matcher, (t or b"").decode("utf-8", "replace")) for t in texts], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x))], [*b.schema.names, name])
 
     return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from sieveline.llm import quality_rules
+from sieveline.llm import jaccard_join, quality_rules, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,3 +77,28 @@ def test_no_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0).write.parquet(f"{path}/documents.parquet")
     spark.read.parquet(f"{folder[0]}/labels.parquet").limit(0).write.parquet(f"{path}/labels.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_texts_that_are_not_utf8(spark, folder, tmp_path):
+    """Bytes cut inside a character, as writers that count bytes leave them: such rows pass each stage with all their bytes."""
+    path, clean, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    raw = {600: clean[9].encode() + b" caf\xc3", 601: clean[10].encode() + b" \xff\xfe", 602: clean[10].encode() + b" \xff\xfd", 603: b"\xe2\x82 " * 3}
+    broken = spark.createDataFrame([(i, bytearray(t)) for i, t in raw.items()], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) text", "'en' lang", "'s' source", "60L n_chars")
+    folder_of = str(tmp_path)
+    docs.unionByName(broken).write.parquet(f"{folder_of}/documents.parquet")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    labels.unionByName(spark.createDataFrame([(600, 1, 0), (601, 1, 0)], labels.schema)).write.parquet(f"{folder_of}/labels.parquet")
+    rows = spark.read.parquet(f"{folder_of}/documents.parquet")
+    model = toxicity.fit(rows, spark.read.parquet(f"{folder_of}/labels.parquet"))
+    assert toxicity.score(rows, model).where("doc_id between 600 and 603").count() == 4
+    mild = toxicity.without_toxic(rows, model)
+    assert {r["doc_id"]: bytes(r["t"]) for r in mild.where("doc_id between 600 and 603").selectExpr("doc_id", "cast(text as binary) t").collect()} == raw
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked_components(rows).collect()}
+    assert found[600][1] == 9  # a word more than 9
+    assert found[601][1] == found[602][1] == 10
+    exact = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked_components(rows, num=100, den=100).collect()}
+    assert (exact[601], exact[602]) == (601, 602)  # they differ in a byte that is not UTF-8
+    pieces = corpus_pipeline.run(spark, folder_of).collect()
+    assert {9, 10} <= {r["doc_id"] for r in pieces}
+    assert not {600, 601, 602} & {r["doc_id"] for r in pieces}
