@@ -17,8 +17,10 @@ from .prefix import stored
 BROADCAST_IDS = 1_000_000
 #: Texts whose windows a task holds at once.
 WINDOW_ROWS = 500
-#: Sketches of a block, rows and columns of a tile of their comparison, and texts of a side of a block of pairs, about.
-BLOCK_ROWS, SKETCH_ROWS, SKETCH_COLUMNS, PAIR_ROWS = 4096, 32, 1024, 500
+#: Bytes of a block of sketches (a row counts ROW_BYTES besides), and classes of size for each step in which similar sizes may differ.
+BLOCK_BYTES, ROW_BYTES, CLASSES = 24_000_000, 64, 8
+#: Rows and columns of a tile of their comparison, pairs sent at once, and texts of a side of a block of pairs, about.
+SKETCH_ROWS, SKETCH_COLUMNS, SENT_PAIRS, PAIR_ROWS = 32, 1024, 100_000, 500
 
 
 def exact_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text") -> DataFrame:
@@ -50,7 +52,11 @@ def gram_hashes(key: str, n: int) -> np.ndarray:
         h = (h + c[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h ^ (h >> np.uint64(32)))
+    h ^= h >> np.uint64(32)
+    h.sort()  # np.unique takes several times as long
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
 
 
 def parity_sketch(grams: np.ndarray) -> bytes:
@@ -65,73 +71,133 @@ def parity_sketch(grams: np.ndarray) -> bytes:
 
 def _folded(sketches: pd.Series, words: int) -> np.ndarray:
     """Sketches as rows of so many words each."""
-    out = np.empty((len(sketches), words), np.uint64)
-    for i, b in enumerate(sketches):
-        row = np.frombuffer(b, np.uint64)
-        while len(row) > words:
-            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-        out[i] = row
+    out, lengths = np.empty((len(sketches), words), np.uint64), sketches.str.len().to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        rows = np.frombuffer(b"".join(sketches.iloc[at]), np.uint64).reshape(len(at), -1)
+        while rows.shape[1] > words:
+            rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        out[at] = rows
     return out
 
 
-def alike_sketches(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs whose sizes and sketches (columns size, sketch) allow a similarity of `threshold`; no such pair is missed."""
+def _differing(rows: np.ndarray, columns: np.ndarray, first: int, buffers: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Bits in which each row differs from each column in their first words."""
+    word, count, three, differ = (x[: len(rows), : columns.shape[1]] for x in buffers)
+    differ.fill(0)
+    for k in range(0, first, 3):  # three words have 192 bits at most, which a byte holds
+        np.bitwise_count(np.bitwise_xor(rows[:, k, None], columns[None, k], out=word), out=three)
+        for i in range(k + 1, min(k + 3, first)):
+            np.add(three, np.bitwise_count(np.bitwise_xor(rows[:, i, None], columns[None, i], out=word), out=count), out=three)
+        np.add(differ, three, out=differ)
+    return differ
+
+
+def alike_tiles(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs whose sizes and sketches (columns size, sketch) allow a similarity of `threshold`, a tile at a time; no such pair is missed."""
     words = min(left["sketch"].str.len().min(), right["sketch"].str.len().min()) // 8
     left_order, right_order = np.argsort(left["size"].to_numpy(), kind="stable"), np.argsort(right["size"].to_numpy(), kind="stable")
     left_size, right_size = left["size"].to_numpy()[left_order].astype(float), right["size"].to_numpy()[right_order].astype(float)
     a, b = _folded(left["sketch"].iloc[left_order], words), np.ascontiguousarray(_folded(right["sketch"].iloc[right_order], words).T)
-    share, half = (1 - threshold) / (1 + threshold), (words + 1) // 2
-    found_left, found_right = [], []
+    share, first = (1 - threshold) / (1 + threshold), (words + 1) // 2
+    buffers = tuple(np.empty((SKETCH_ROWS, SKETCH_COLUMNS), t) for t in (np.uint64, np.uint8, np.uint8, np.uint16 if words < 1000 else np.uint32))
     for i in range(0, len(a), SKETCH_ROWS):
         rows, sizes = a[i : i + SKETCH_ROWS], left_size[i : i + SKETCH_ROWS]
         start, end = np.searchsorted(right_size, sizes[0] * threshold - 1e-6), np.searchsorted(right_size, sizes[-1] / threshold + 1e-6, "right")
         for at in range(start, end, SKETCH_COLUMNS):
             stop = min(end, at + SKETCH_COLUMNS)
-            most = (sizes[:, None] + right_size[None, at:stop]) * share + 1e-6  # grams in which a similar pair may differ
-            differ = np.zeros(most.shape, np.uint32)
-            for k in range(half):
-                differ += np.bitwise_count(rows[:, k, None] ^ b[None, k, at:stop])
-            x, y = np.nonzero(differ <= most)
-            if half < words and len(x):
-                rest = np.bitwise_count(rows[x, half:] ^ b[half:, at + y].T).sum(axis=1)
-                kept = differ[x, y] + rest <= most[x, y]
-                x, y = x[kept], y[kept]
-            found_left.append(left_order[i + x])
-            found_right.append(right_order[at + y])
-    none = [np.empty(0, np.int64)]
-    return np.concatenate(found_left or none), np.concatenate(found_right or none)
+            differ = _differing(rows, b[:, at:stop], first, buffers)
+            most = (sizes + right_size[stop - 1]) * share + 1e-6  # grams in which a similar pair may differ, of the largest column
+            x, y = np.divmod(np.flatnonzero(differ <= np.minimum(most, np.iinfo(differ.dtype).max).astype(differ.dtype)[:, None]), stop - at)
+            kept = differ[x, y] + np.bitwise_count(rows[x, first:] ^ b[first:, at + y].T).sum(axis=1) <= (sizes[x] + right_size[at + y]) * share + 1e-6
+            # the fewest words that rule out nearly all pairs are compared first
+            if len(x) - kept.sum() > differ.size / 100:
+                first = min(words, first + 1)
+            elif len(x) - kept.sum() < differ.size / 1000:
+                first = max(1, first - 1)
+            if kept.any():
+                yield left_order[i + x[kept]], right_order[at + y[kept]]
+
+
+def alike_sketches(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of alike_tiles() at once."""
+    found = list(alike_tiles(left, right, threshold)) or [(np.empty(0, np.int64),) * 2]
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def blocks_of(weights: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(first class, last class, part, parts) of blocks of BLOCK_BYTES at most, but for chance: runs of CLASSES classes at most, or parts of one."""
+    blocks: list[list[int]] = []
+    weight = 0
+    for c in sorted(weights):
+        if blocks and blocks[-1][3] == 1 and c - blocks[-1][0] < CLASSES and weight + weights[c] <= BLOCK_BYTES:
+            blocks[-1][1] = c
+            weight += weights[c]
+        else:
+            parts = max(1, -(-weights[c] // BLOCK_BYTES))
+            blocks += [[c, c, part, parts] for part in range(parts)]
+            weight = weights[c]
+    return [tuple(b) for b in blocks]
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_key, right_key) of all rows (key, size, sketch) that alike_sketches() finds.
+    """(left_key, right_key) of all rows (key, size, sketch) that alike_tiles() finds.
 
-    Sizes are cut into classes; similar pairs are in one class or neighbours. Classes are cut into blocks of BLOCK_ROWS or so,
-    and each pair of blocks is compared by itself.
+    Sizes are cut into classes and these put together to blocks; each pair of blocks that may hold similar sizes is a cell,
+    compared by itself. A row is sent to the cells of its block, so rows are sent more often only as blocks are filled. A task
+    holds the left block of a cell; right rows and found pairs pass through it.
     """
-    width = max(-math.log(threshold), 0.05) * (1 + 1e-9)
+    width = max(-math.log(threshold), 0.05) * (1 + 1e-9) / CLASSES
     size_class = F.floor(F.log(F.col("size").cast("double")) / width).cast("int")
 
-    def blocks_of(df: DataFrame) -> dict[int, int]:  # one entry a class
-        return {r["class"]: -(-r["n"] // BLOCK_ROWS) for r in df.groupBy(size_class.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    def weights(df: DataFrame) -> dict[int, int]:  # one entry a class; sketches have two bits a gram at most, and are not read for it
+        return {r["class"]: r["bytes"] for r in df.groupBy(size_class.alias("class")).agg(F.sum(F.greatest(F.lit(8), F.floor(F.col("size") / 4)) + ROW_BYTES).alias("bytes")).collect()}
 
-    spark, a, b = left.sparkSession, blocks_of(left), blocks_of(right)
-    cells = [(c, x, d, y) for c in a for d in (c - 1, c, c + 1) if d in b for x in range(a[c]) for y in range(b[d])]
+    spark, a, b = left.sparkSession, blocks_of(weights(left)), blocks_of(weights(right))
+    cells = [(x, y) for x in a for y in b if y[0] - x[1] <= CLASSES and x[0] - y[1] <= CLASSES]
     pairs = "left_key long, right_key long"
     if not cells:
         return spark.createDataFrame([], pairs)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(cells), 500))
-
-    def dealt(df: DataFrame, blocks: dict[int, int], at: int) -> DataFrame:
-        numbered = spark.createDataFrame([(i, *cell[at : at + 2], blocks[cell[at]]) for i, cell in enumerate(cells)], "cell int, class int, block int, blocks int")
-        mine = (F.col("class") == size_class) & (F.col("block") == F.pmod("key", "blocks"))
-        return df.join(F.broadcast(numbered), mine).select("cell", "key", "size", "sketch").repartition(parts, "cell")
-
-    def compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        i, j = alike_sketches(x, y, threshold) if len(x) and len(y) else ([], [])
-        out = pd.DataFrame({"left_key": x["key"].to_numpy(np.int64)[i], "right_key": y["key"].to_numpy(np.int64)[j]})
-        return out[out["left_key"] != out["right_key"]]
-
-    return dealt(left, a, 0).groupBy("cell").cogroup(dealt(right, b, 2).groupBy("cell")).applyInPandas(compared, pairs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * len(cells), 1000))
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        numbered = [(i, c, *cell[side][2:]) for i, cell in enumerate(cells) for c in range(cell[side][0], cell[side][1] + 1)]
+        mine = (F.col("class") == size_class) & (F.col("part") == F.pmod("key", "parts"))
+        return df.join(F.broadcast(spark.createDataFrame(numbered, "cell int, class int, part int, parts int")), mine).select("cell", F.lit(side).alias("side"), "key", "size", "sketch")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, found, n = None, [], [], 0
+
+        def sent() -> pd.DataFrame:
+            out = pd.DataFrame({"left_key": np.concatenate([x for x, _ in found]), "right_key": np.concatenate([y for _, y in found])})
+            return out[out["left_key"] != out["right_key"]]
+
+        for batch in batches:
+            for (at, side), rows in batch.groupby(["cell", "side"]):  # in order
+                if at != cell:
+                    cell, held = at, []
+                if side == 0:
+                    held.append(rows)
+                    continue
+                if not held:
+                    continue
+                held = [pd.concat(held)] if len(held) > 1 else held
+                sizes = held[0]["size"]
+                near = held[0][(sizes >= rows["size"].min() * threshold - 1e-6) & (sizes <= rows["size"].max() / threshold + 1e-6)]
+                if near.empty:
+                    continue
+                left_key, right_key = near["key"].to_numpy(np.int64), rows["key"].to_numpy(np.int64)
+                for i, j in alike_tiles(near, rows, threshold):
+                    found.append((left_key[i], right_key[j]))
+                    n += len(i)
+                    if n >= SENT_PAIRS:
+                        yield sent()
+                        found, n = [], 0
+        if found:
+            yield sent()
+
+    both = dealt(left, 0).unionByName(dealt(right, 1)).repartition(parts, "cell").sortWithinPartitions("cell", "side", "size")
+    return both.mapInPandas(compared, pairs)
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -172,7 +238,8 @@ def near_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     No grams are shuffled: each text sends the size of its set and a parity sketch of about a bit a gram, in blocks of like
     sizes. Pairs whose sketches differ in more bits than similar sets can differ in grams are left out (none is lost), the
     others are measured on their texts. Equal keys are compared once. The number of sketches compared grows with the square
-    of the rows, their volume with the rows. Grams and keys are told by 64-bit hashes; rows without an id are left out.
+    of the rows; each is sent three times or so, and more often only where the similar sizes of the other side fill several
+    blocks. Grams and keys are told by 64-bit hashes; rows without an id are left out.
     """
 
     return _near(left, right, left_id, right_id, text, threshold, n, _sketches(left, left_id, text, n), _sketches(right, right_id, text, n))
