@@ -18,7 +18,7 @@ BROADCAST_IDS = 1_000_000
 #: Texts whose windows a task holds at once.
 WINDOW_ROWS = 500
 #: Bytes of a block of sketches (a row counts ROW_BYTES besides), and classes of size for each step in which similar sizes may differ.
-BLOCK_BYTES, ROW_BYTES, CLASSES = 24_000_000, 64, 8
+BLOCK_BYTES, ROW_BYTES, CLASSES = 12_000_000, 64, 8
 #: Rows and columns of a tile of their comparison, pairs sent at once, and texts of a side of a block of pairs, about.
 SKETCH_ROWS, SKETCH_COLUMNS, SENT_PAIRS, PAIR_ROWS = 32, 1024, 100_000, 500
 
